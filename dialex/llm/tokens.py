@@ -79,7 +79,7 @@ class PieceCounter:
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) > KEEP_CHUNKS:
             self.known.clear()
-        for batch in by_bytes(chunks):
+        for batch in by_bytes(chunks - self.known.keys()):
             for c, ids in zip(batch, self.model.encode(batch, num_threads=1), strict=True):
                 self.known[c] = len(ids)
 
@@ -97,7 +97,7 @@ class PieceCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         parts = [self.split(t) if t else ([], 0) for t in texts]
-        self.learn({c for words, _ in parts for c in words} - self.known.keys())
+        self.learn({c for words, _ in parts for c in words})
         get = self.known.__getitem__
         return [sum(map(get, words)) + tail for words, tail in parts]
 
