@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokens", "packing", "mixing", "line_dedup")
+MODULES = ("warc", "tokens", "packing", "mixing", "line_dedup", "topk", "vector_dedup", "quality")
 
 
 def queries() -> dict:
