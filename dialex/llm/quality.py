@@ -178,11 +178,11 @@ def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterator[pa.RecordBatch], model: Model, out: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = np.array([describe(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(batch.num_rows, -1)
         scores = model.scores(x) if len(x) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], out])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -208,12 +208,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
-    """The columns `keep` of docs, and score: the model's 0 to 1 for the whole of column text (null: empty)."""
+def score(docs: DataFrame, model: Model, *keep: Column, out: str = "score") -> DataFrame:
+    """The columns `keep` of docs, and `out`: the model's 0 to 1 for the whole of column text (null: empty)."""
     bound_arrow(docs.sparkSession)
     rows = docs.select(*keep, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(partial(_score_batches, model=model), f"{kinds}, score double")
+    return rows.mapInArrow(partial(_score_batches, model=model, out=out), f"{kinds}, {out} double")
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:

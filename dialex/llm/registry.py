@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("suffix_dedup", "warc", "tokens", "packing", "mixing", "line_dedup", "topk", "vector_dedup", "quality")
+MODULES = ("suffix_dedup", "warc", "simhash", "tokens", "packing", "mixing", "line_dedup", "topk", "vector_dedup", "quality")
 
 
 def queries() -> dict:
