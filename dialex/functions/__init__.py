@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column-level building blocks: text, statistics, predicates, word lists."""

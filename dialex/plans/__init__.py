@@ -1 +1 @@
-"""Plans of the engine."""
+"""The engine's queries over a corpus, with the SQL that each is held against."""

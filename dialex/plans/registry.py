@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from dialex.plans.catalog import ORACLES, QUERIES
+
+for _name in ("boards",):
+    import_module(f"dialex.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
