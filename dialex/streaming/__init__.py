@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Counting as documents arrive."""
