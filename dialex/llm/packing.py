@@ -21,23 +21,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialex.llm.common import bound_arrow, table
-from dialex.llm.tokens import KEEP_CHUNKS, by_bytes, load
+from dialex.llm.tokens import by_bytes, load
 
-#: Windows in a group of remainders.
+#: Windows in a group of remainders, and words in one string for the tokenizer.
 GROUP_WINDOWS = 16
+JOINED = 500
+#: Words remembered by a worker before it starts anew.
+KEEP_WORDS = 1_000_000
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class IdEncoder:
     """Ids of texts from a tokenizers file whose pre-tokenizer drops white space, so that words can be encoded apart.
 
-    Each distinct word is encoded once by the tokenizer; a text's ids are gathered from one flat array. `whole` falls
-    back to whole texts for tokenizers that keep white space.
+    Each distinct word is encoded once by the tokenizer; a text's ids are gathered from one flat array. Many words go in
+    one call, with a special token of the vocabulary between them, which the tokenizer takes out before anything else.
+    `whole` falls back to whole texts for tokenizers that keep white space.
     """
 
     def __init__(self, path: str):
         self.model = load(path)
-        probe = "It's  12\to'clock,\nisn't it? <|endoftext|>x ć d"
+        special = [t.content for t in self.model.get_added_tokens_decoder().values() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.sep = min(special, default=None)
+        probe = "It's  12\to'clock,\nisn't it? <|endoftext|>x ć d"
         self.whole = self._ids(probe) != [i for w in self._words(probe) for i in self._ids(w)]
         self._clear()
 
@@ -53,21 +59,40 @@ class IdEncoder:
     def _words(text: str) -> list[str]:
         return [w for w in text.replace("\n", " ").split(" ") if w]
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after the other, and how many each has."""
+        if not self.sep:
+            parts = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([i for p in parts for i in p], np.uint32), np.array([len(p) for p in parts], np.int64)
+        joined = [self.sep.join(words[i : i + JOINED]) + self.sep for i in range(0, len(words), JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.model.token_to_id(self.sep))
+        if len(ends) != len(words):
+            raise ValueError("a word holds the separator")
+        return ids[ids != ids[ends[0]]], np.diff(ends, prepend=-1) - 1
+
     def _learn(self, words: set[str]) -> None:
+        """Words that could hold part of a special token are encoded by themselves."""
+        odd = [w for w in words if self.sep and self.sep[:2] in w]
         parts, sizes = [self.flat], []
-        for batch in by_bytes(words):
-            for w, e in zip(batch, self.model.encode_batch(batch, add_special_tokens=False), strict=True):
-                self.index[w] = len(self.index)
-                parts.append(np.array(e.ids, np.uint32))
-                sizes.append(len(e.ids))
+        for batch in by_bytes(words.difference(odd)):
+            ids, n = self._encode(batch)
+            parts.append(ids)
+            sizes.append(n)
+            self.index.update(zip(batch, range(len(self.index), len(self.index) + len(batch)), strict=True))
+        for w in odd:
+            ids = self._ids(w)
+            self.index[w] = len(self.index)
+            parts.append(np.array(ids, np.uint32))
+            sizes.append(np.array([len(ids)], np.int64))
         self.flat = np.concatenate(parts)
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(sizes, np.int64))])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if self.whole:
             return [np.array(self._ids(t), np.uint32) for t in texts]
         split = [self._words(t) for t in texts]
-        if len(self.index) > KEEP_CHUNKS:
+        if len(self.index) > KEEP_WORDS:
             self._clear()
         if new := {w for words in split for w in words} - self.index.keys():
             self._learn(new)
@@ -81,6 +106,16 @@ class IdEncoder:
         return out
 
 
+_ENCODERS: dict[str, IdEncoder] = {}
+
+
+def encoder_of(path: str) -> IdEncoder:
+    """A worker's encoder of a file, which keeps its words from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = IdEncoder(path)
+    return _ENCODERS[path]
+
+
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Deals items into k near-equal parts; gives the items' positions in each part (Karmarkar-Karp, k-way)."""
     if k == 1:
@@ -151,7 +186,7 @@ def pack_group(sizes: list[int], capacity: int, cut: bool = True) -> list[list[t
 
 
 def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, base, done = IdEncoder(path), TaskContext.get().partitionId() << 34, 0
+    encoder, base, done = encoder_of(path), TaskContext.get().partitionId() << 34, 0
     held: list[tuple[object, int, int, np.ndarray]] = []  # doc_id, start, ids in the document, remaining ids
     held_size = 0
     out: list[tuple] = []

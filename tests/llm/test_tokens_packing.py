@@ -36,7 +36,7 @@ def test_ids_are_the_library_s(monkeypatch):
     model = tokens.load("word_bpe_49k.json")
     encoder = packing.IdEncoder("word_bpe_49k.json")
     assert not encoder.whole
-    monkeypatch.setattr(packing, "KEEP_CHUNKS", 50)
+    monkeypatch.setattr(packing, "KEEP_WORDS", 50)
     for t in random_texts(800):
         assert encoder.ids([t])[0].tolist() == model.encode(t, add_special_tokens=False).ids
 
