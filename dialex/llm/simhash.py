@@ -27,13 +27,18 @@ from dialex.llm.arrow_groups import runs
 from dialex.llm.common import bound_arrow, materialise, table
 from dialex.llm.components import Forest, connected_components, tiles
 
-PIVOTS, SEED = 24, 7
+PIVOTS, SEED = 8, 7
 #: Blocks of a 64-bit fingerprint; links of up to BLOCKS - 2 differing bits agree in two blocks.
 BLOCKS = 4
 #: Fingerprints that meet under one key before their group is split by further bits.
 CROWD = 4096
 #: Pairs compared at once in a task.
 PAIRS = 1 << 20
+#: Random samples of bits: this many of 16 bits, and as many more of longer ones as finds a pair as surely whose bits agree
+#: with probability AGREE each, what is expected at a Jaccard similarity of 0.8.
+SAMPLES, AGREE = 64, 0.848
+#: Bits of a key below its sample's number.
+KEY_BITS = 40
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -102,13 +107,14 @@ def _key_columns(fp: np.ndarray, samples: list[np.ndarray]) -> Iterator[np.ndarr
 
 def key_samples(width: int, radius: int, rows: int) -> list[np.ndarray]:
     """The sets of bits on which fingerprints meet. Up to a radius of BLOCKS - 2, pairs of blocks: every link agrees in
-    one of them. Beyond, 64 random samples whose size follows the number of rows."""
+    one of them. Beyond, random samples whose size follows the number of rows, so that few unlike rows meet; longer
+    samples are more in number, so that pairs are found as surely at every size."""
     if radius <= BLOCKS - 2:
         blocks = np.array_split(np.arange(width), BLOCKS)
         return [np.concatenate(c) for c in combinations(blocks, 2)]
-    size = int(np.clip(np.ceil(np.log2(max(rows, 2))) - 2, 12, 28))
+    size = int(np.clip(np.ceil(np.log2(max(rows, 2))) - 2, 12, KEY_BITS))
     rng = np.random.default_rng([SEED, width, size])
-    return [np.sort(rng.choice(width, size, replace=False)) for _ in range(64)]
+    return [np.sort(rng.choice(width, size, replace=False)) for _ in range(max(SAMPLES, int(np.ceil(SAMPLES * AGREE ** (16 - size)))))]
 
 
 def pivot_distances(fp: np.ndarray) -> np.ndarray:
@@ -117,18 +123,17 @@ def pivot_distances(fp: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count((fp ^ p).view(np.uint64)).sum(axis=1).astype(np.uint8) for p in pivots], axis=1)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], samples: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(table, key, node, fp, pivots) for each sample of bits."""
+def _keyed(batches: Iterator[pa.RecordBatch], samples: list[np.ndarray], lanes: int) -> Iterator[pa.RecordBatch]:
+    """(key, node, far, f0, ...) for each sample of bits: key holds the sample's number and its bits, far the eight
+    distances to the pivots, a byte each."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         fp = batch.column(1).flatten().to_numpy().reshape(n, -1)
-        raw, far = fp.tobytes(), pivot_distances(fp).tobytes()
-        a, b = len(raw) // n, PIVOTS
-        fps, pivots = pa.array([raw[i * a : i * a + a] for i in range(n)], pa.binary()), pa.array([far[i * b : i * b + b] for i in range(n)], pa.binary())
+        rest = [batch.column(0), pa.array(pivot_distances(fp).view(np.int64).ravel()), *[pa.array(np.ascontiguousarray(fp[:, i])) for i in range(lanes)]]
         for k, key in enumerate(_key_columns(fp, samples)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(key), batch.column(0), fps, pivots], names=["k", "key", "node", "fp", "pivots"])
+            yield pa.RecordBatch.from_arrays([pa.array(key | k << KEY_BITS), *rest], names=["key", "node", "far", *[f"f{i}" for i in range(lanes)]])
 
 
 def links_within(fp: np.ndarray, far: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -178,42 +183,42 @@ def _crowd(fp: np.ndarray, far: np.ndarray, radius: int, width: int, used: np.nd
     return out
 
 
-def _meet(batches: Iterator[pa.RecordBatch], radius: int, width: int, samples: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], radius: int, lanes: int, samples: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for t in _crowds(batches):
         if not t.num_rows:
             continue
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.int64).reshape(t.num_rows, -1)
-        far = np.frombuffer(b"".join(t.column("pivots").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        k, key, node = (t.column(c).to_numpy() for c in ("k", "key", "node"))
-        cuts = np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
-        a, b = [], []
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)], strict=True):
-            if hi - lo == 2:  # by far the most
-                if (np.abs(far[lo].astype(np.int16) - far[lo + 1]) <= radius).all() and int(np.bitwise_count((fp[lo] ^ fp[lo + 1]).view(np.uint64)).sum()) <= radius:
-                    a.append(node[lo])
-                    b.append(node[lo + 1])
-            elif hi - lo > 2:
-                for x, y in _crowd(fp[lo:hi], far[lo:hi], radius, width, samples[k[lo]], Forest(hi - lo)):
-                    a.append(node[lo + x])
-                    b.append(node[lo + y])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        far = np.ascontiguousarray(t.column("far").to_numpy()).view(np.uint8).reshape(t.num_rows, PIVOTS)
+        fp = np.stack([t.column(f"f{i}").to_numpy() for i in range(lanes)], axis=1)
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        starts, ends = np.append(0, cuts), np.append(cuts, len(key))
+        # pairs of two are by far the most; they are compared all at once
+        two = starts[ends - starts == 2]
+        near = (np.abs(far[two].astype(np.int16) - far[two + 1]).max(axis=1, initial=0) <= radius) & (np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)).sum(axis=1) <= radius)
+        a, b = [node[two[near]]], [node[two[near] + 1]]
+        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+            if hi - lo > 2:
+                pairs = np.array(_crowd(fp[lo:hi], far[lo:hi], radius, 64 * lanes, samples[key[lo] >> KEY_BITS], Forest(hi - lo)), np.int64).reshape(-1, 2)
+                a.append(node[lo + pairs[:, 0]])
+                b.append(node[lo + pairs[:, 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
 def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by (k, key), without those that are alone, cut only between keys."""
+    """Rows sorted by key, without those that are alone, cut only between keys."""
     held: list[pa.RecordBatch] = []
 
     def shared(t: pa.Table) -> pa.Table:
-        k, key = t.column("k").to_numpy(), t.column("key").to_numpy()
-        same = (k[1:] == k[:-1]) & (key[1:] == key[:-1])
+        key = t.column("key").to_numpy()
+        same = key[1:] == key[:-1]
         return t.filter(pa.array(np.r_[False, same] | np.r_[same, False]))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        change = np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
-        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (k[0], key[0]):
+        key = batch.column(0).to_numpy()
+        change = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
             yield shared(pa.Table.from_batches(held))
             held = []
         if len(change):
@@ -229,9 +234,10 @@ def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def near_pairs(nodes: DataFrame, radius: int, lanes: int) -> DataFrame:
     """(a, b): a spanning forest, group by group, of the links among rows (node, fp) of distinct fingerprints."""
     samples = key_samples(64 * lanes, radius, nodes.count())
-    keyed = nodes.mapInArrow(partial(_keyed, samples=samples), "k int, key long, node long, fp binary, pivots binary")
-    met = keyed.repartition("k", "key").sortWithinPartitions("k", "key")
-    return met.mapInArrow(partial(_meet, radius=radius, width=64 * lanes, samples=samples), "a long, b long").distinct()
+    schema = "key long, node long, far long, " + ", ".join(f"f{i} long" for i in range(lanes))
+    keyed = nodes.mapInArrow(partial(_keyed, samples=samples, lanes=lanes), schema)
+    met = keyed.repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(partial(_meet, radius=radius, lanes=lanes, samples=samples), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
