@@ -40,8 +40,8 @@ word_year AS (
 ), dict AS (SELECT word, sum(count)::BIGINT AS count, count(*)::BIGINT AS films FROM words GROUP BY word),
 meta AS (
   SELECT word, zipf, pos AS classes, pos,
-         round(log2((count / (SELECT sum(count) FROM dict) * 1e6) / pow(10.0, greatest(zipf, 1.0) - 3)), 2) AS dist
-  FROM (SELECT word, count, 1.0 + length(count::VARCHAR) AS zipf,
+         coalesce(nullif(round(log2((count / (SELECT sum(count) FROM dict) * 1e6) / pow(10.0, greatest(zipf, 1.0) - 3)), 2), 0), 0)::DOUBLE AS dist
+  FROM (SELECT word, count, 1.0::DOUBLE + length(count::VARCHAR) AS zipf,
                CASE WHEN word LIKE '%ly' THEN 'r' WHEN word LIKE '%ing' OR word LIKE '%ed' THEN 'v'
                     WHEN word LIKE '%ble' OR word LIKE '%ous' THEN 'a' WHEN length(word) >= 4 THEN 'n' ELSE 'x' END AS pos
         FROM dict)

@@ -20,7 +20,7 @@ FROM (SELECT c.*, n.n, k.count AS yc, nc, 100.0::DOUBLE * k.count / nc AS pr FRO
 WHERE n + 100 - count - pr > 0 AND nc + 100 - yc - pr > 0"""
 
 
-@query("log_odds_film", ", z AS (" + z_sql("words", "film_id", "dict", 3) + ") SELECT film_id, word, count, round(z, 6) AS z FROM z")
+@query("log_odds_film", ", z AS (" + z_sql("words", "film_id", "dict", 3) + ") SELECT film_id, word, count, coalesce(nullif(round(z, 6), 0), 0)::DOUBLE AS z FROM z")
 def log_odds_film(c: Corpus) -> DataFrame:
     return signatures.log_odds(c.words, c.dictionary).withColumn("z", F.round("z", 6))
 
@@ -34,7 +34,7 @@ _SIGNATURES = (
     _MEMBERS
     + f""", tp AS (SELECT entity, 'top' AS list, row_number() OVER (PARTITION BY entity ORDER BY count DESC, word)::INT AS rank, word, count, NULL::DOUBLE AS z FROM ek WHERE word NOT IN {STOP} QUALIFY rank <= 100),
 zs AS ({z_sql("ek", "entity", "dict", 20)}),
-sg AS (SELECT entity, 'signature' AS list, row_number() OVER (PARTITION BY entity ORDER BY z DESC, word)::INT AS rank, word, count, round(z, 2) AS z FROM zs QUALIFY rank <= 100),
+sg AS (SELECT entity, 'signature' AS list, row_number() OVER (PARTITION BY entity ORDER BY z DESC, word)::INT AS rank, word, count, coalesce(nullif(round(z, 2), 0), 0)::DOUBLE AS z FROM zs QUALIFY rank <= 100),
 al AS (SELECT * FROM tp UNION ALL SELECT * FROM sg)
 SELECT string_split(entity, chr(9))[1] AS kind, string_split(entity, chr(9))[2] AS key, list, rank, word, count, z FROM al"""
 )
@@ -110,7 +110,7 @@ def shared_signature(c: Corpus) -> DataFrame:
   QUALIFY row_number() OVER (PARTITION BY lang, key ORDER BY sum(count) DESC, word) <= 100),
 su AS (SELECT key, word, sum(count)::BIGINT AS count FROM pt GROUP BY ALL), co AS (SELECT word, sum(count)::BIGINT AS count FROM pt GROUP BY word),
 zz AS ({z_sql("su", "key", "co", 20)})
-SELECT key, word, count, round(z, 2) AS z, row_number() OVER (PARTITION BY key ORDER BY z DESC, word)::INT AS rank FROM zz QUALIFY rank <= 100""",
+SELECT key, word, count, coalesce(nullif(round(z, 2), 0), 0)::DOUBLE AS z, row_number() OVER (PARTITION BY key ORDER BY z DESC, word)::INT AS rank FROM zz QUALIFY rank <= 100""",
 )
 def merge_signatures(c: Corpus) -> DataFrame:
     def part(lang: str) -> DataFrame:
@@ -129,7 +129,7 @@ def boards_top(counts: DataFrame, top: int = 100) -> DataFrame:
 _PAGE = f""", o AS ({z_sql("words", "film_id", "dict", 3)}),
 pl AS (SELECT film_id, 'top' AS list, row_number() OVER (PARTITION BY film_id ORDER BY count DESC, word)::INT AS rank, word, count, NULL::DOUBLE AS z FROM words WHERE word NOT IN {STOP} QUALIFY rank <= 200
   UNION ALL SELECT film_id, 'top_all', row_number() OVER (PARTITION BY film_id ORDER BY count DESC, word)::INT AS rank, word, count, NULL FROM words QUALIFY rank <= 50
-  UNION ALL SELECT film_id, 'distinctive', row_number() OVER (PARTITION BY film_id ORDER BY z DESC, word)::INT AS rank, word, count, round(z, 2) FROM o QUALIFY rank <= 50)
+  UNION ALL SELECT film_id, 'distinctive', row_number() OVER (PARTITION BY film_id ORDER BY z DESC, word)::INT AS rank, word, count, coalesce(nullif(round(z, 2), 0), 0)::DOUBLE FROM o QUALIFY rank <= 50)
 SELECT pl.*, coalesce(zipf, 0.0)::DOUBLE AS zipf, coalesce(classes, 'x') AS classes, coalesce(pos, 'x') AS pos FROM pl LEFT JOIN meta USING (word)"""
 
 
