@@ -44,7 +44,7 @@ def audit_silent_rates(c: Corpus) -> DataFrame:
 
 
 @query("audit_known", f"""SELECT film_id, coalesce(any_value(a.quality), 'absent') AS tier, coalesce(string_agg(word, ' ' ORDER BY r) FILTER (k <= 12), '') AS top_words
-FROM (SELECT unnest([3, 24, 9, 5000000]) AS film_id) LEFT JOIN all_films a USING (film_id) LEFT JOIN (
+FROM (SELECT unnest([3, 24, 9, 5000000]::BIGINT[]) AS film_id) LEFT JOIN all_films a USING (film_id) LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY film_id ORDER BY r) AS k FROM (SELECT film_id, word, row_number() OVER (PARTITION BY film_id ORDER BY count DESC, word) AS r FROM counts WHERE length(word) > 3 QUALIFY r <= 60) WHERE word NOT IN {STOP}) w USING (film_id)
 GROUP BY film_id""")
 def audit_known(c: Corpus) -> DataFrame:
