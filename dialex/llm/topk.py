@@ -34,13 +34,12 @@ def integer_vector(vector: Column, scale: float) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
 
 
-def _blocks(rows: DataFrame, size: int, tag: str) -> DataFrame:
-    """Rows (id, v) dealt by hash into blocks of about `size` rows of one dimension: (dim, block, ids, values)."""
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, v) dealt by hash into blocks of about `size` rows of one dimension, sorted: (dim, block, id, v)."""
     dims = rows.withColumn("dim", F.size("v"))
     counts = dims.groupBy("dim").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     dealt = dims.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    ordered = dealt.select("dim", "block", "id", "v").repartition("dim", "block").sortWithinPartitions("dim", "block", "id")
-    return ordered
+    return dealt.select("dim", "block", "id", "v").repartition("dim", "block").sortWithinPartitions("dim", "block", "id")
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +123,7 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The impact-ordered index of rows (id, v): a row a block; every vector is in it."""
     bound_arrow(vectors.sparkSession)
     schema = "dim int, block int, ids binary, levels binary, ends binary, comps binary, rows binary, vals binary"
-    return _blocks(vectors, block_rows, "index").mapInArrow(_index, schema)
+    return _blocks(vectors, block_rows).mapInArrow(_index, schema)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -133,7 +132,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = Q
     Queries (id, v) come in blocks, each of which meets every block of the index of its dimension. Scores are exact;
     the row with the query's own id is left out.
     """
-    packed = _blocks(queries.dropDuplicates(["id"]), query_rows, "queries").mapInArrow(_packed, "dim int, qblock int, qids binary, qvals binary")
+    packed = _blocks(queries.dropDuplicates(["id"]), query_rows).mapInArrow(_packed, "dim int, qblock int, qids binary, qvals binary")
     packed = materialise(packed, "queries")
     counts = packed.groupBy("dim").agg((F.max("qblock") + 1).alias("n"))
     dealt = index.join(counts, "dim").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
