@@ -30,8 +30,9 @@ from dialex.llm.components import Forest, connected_components, tiles
 PIVOTS, SEED = 8, 7
 #: Blocks of a 64-bit fingerprint; links of up to BLOCKS - 2 differing bits agree in two blocks.
 BLOCKS = 4
-#: Fingerprints that meet under one key before their group is split by further bits.
-CROWD = 4096
+#: Fingerprints that meet under one key: groups up to FEW are compared together with others, groups over CROWD are
+#: split by further bits.
+FEW, CROWD = 48, 4096
 #: Pairs compared at once in a task.
 PAIRS = 1 << 20
 #: Random samples of bits: this many of 16 bits, and as many more of longer ones as finds a pair as surely whose bits agree
@@ -136,31 +137,36 @@ def _keyed(batches: Iterator[pa.RecordBatch], samples: list[np.ndarray], lanes:
             yield pa.RecordBatch.from_arrays([pa.array(key | k << KEY_BITS), *rest], names=["key", "node", "far", *[f"f{i}" for i in range(lanes)]])
 
 
-def links_within(fp: np.ndarray, far: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows at most `radius` bits apart: within the band of the first pivot, discarded by the other pivots,
-    then verified."""
-    order = np.argsort(far[:, 0], kind="stable")
-    fp, far = fp[order], far[order].astype(np.int16)
-    ends = np.searchsorted(far[:, 0], far[:, 0] + radius, "right")
-    counts = ends - np.arange(len(fp)) - 1
+def _near(fp: np.ndarray, far: np.ndarray, counts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each row and the counts[row] rows after it, the pairs at most `radius` bits apart: discarded by the pivots one
+    after the other, then verified. So many pairs at once that memory is bounded."""
     done = np.cumsum(counts)
     at = 0
-    while at < len(fp):
+    while at < len(counts):
         upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
         c = counts[at:upto]
         i = np.repeat(np.arange(at, upto), c)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        for p in range(1, far.shape[1]):
+        for p in range(far.shape[1]):
             ok = np.abs(far[i, p] - far[j, p]) <= radius
             i, j = i[ok], j[ok]
             if not len(i):
                 break
         near = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).sum(axis=1) <= radius
         if near.any():
-            yield order[i[near]], order[j[near]]
+            yield i[near], j[near]
         at = upto
 
 
+def links_within(fp: np.ndarray, far: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows at most `radius` bits apart, looked for within the band of the first pivot."""
+    order = np.argsort(far[:, 0], kind="stable")
+    fp, far = fp[order], far[order].astype(np.int16)
+    ends = np.searchsorted(far[:, 0], far[:, 0] + radius, "right")
+    for i, j in _near(fp, far, ends - np.arange(len(fp)) - 1, radius):
+        yield order[i], order[j]
+
+
 def _crowd(fp: np.ndarray, far: np.ndarray, radius: int, width: int, used: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
     """A spanning forest of the links of a group; a large group is split by pairs of blocks of the bits that its key
     leaves open, which loses no link within a radius of BLOCKS - 2."""
@@ -192,16 +198,21 @@ def _meet(batches: Iterator[pa.RecordBatch], radius: int, lanes: int, samples: l
         fp = np.stack([t.column(f"f{i}").to_numpy() for i in range(lanes)], axis=1)
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts, ends = np.append(0, cuts), np.append(cuts, len(key))
-        # pairs of two are by far the most; they are compared all at once
-        two = starts[ends - starts == 2]
-        near = (np.abs(far[two].astype(np.int16) - far[two + 1]).max(axis=1, initial=0) <= radius) & (np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)).sum(axis=1) <= radius)
-        a, b = [node[two[near]]], [node[two[near] + 1]]
-        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-            if hi - lo > 2:
-                pairs = np.array(_crowd(fp[lo:hi], far[lo:hi], radius, 64 * lanes, samples[key[lo] >> KEY_BITS], Forest(hi - lo)), np.int64).reshape(-1, 2)
-                a.append(node[lo + pairs[:, 0]])
-                b.append(node[lo + pairs[:, 1]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        sizes = ends - starts
+        small = np.repeat(sizes <= FEW, sizes)
+        counts = np.where(small, np.repeat(ends, sizes) - np.arange(len(key)) - 1, 0)
+        forest, a, b = Forest(len(key)), [], []
+        for i, j in _near(fp, far.astype(np.int16), counts, radius):  # groups of a few, all at once
+            pairs = np.array([(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)], np.int64).reshape(-1, 2)
+            a.append(node[pairs[:, 0]])
+            b.append(node[pairs[:, 1]])
+        for g in np.flatnonzero(sizes > FEW):
+            lo, hi = starts[g], ends[g]
+            pairs = np.array(_crowd(fp[lo:hi], far[lo:hi], radius, 64 * lanes, samples[key[lo] >> KEY_BITS], Forest(hi - lo)), np.int64).reshape(-1, 2)
+            a.append(node[lo + pairs[:, 0]])
+            b.append(node[lo + pairs[:, 1]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
