@@ -38,6 +38,12 @@ PAIRS = 1 << 20
 #: Random samples of bits: this many of 16 bits, and as many more of longer ones as finds a pair as surely whose bits agree
 #: with probability AGREE each, what is expected at a Jaccard similarity of 0.8.
 SAMPLES, AGREE = 64, 0.848
+#: Blocks of a class of sets for each element in which sets that link can differ: spare ones, as some blocks stay empty.
+SPARE = 1.3
+#: Nodes under one key that are compared pair by pair.
+TOGETHER = 16
+#: Keys that sets must share to be candidates, where so many are sure to be shared.
+SHARED = 4
 #: Bits of a key below its sample's number.
 KEY_BITS = 40
 
@@ -273,6 +279,80 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
 
+def size_classes(upto: int, least: float) -> list[int]:
+    """Where classes of set sizes start, up to the one of `upto`: sizes in a class differ by a factor of 1 / least at most."""
+    starts = [1]
+    while starts[-1] <= upto:
+        starts.append(int(starts[-1] / least + 1e-9) + 1)
+    return starts
+
+
+def set_keys(h: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a sorted set of hashes, and with each how many a pair must share: as many as the smaller of its two numbers
+    under one number, which every two sets with a Jaccard similarity of `least` or more do.
+
+    Such sets differ in at most (1 - least) / (1 + least) of their sizes' sum, d elements, and their sizes by a factor
+    of 1 / least. A pair meets in the class of its smaller size, so a set has keys in every class that a partner no
+    larger than itself can have. A class deals hashes into blocks, and a key is what one block that isn't empty holds.
+    As d differing elements spoil d blocks at most, a set shares all its keys but d with each partner; of the smallest
+    d + j keys of either, the j smallest shared ones are left.
+    """
+    n = len(h)
+    if not n:
+        return np.zeros(1, np.int64), np.ones(1, np.int8)
+    apart = (1 - least) / (1 + least)
+    starts = size_classes(n, least)
+    mixed, keys, needs = remix(h), [], []
+    for c in range(int(np.searchsorted(starts, max(1, np.ceil(least * n - 1e-9)), "right")) - 1, len(starts) - 1):
+        last = starts[c + 1] - 1
+        most = int((last + int(last / least + 1e-9)) * apart + 1e-9)
+        blocks = int(np.ceil(SPARE * most)) + 2 if most else 1
+        of = (h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+        at = np.flatnonzero(np.diff(of, prepend=np.uint64(blocks)))
+        key = np.sort(remix(np.bitwise_xor.reduceat(mixed, at) + remix(of[at] + np.uint64(c + 1 << 33))))
+        d = int((n + (int(n / least + 1e-9) if n <= last else last)) * apart + 1e-9)
+        need = min(SHARED, max(1, len(key) - d))
+        keys.append(key[: d + need])
+        needs.append(np.full(len(keys[-1]), need, np.int8))
+    return np.concatenate(keys).view(np.int64), np.concatenate(needs)
+
+
+def _set_keys(batches: Iterator[pa.RecordBatch], n: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [set_keys(np.unique(shingle_hashes(words_of(t), n)), least) for t in batch.column(1).to_pylist()]
+        if found:
+            keys, needs = zip(*found, strict=True)
+            node = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node), pa.array(np.concatenate(needs))], names=["key", "node", "need"])
+
+
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, need) for the pairs of nodes under each key, from rows sorted by key and node. Under a key with over
+    TOGETHER nodes all are tied to the first, whatever else they share."""
+    for t in _crowds(batches):
+        if not t.num_rows:
+            continue
+        key, node, need = (t.column(c).to_numpy() for c in ("key", "node", "need"))
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        first, few = np.repeat(starts, sizes), np.repeat(sizes <= TOGETHER, sizes)
+        left = np.where(few, np.repeat(starts + sizes, sizes) - np.arange(len(key)) - 1, 0)
+        crowd = np.flatnonzero(~few)
+        met = [(node[first[crowd]], node[crowd], np.ones(len(crowd), np.int8))]
+        for step in range(1, int(left.max()) + 1):
+            i = np.flatnonzero(left >= step)
+            met.append((node[i], node[i + step], np.minimum(need[i], need[i + step])))
+        a, b, least = (np.concatenate(x) for x in zip(*met, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b]), pa.array(least[a != b])], names=["a", "b", "need"])
+
+
+def candidates(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): links that join, if not always directly, all rows of texts(doc_id, text) whose sets are similar by `least`."""
+    keyed = texts.mapInArrow(partial(_set_keys, n=words, least=least), "key long, node long, need byte")
+    met = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_sharing, "a long, b long, need byte")
+    return met.groupBy("a", "b", "need").agg(F.count("*").alias("n")).where("n >= need").select("a", "b").distinct()
+
+
 def jaccard_links(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
     """Pairs of sets with a Jaccard similarity of `least` or more, compared by products of 0/1 matrices, a stretch of
     elements at a time."""
@@ -312,24 +392,19 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, lanes: int = 2, radius: int = 28, tile_rows: int = 256) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile_rows: int = 256) -> DataFrame:
     """(doc_id, component_id) for rows of docs(doc_id, text) that have a near duplicate, the smallest id reachable.
 
-    Texts link if the sets of their `words`-word shingles have a Jaccard similarity of `least` or more. Candidates come
-    from fingerprints of 64 * lanes bits within `radius`; at a similarity of 0.8 two 128-bit fingerprints differ in 19
-    bits on average, standard deviation 4. Candidates' components are then compared exactly, tile by tile. Equal texts
-    are one node. Rows without an id are left out.
+    Texts link if the sets of their `words`-word shingles have a Jaccard similarity of `least` or more. Candidates are
+    sets that share enough of their `set_keys`, as every pair that links does. Candidates' components are then compared
+    exactly, tile by tile. Equal texts are one node. Rows without an id are left out.
     """
+    bound_arrow(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("same"))
     copies = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "copies")
-    firsts = docs.select("doc_id", "text").join(copies.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    nodes = materialise(fingerprints(firsts, words, lanes).select(F.col("doc_id").alias("node"), "fp"), "nodes")
-    groups = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    alike = nodes.join(groups, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    distinct = groups.select(F.col("first").alias("node"), "fp")
-    comps = connected_components(materialise(near_pairs(materialise(distinct, "distinct"), radius, lanes).unionAll(alike), "pairs"))
+    firsts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(copies.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    comps = connected_components(materialise(candidates(firsts, words, least), "pairs"))
     members = firsts.join(comps, firsts.doc_id == comps.node).select("component", "node", "text")
-    bound_arrow(docs.sparkSession)
     sets = members.mapInArrow(partial(_shingle_sets, n=words), "component long, node long, shingles binary")
     dealt = tiles(materialise(sets, "sets"), "component", tile_rows).select("component", "tile_i", "tile_j", "node", "shingles")
     met = dealt.repartition("component", "tile_i", "tile_j").sortWithinPartitions("component", "tile_i", "tile_j")

@@ -76,3 +76,13 @@ def test_near_duplicates_by_jaccard(spark):
     assert [got.get(i, i) for i in range(len(docs))] == roots
     tiled = {r.doc_id: r.component_id for r in S.near_duplicate_groups(df, tile_rows=2).collect()}
     assert tiled == got
+
+
+def test_near_duplicates_with_unequal_repeats(spark):
+    """Sets decide, however often a text says the same shingle."""
+    words = [f"w{i}" for i in range(212)]
+    once, often = " ".join(words), " ".join(words + words[:12] * 20)
+    df = spark.createDataFrame([(1, once), (2, often), (3, "other words that nobody else says here")], "doc_id long, text string")
+    a, b = (set(S.shingle_hashes(S.words_of(t), 5).tolist()) for t in (once, often))
+    assert len(a & b) >= 0.9 * len(a | b)
+    assert {r.doc_id: r.component_id for r in S.near_duplicate_groups(df).collect()} == {1: 1, 2: 1}
