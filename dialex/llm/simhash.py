@@ -5,10 +5,12 @@ reference fingerprints, the pivots, are computed once. Two fingerprints whose di
 the radius are further apart than the radius, so a pair is discarded by its largest coordinate difference, and only
 survivors are compared bit by bit.
 
-Which pairs meet at all: for small radii, fingerprints that agree in two of a few more blocks than the radius can spoil
-(no link can be lost); for large ones, those that agree on some of many random samples of bits. Groups that meet are
-sorted by their distance to the first pivot, so that a fingerprint is compared within a band. Of each group's links only
-a spanning forest is passed on.
+Which pairs meet at all: fingerprints that agree in two of a few more blocks than the radius can spoil, so that no link
+can be lost. Groups that meet are sorted by their distance to the first pivot, so that a fingerprint is compared within
+a band. Of each group's links only a spanning forest is passed on.
+
+The pipeline's near-dedup links texts by the Jaccard similarity of their shingle sets instead. Its candidates share
+blocks of the sets themselves, again so that no link can be lost, whatever the number of texts.
 """
 
 from __future__ import annotations
@@ -35,11 +37,10 @@ BLOCKS = 4
 FEW, CROWD = 48, 4096
 #: Pairs compared at once in a task.
 PAIRS = 1 << 20
-#: Random samples of bits: this many of 16 bits, and as many more of longer ones as finds a pair as surely whose bits agree
-#: with probability AGREE each, what is expected at a Jaccard similarity of 0.8.
-SAMPLES, AGREE = 64, 0.848
 #: Blocks of a class of sets for each element in which sets that link can differ: spare ones, as some blocks stay empty.
 SPARE = 1.3
+#: Texts whose keys are sent on together.
+TEXTS = 256
 #: Nodes under one key that are compared pair by pair.
 TOGETHER = 16
 #: Keys that sets must share to be candidates, where so many are sure to be shared.
@@ -113,15 +114,12 @@ def _key_columns(fp: np.ndarray, samples: list[np.ndarray]) -> Iterator[np.ndarr
 
 
 def key_samples(width: int, radius: int, rows: int) -> list[np.ndarray]:
-    """The sets of bits on which fingerprints meet. Up to a radius of BLOCKS - 2, pairs of blocks: every link agrees in
-    one of them. Beyond, random samples whose size follows the number of rows, so that few unlike rows meet; longer
-    samples are more in number, so that pairs are found as surely at every size."""
-    if radius <= BLOCKS - 2:
-        blocks = np.array_split(np.arange(width), BLOCKS)
-        return [np.concatenate(c) for c in combinations(blocks, 2)]
-    size = int(np.clip(np.ceil(np.log2(max(rows, 2))) - 2, 12, KEY_BITS))
-    rng = np.random.default_rng([SEED, width, size])
-    return [np.sort(rng.choice(width, size, replace=False)) for _ in range(max(SAMPLES, int(np.ceil(SAMPLES * AGREE ** (16 - size)))))]
+    """The sets of bits on which fingerprints meet, the same for any number of rows: pairs of blocks, as every link of
+    up to BLOCKS - 2 differing bits agrees in one of them."""
+    if radius > BLOCKS - 2:
+        raise ValueError(f"radius must be at most {BLOCKS - 2}")
+    blocks = np.array_split(np.arange(width), BLOCKS)
+    return [np.concatenate(c) for c in combinations(blocks, 2)]
 
 
 def pivot_distances(fp: np.ndarray) -> np.ndarray:
@@ -319,10 +317,10 @@ def set_keys(h: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _set_keys(batches: Iterator[pa.RecordBatch], n: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [set_keys(np.unique(shingle_hashes(words_of(t), n)), least) for t in batch.column(1).to_pylist()]
-        if found:
-            keys, needs = zip(*found, strict=True)
-            node = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+        for lo in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(lo, TEXTS)
+            keys, needs = zip(*(set_keys(np.unique(shingle_hashes(words_of(t), n)), least) for t in part.column(1).to_pylist()), strict=True)
+            node = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node), pa.array(np.concatenate(needs))], names=["key", "node", "need"])
 
 

@@ -86,3 +86,16 @@ def test_near_duplicates_with_unequal_repeats(spark):
     a, b = (set(S.shingle_hashes(S.words_of(t), 5).tolist()) for t in (once, often))
     assert len(a & b) >= 0.9 * len(a | b)
     assert {r.doc_id: r.component_id for r in S.near_duplicate_groups(df).collect()} == {1: 1, 2: 1}
+
+
+def test_no_similar_pair_is_lost_at_the_threshold(spark):
+    """Pairs right at 0.8 share enough keys, however many other texts there are: keys don't depend on their number."""
+    rng = np.random.default_rng(4)
+    for n in (60, 225, 900):
+        for _ in range(200):
+            h = np.unique(rng.integers(0, 1 << 63, n + n // 4, dtype=np.int64).astype(np.uint64) << np.uint64(1))
+            a, b = (dict(zip(*(x.tolist() for x in S.set_keys(s, 0.8)), strict=True)) for s in (np.sort(rng.permutation(h)[: int(np.ceil(0.8 * len(h)))]), h))
+            needs = [min(a[k], b[k]) for k in a.keys() & b.keys()]
+            assert any(needs.count(x) >= x for x in needs)
+    with pytest.raises(ValueError):
+        S.key_samples(128, 28, 1000)
