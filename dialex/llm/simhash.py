@@ -293,7 +293,8 @@ def set_keys(h: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     of 1 / least. A pair meets in the class of its smaller size, so a set has keys in every class that a partner no
     larger than itself can have. A class deals hashes into blocks, and a key is what one block that isn't empty holds.
     As d differing elements spoil d blocks at most, a set shares all its keys but d with each partner; of the smallest
-    d + j keys of either, the j smallest shared ones are left.
+    d + j keys of either, the j smallest shared ones are left. Sets of a few elements may fill no more than d blocks; two
+    such have the smallest of the hashes that they share among the first n - least * n + 1 of either.
     """
     n = len(h)
     if not n:
@@ -309,7 +310,12 @@ def set_keys(h: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(np.diff(of, prepend=np.uint64(blocks)))
         key = np.sort(remix(np.bitwise_xor.reduceat(mixed, at) + remix(of[at] + np.uint64(c + 1 << 33))))
         d = int((n + (int(n / least + 1e-9) if n <= last else last)) * apart + 1e-9)
-        need = min(SHARED, max(1, len(key) - d))
+        if len(key) <= d:  # a partner that fills more blocks decides how many; one that doesn't shares an early hash
+            early = remix(mixed[: n - int(np.ceil(least * n - 1e-9)) + 1] + np.uint64(c + 1))
+            keys += [key, early]
+            needs += [np.full(len(key), 127, np.int8), np.ones(len(early), np.int8)]
+            continue
+        need = min(SHARED, len(key) - d)
         keys.append(key[: d + need])
         needs.append(np.full(len(keys[-1]), need, np.int8))
     return np.concatenate(keys).view(np.int64), np.concatenate(needs)

@@ -99,3 +99,25 @@ def test_no_similar_pair_is_lost_at_the_threshold(spark):
             assert any(needs.count(x) >= x for x in needs)
     with pytest.raises(ValueError):
         S.key_samples(128, 28, 1000)
+
+
+def test_short_near_duplicates(spark):
+    """Texts of a few shingles against brute force: 4 of 5, 8 of 10 and 12 of 15 shared are similar by 0.8 exactly."""
+    rng = random.Random(3)
+    docs = []
+    for g in range(300):
+        w = [f"g{g}x{i}" for i in range(20)]
+        n = rng.choice([8, 9, 12, 16, 19])
+        docs += [" ".join(w[: n + k]) for k in (0, 1, 3)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    sets = [set(S.shingle_hashes(S.words_of(t), 5).tolist()) for t in docs]
+    roots = components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    got = {r.doc_id: r.component_id for r in S.near_duplicate_groups(df).collect()}
+    assert [got.get(i, i) for i in range(len(docs))] == roots
+    found = 0
+    for i in range(3000):
+        h = np.unique(np.random.default_rng(i).integers(0, 1 << 63, 5, dtype=np.int64).astype(np.uint64) << np.uint64(1))
+        a, b = (list(zip(*(x.tolist() for x in S.set_keys(s, 0.8)), strict=True)) for s in (h[:4], h))
+        needs = [min(x, y) for k, x in a for q, y in b if k == q]
+        found += any(needs.count(x) >= x for x in needs)
+    assert found == 3000
