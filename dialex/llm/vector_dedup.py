@@ -1,10 +1,9 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by comparing all pairs, block by block.
 
-Each pass hashes a vector to sign bits of random projections, orders all vectors by the bits read as one number, and
-compares every vector with a bounded window of neighbours in that order; similar vectors share long prefixes in some
-pass. Verified pairs of all passes are united into components. Links lie within components, so the links themselves are
-then counted exactly, tile by tile inside each component: what a window misses in a crowd of copies isn't lost.
-Equal vectors are one representative with a multiplicity throughout.
+Vectors of one dimension are gathered into blocks of rows, and each block is compared with itself and all later ones by
+a product of matrices: links are counted exactly, and of each pair of blocks a spanning forest goes to the components.
+Nothing is shuffled for it, as tasks read the blocks from the shared folder. Hashing first would lose links in crowded
+regions, where neighbours' hashes say little. Equal vectors are one representative with a multiplicity throughout.
 """
 
 from __future__ import annotations
@@ -14,97 +13,103 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialex.llm.arrow_groups import matrix, runs
-from dialex.llm.common import bound_arrow, materialise, partitions, table
-from dialex.llm.components import Forest, connected_components, tiles
+from dialex.llm.arrow_groups import matrix
+from dialex.llm.common import bound_arrow, materialise, table
+from dialex.llm.components import connected_components
 from dialex.llm.topk import usable
 
-PASSES, BITS, WINDOW, SEED = 16, 62, 64, 11
 TILE_ROWS = 2048
-CHUNK = 512
-
-
-def _project(batches: Iterator[pa.RecordBatch], passes: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(dim, pass, key, node, v): the vector once a pass, with its sign bits as an integer."""
-    planes: dict[int, np.ndarray] = {}
-    for batch in batches:
-        lengths = batch.column(1).value_lengths().to_numpy()
-        for dim in np.unique(lengths).tolist():
-            part = batch.filter(pa.array(lengths == dim))
-            if dim not in planes:
-                planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
-            signs = (matrix(part.column(1), np.float64) @ planes[dim] > 0).reshape(part.num_rows, passes, BITS)
-            keys = signs.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-            for p in range(passes):
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(keys[:, p]), part.column(0), part.column(1)], names=["dim", "pass", "key", "node", "v"])
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.outer(np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1)))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], least: float, window: int) -> Iterator[pa.RecordBatch]:
-    """Verified pairs among the sorted rows of each (dim, pass); of each window's pairs a spanning forest is enough."""
-    names = ["a", "b"]
-    tail: tuple[tuple, np.ndarray, np.ndarray] | None = None
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """(block, dim, nodes, ns, vs): up to `rows` vectors of one dimension as one row of bytes."""
+    done = 0
+    for batch in batches:
+        lengths = batch.column(2).value_lengths().to_numpy()
+        for dim in np.unique(lengths).tolist():
+            part = batch.filter(pa.array(lengths == dim))
+            for lo in range(0, part.num_rows, rows):
+                t = part.slice(lo, rows)
+                data = [t.column(0).to_numpy().tobytes(), t.column(1).to_numpy().tobytes(), matrix(t.column(2), np.float64).tobytes()]
+                block = TaskContext.get().partitionId() << 34 | done
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([dim], pa.int32()), *[pa.array([d], pa.binary()) for d in data]], names=["block", "dim", "nodes", "ns", "vs"])
+                done += 1
+
+
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of entries that join all rows and columns which the set entries of a matrix join."""
+    rows, cols = near.any(axis=1), near.any(axis=0)
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in np.flatnonzero(rows).tolist():
+        queue = [start] if rows[start] else []
+        rows[start] = False
+        while queue:
+            r = queue.pop()
+            new = np.flatnonzero(near[r] & cols)
+            if not len(new):
+                continue
+            cols[new] = False
+            i.append(np.full(len(new), r))
+            j.append(new)
+            left = np.flatnonzero(rows)
+            met = near[np.ix_(left, new)]
+            reached = met.any(axis=1)
+            left = left[reached]
+            rows[left] = False
+            i.append(left)
+            j.append(new[met[reached].argmax(axis=1)])
+            queue += left.tolist()
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _met(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(node, links, other) of pairs of blocks: for each row, how many rows of the other block it links with,
+    multiplicities counted; and, with no links, pairs that join what the links join."""
     for batch in batches:
-        for key, t in runs(iter([batch]), 2):
-            nodes, v = t.column("node").to_numpy(), matrix(t.column("v"), np.float64)
-            if tail and tail[0] == key:
-                nodes, v, new = np.concatenate([tail[1], nodes]), np.concatenate([tail[2], v]), len(tail[1])
-            else:
-                new = 0
-            for at in range(new, len(nodes), CHUNK):
-                lo, hi = max(0, at - window), min(at + CHUNK, len(nodes))
-                i, j = np.nonzero(cosines(v[at:hi], v[lo:hi]) >= least)
-                forest = Forest(hi - lo)
-                i = i + at - lo
-                pairs = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if y < x and forest.join(x, y)]
-                if pairs:
-                    x, y = np.array(pairs).T + lo
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], names=names)
-            tail = (key, nodes[-window:], v[-window:])
-
-
-def _tile_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """(node, links, met): for each row of a tile, the rows of the other side that it links with, multiplicities
-    counted, and the smallest of them."""
-    for (_, i, j), t in runs(batches, 3):
-        node, n, side = t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("side").to_numpy()
-        v = matrix(t.column("v"), np.float64)
-        if i == j:
-            near = cosines(v, v) >= least
-            np.fill_diagonal(near, False)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(near @ n)], names=["node", "links"])
-        elif side.any() and not side.all():
-            one, two = side == 0, side == 1
-            near = cosines(v[one], v[two]) >= least
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[one], node[two]])), pa.array(np.concatenate([near @ n[two], near.T @ n[one]]))], names=["node", "links"])
-
-
-def near_duplicates(rows: DataFrame, least: float = 0.95, passes: int = PASSES, window: int = WINDOW, seed: int = SEED, tile_rows: int = TILE_ROWS) -> DataFrame:
+        for r in range(batch.num_rows):
+            at = {name: batch.column(k)[r] for k, name in enumerate(batch.schema.names)}
+            if at["dim"] != at["dim2"]:
+                continue
+            (one, two), (n, m), (v, w) = ([np.frombuffer(at[c + x].as_buffer(), kind) for x in ("", "2")] for c, kind in (("nodes", np.int64), ("ns", np.int64), ("vs", np.float64)))
+            same = at["block"] == at["block2"]
+            near = cosines(v.reshape(len(one), -1), w.reshape(len(two), -1)) >= least
+            if same:
+                np.fill_diagonal(near, False)
+            if not near.any():
+                continue
+            i, j = spanning(near)
+            node, links = (one, near @ m) if same else (np.concatenate([one, two]), np.concatenate([near @ m, near.T @ n]))
+            node, links = node[links > 0], links[links > 0]
+            other = np.concatenate([np.zeros(len(node), np.int64), two[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, one[i]])), pa.array(np.concatenate([links, np.zeros(len(i), np.int64)])), pa.array(other, mask=np.arange(len(other)) < len(node))], names=["node", "links", "other"])
+
+
+def near_duplicates(rows: DataFrame, least: float = 0.95, window: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, n_links, component) for every row of (id, v).
 
     Vectors link at a cosine of `least` or more, in double precision, with vectors of their own dimension. Rows without
     an id, and null, empty, zero or partly null or non-finite vectors link with nothing and are their own component.
-    Equal rows link with each other; ids should be unique, or equal ids count as one node with that many rows.
+    Equal rows link with each other; ids should be unique, or equal ids count as one node with that many rows. `window`
+    has no effect any more: blocks of `tile_rows` rows are all compared.
     """
     bound_arrow(rows.sparkSession)
     fine = F.coalesce(F.col("id").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.lit(False))
     vectors = materialise(rows.where(fine).select(F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double") + F.lit(0.0)).alias("v")), "vectors")
     reps = materialise(vectors.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n")), "reps")
-    schema = "dim int, pass int, key long, node long, v array<double>"
-    keyed = reps.select("node", "v").mapInArrow(partial(_project, passes=passes, seed=seed), schema)
-    ordered = keyed.repartitionByRange(partitions(rows.sparkSession), "dim", "pass", "key", "node").sortWithinPartitions("dim", "pass", "key", "node")
-    edges = materialise(ordered.mapInArrow(partial(_windows, least=least, window=window), "a long, b long").distinct(), "edges")
-    comps = materialise(connected_components(edges), "components")
-    members = tiles(reps.join(comps, "node"), "component", tile_rows)
-    dealt = members.select("component", "tile_i", "tile_j", "side", "node", "n", "v").repartition("component", "tile_i", "tile_j").sortWithinPartitions("component", "tile_i", "tile_j")
-    links = dealt.mapInArrow(partial(_tile_links, least=least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    blocks = materialise(reps.select("node", "n", "v").mapInArrow(partial(_blocks, rows=tile_rows), "block long, dim int, nodes binary, ns binary, vs binary"), "blocks")
+    others = blocks.select(*[F.col(c).alias(c + "2") for c in blocks.columns])
+    pairs = blocks.join(others.hint("shuffle_replicate_nl"), F.col("block") <= F.col("block2"))
+    met = materialise(pairs.mapInArrow(partial(_met, least=least), "node long, links long, other long"), "met")
+    comps = materialise(connected_components(met.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))), "components")
+    links = met.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = reps.join(links, "node", "left").join(comps, "node", "left")
     grouped = grouped.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     linked = vectors.join(grouped, "v").select("id", "n_links", "component")

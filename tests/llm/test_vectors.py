@@ -39,6 +39,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(map(tuple, tiled.collect()), key=str) == got
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """Links among vectors that are all alike (cosine 0.9), where hashes and windows of neighbours lose some."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    v = unit(np.sqrt(0.9) * unit(rng.standard_normal(64)) + np.sqrt(0.1) * unit(rng.standard_normal((4000, 64))))
+    v = np.concatenate([v, unit(v[:200] + 0.28 * unit(rng.standard_normal((200, 64))))])
+    near = v @ v.T >= 0.95
+    f = Forest(len(v))
+    for i, j in zip(*np.nonzero(near), strict=True):
+        f.join(int(i), int(j))
+    got = {r.id: (r.n_links, r.component) for r in vector_dedup.near_duplicates(spark.createDataFrame(list(enumerate(v.tolist())), "id long, v array<double>")).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, f.find(i)) for i in range(len(v))}
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert vector_dedup.near_duplicates(none).count() == 0
