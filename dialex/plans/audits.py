@@ -80,8 +80,9 @@ def twin_films(c: Corpus) -> DataFrame:
 
 
 #: Files of a made-up directory: ten documents stand next to each other in one; the first is the chosen one.
-def directories(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    files = c.counts.where("film_id < 400").select(F.expr("film_id div 10").alias("film_id"), F.format_string("%04d", F.col("film_id")).alias("name"), "word", "count")
+def directories(c: Corpus, below: int | None = None) -> tuple[DataFrame, DataFrame]:
+    counts = c.counts if below is None else c.counts.where(F.col("film_id") < below)
+    files = counts.select(F.expr("film_id div 10").alias("film_id"), F.format_string("%04d", F.col("film_id")).alias("name"), "word", "count")
     return files, files.groupBy("film_id").agg(F.min("name").alias("name"))
 
 
@@ -93,18 +94,38 @@ pc AS (SELECT fc.film_id, fc.picked, o.file, coalesce(sum(x.count * y.count)::DO
 dc AS (SELECT film_id, coalesce(avg((cosine >= 0.4)::INT), 1.0) AS consensus FROM fc LEFT JOIN pc USING (film_id) GROUP BY film_id)"""
 
 
+#: The same for every document; the two queries without `_all` keep to the documents that their SQL names.
+_ALL_DIRS = _DIRS.replace(" WHERE film_id < 400", "")
+
+
 @query("directory_consensus", _DIRS + " SELECT film_id, consensus FROM dc")
 def directory_consensus(c: Corpus) -> DataFrame:
+    return audit.directory_consensus(*directories(c, 400), agree=0.4)
+
+
+@query("directory_consensus_all", _ALL_DIRS + " SELECT film_id, consensus FROM dc")
+def directory_consensus_all(c: Corpus) -> DataFrame:
     return audit.directory_consensus(*directories(c), agree=0.4)
 
 
-@query("mislabel_victim", _DIRS + " SELECT a.film_id AS a, b.film_id AS b, CASE WHEN a.consensus >= 0.8 AND b.consensus < 0.5 THEN 1 WHEN b.consensus >= 0.8 AND a.consensus < 0.5 THEN 0 END::INT AS victim FROM dc a JOIN dc b ON b.film_id = a.film_id + 1")
-def mislabel_victim(c: Corpus) -> DataFrame:
-    d = audit.directory_consensus(*directories(c), agree=0.4)
+_VICTIMS = " SELECT a.film_id AS a, b.film_id AS b, CASE WHEN a.consensus >= 0.8 AND b.consensus < 0.5 THEN 1 WHEN b.consensus >= 0.8 AND a.consensus < 0.5 THEN 0 END::INT AS victim FROM dc a JOIN dc b ON b.film_id = a.film_id + 1"
+
+
+def _victims(d: DataFrame) -> DataFrame:
     a, b = d.select(F.col("film_id").alias("a"), F.col("consensus").alias("ca")), d.select(F.col("film_id").alias("b"), F.col("consensus").alias("cb"))
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", audit.victim(F.col("ca"), F.col("cb")).alias("victim"))
 
 
+@query("mislabel_victim", _DIRS + _VICTIMS)
+def mislabel_victim(c: Corpus) -> DataFrame:
+    return _victims(directory_consensus(c))
+
+
+@query("mislabel_victim_all", _ALL_DIRS + _VICTIMS)
+def mislabel_victim_all(c: Corpus) -> DataFrame:
+    return _victims(directory_consensus_all(c))
+
+
 @query("cast_across_films", """, cst AS (SELECT film_id + 1 AS film_id, word FROM words WHERE word IN (SELECT word FROM dict WHERE films <= 3) AND count >= 2),
 rr AS (SELECT word FROM cst LEFT JOIN meta USING (word) GROUP BY word HAVING count(DISTINCT film_id) <= 3 AND any_value(coalesce(zipf, 0)) < 3),
 ow AS (SELECT DISTINCT word, film_id AS other_id FROM cst WHERE word IN (SELECT word FROM rr)),
