@@ -13,11 +13,12 @@ from dialex.functions.stats import shift_score
 DECADES = tuple(range(1930, 2030, 10))
 
 
-def leaderboard(words: DataFrame, stopwords: Iterable[str] = (), top: int = 1000, only_stopwords: bool = False) -> DataFrame:
-    """(word, count, films), most said first; ties by word."""
+def leaderboard(words: DataFrame, stopwords: Iterable[str] = (), top: int | None = 1000, only_stopwords: bool = False) -> DataFrame:
+    """(word, count, films), most said first; ties by word. With no `top`, all words in any order."""
     stop = F.col("word").isin(*stopwords)
     rows = words.where(stop if only_stopwords else ~stop)
-    return rows.groupBy("word").agg(F.sum("count").alias("count"), F.count("*").alias("films")).orderBy(F.desc("count"), "word").limit(top)
+    found = rows.groupBy("word").agg(F.sum("count").alias("count"), F.count("*").alias("films"))
+    return found if top is None else found.orderBy(F.desc("count"), "word").limit(top)
 
 
 def filtered_leaderboard(words: DataFrame, films: DataFrame, meta: DataFrame, where: Column, top: int = 400) -> DataFrame:

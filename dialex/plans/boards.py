@@ -106,7 +106,7 @@ def filtered_words(c: Corpus) -> DataFrame:
 
 @query("adjectives_card", f"SELECT word, count FROM dict JOIN meta USING (word) WHERE pos = 'a' AND zipf < 5 AND word NOT IN {STOP} ORDER BY count DESC, word LIMIT 5")
 def adjectives_card(c: Corpus) -> DataFrame:
-    rows = boards.leaderboard(c.words, c.stopwords, 1_000_000).join(c.meta, "word")
+    rows = boards.leaderboard(c.words, c.stopwords, None).join(c.meta, "word")
     return rows.where(word_filter(F.col("word"), F.col("zipf"), F.col("pos"), c.stopwords, include="a")).select("word", "count").orderBy(F.desc("count"), "word").limit(5)
 
 
@@ -182,7 +182,7 @@ def hero_stats(c: Corpus) -> DataFrame:
 
 @query("word_page_two", f"SELECT word, count, films FROM (SELECT *, row_number() OVER (ORDER BY count DESC, word) AS n FROM dict WHERE word NOT IN {STOP}) WHERE n > 50 AND n <= 100")
 def word_page_two(c: Corpus) -> DataFrame:
-    rows = boards.leaderboard(c.words, c.stopwords, 1_000_000)
+    rows = boards.leaderboard(c.words, c.stopwords, None)
     return boards.page(rows, [F.desc("count"), F.asc("word")], 2)
 
 

@@ -181,7 +181,7 @@ def random_shelf(c: Corpus) -> DataFrame:
 
 @query("rare_sort", f"SELECT word, count, films FROM dict WHERE word NOT IN {STOP} ORDER BY films, count DESC, word LIMIT 50")
 def rare_sort(c: Corpus) -> DataFrame:
-    rows = boards.leaderboard(c.words, c.stopwords, 1_000_000)
+    rows = boards.leaderboard(c.words, c.stopwords, None)
     return rows.orderBy(*pages.sort_words(rows, "rare")).limit(50)
 
 
