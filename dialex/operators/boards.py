@@ -88,8 +88,10 @@ def ubiquity(words: DataFrame, films: DataFrame, stopwords: Iterable[str] = (),
     return rows.crossJoin(F.broadcast(n)).select("word", "films", F.round(F.col("films") / F.col("n"), 4).alias("share"))
 
 
-def swears_per_film(words: DataFrame, ids: Iterable, profanity: Iterable[str]) -> DataFrame:
-    return words.where(F.col("film_id").isin(*ids) & F.col("word").isin(*profanity)).groupBy("film_id").agg(F.sum("count").alias("swears"))
+def swears_per_film(words: DataFrame, ids: Iterable | None, profanity: Iterable[str]) -> DataFrame:
+    """(film_id, swears) of the films to compare, or of all without `ids`."""
+    chosen = words if ids is None else words.where(F.col("film_id").isin(*ids))
+    return chosen.where(F.col("word").isin(*profanity)).groupBy("film_id").agg(F.sum("count").alias("swears"))
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:

@@ -175,6 +175,11 @@ def swears_per_film(c: Corpus) -> DataFrame:
     return boards.swears_per_film(c.words, range(400), c.profanity)
 
 
+@query("swears_per_film_all", f"SELECT film_id, sum(count)::BIGINT AS swears FROM words WHERE word IN {SWEAR} GROUP BY film_id")
+def swears_per_film_all(c: Corpus) -> DataFrame:
+    return boards.swears_per_film(c.words, None, c.profanity)
+
+
 @query("hero_stats", "SELECT count(*)::BIGINT AS films, sum(total_words)::BIGINT AS words FROM films")
 def hero_stats(c: Corpus) -> DataFrame:
     return corpus.hero_stats(c.films)
