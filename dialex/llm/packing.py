@@ -2,9 +2,10 @@
 
 A document longer than a window gives whole windows and a remainder. Remainders are gathered into groups worth a few
 windows, and multiway differencing deals each group into near-equal windows: the two partial partitions of largest
-spread are merged, heaviest part against lightest, until one is left. The number of windows rises whenever a group
-holds more than its windows can. What then stands over a window's capacity, a few ids as a rule, is cut off and levels
-a lighter window. Each task packs what it reads, so nothing is shuffled.
+spread are merged, heaviest part against lightest, until one is left. The number of windows in a group is
+fixed by its ids: what stands over a window's capacity, a few ids as a rule, is cut off and levels a lighter window,
+where the plain rule would add one (`pack_group` with `cut=False`, which no query uses). Each task packs what it reads,
+so nothing is shuffled.
 """
 
 from __future__ import annotations
