@@ -1,11 +1,11 @@
 """Packing of token ids into sequences of at most a fixed length, by Karmarkar-Karp multiway differencing.
 
 A document longer than a window gives whole windows and a remainder. Remainders are gathered into groups worth a few
-windows, and multiway differencing deals each group into near-equal windows: the two partial partitions of largest
-spread are merged, heaviest part against lightest, until one is left. The number of windows in a group is
-fixed by its ids: what stands over a window's capacity, a few ids as a rule, is cut off and levels a lighter window,
-where the plain rule would add one (`pack_group` with `cut=False`, which no query uses). Each task packs what it reads,
-so nothing is shuffled.
+windows, and multiway differencing deals each group, uncut, into near-equal windows: the two partial partitions of
+largest spread are merged, heaviest part against lightest, until one is left. Whenever the heaviest window is over its
+capacity, the count of windows rises and the group is dealt anew. The room that is left is then filled with cuts of the
+lightest window, and what is left of that one goes on to the next group. Each task packs what it reads, so nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,42 +25,52 @@ from pyspark.sql import functions as F
 from dialex.llm.common import bound_arrow, table
 from dialex.llm.tokens import by_bytes, load
 
-#: Windows in a group of remainders, and words in one string for the tokenizer.
+#: Windows' worth of remainders in a group, and words in one call or one string for the tokenizer.
 GROUP_WINDOWS = 16
 JOINED = 500
-#: Words remembered by a worker before it starts anew.
-KEEP_WORDS = 1_000_000
+#: Lower-case letters of Latin-1: neither normalisation nor splitting by classes of characters changes a word of them.
+PLAIN = "a-z\u00df-\u00f6\u00f8-\u00ff"
+#: A word that ends in ASCII punctuation, with no apostrophe in that end.
+ENDED = f"^(.*[{PLAIN}0-9])([!-&(-/:;=?@\\[-`~]+)$"
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` that start at `first` and are `size` long, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)]
+
+
 class IdEncoder:
     """Ids of texts from a tokenizers file whose pre-tokenizer drops white space, so that words can be encoded apart.
 
-    Each distinct word is encoded once by the tokenizer; a text's ids are gathered from one flat array. Many words go in
-    one call, with a special token of the vocabulary between them, which the tokenizer takes out before anything else.
-    `whole` falls back to whole texts for tokenizers that keep white space.
+    The distinct words of a batch are encoded by the library once each, and its texts' ids are gathered from one flat
+    array; nothing is remembered from batch to batch, so memory follows the batch alone. Where the library takes letters
+    and punctuation apart and ignores case, as a trial of the file shows, words are first lower-cased (ASCII) and parted
+    from the punctuation they end in, and words of plain lower-case letters skip the normaliser, which would leave them
+    as they are. Other words go in one call, with a special token of the vocabulary between them, which the library takes
+    out before anything else; words that could hold a special token go by themselves. `whole` falls back to whole texts
+    for tokenizers that keep white space.
     """
 
     def __init__(self, path: str):
+        from tokenizers import pre_tokenizers
+
         self.model = load(path)
         special = [t.content for t in self.model.get_added_tokens_decoder().values() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.sep = min(special, default=None)
+        self.marks = sorted({t.content[:1] for t in self.model.get_added_tokens_decoder().values()})
         probe = "It's  12\to'clock,\nisn't it? <|endoftext|>x ć d"
-        self.whole = self._ids(probe) != [i for w in self._words(probe) for i in self._ids(w)]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.start = np.zeros(1, np.int64)
+        self.whole = self._ids(probe) != [i for w in probe.replace("\n", " ").split(" ") if w for i in self._ids(w)]
+        self.bare = type(self.model).from_str(self.model.to_str())
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        trial = ["The", "ÉTÉ", "été", "straße", "naïve", "don't", "o'clock", "x9", "a1b2", "qwertyuiop", "ÿ", "supercalifragilistic"]
+        self.parted = self.sep is not None and all(self._ids(w + e) == self._ids(w.translate(_LOWER)) + self._ids(e) for w in trial for e in (".", ",", "!!", "...", '")', "%%%", "-", "@#", ";:"))
+        self.parted &= all(self._ids(w) == self.bare.encode([w], is_pretokenized=True, add_special_tokens=False).ids for w in trial if w.isalpha() and w.islower())
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        return [w for w in text.replace("\n", " ").split(" ") if w]
-
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after the other, and how many each has."""
         if not self.sep:
@@ -72,46 +83,75 @@ class IdEncoder:
             raise ValueError("a word holds the separator")
         return ids[ids != ids[ends[0]]], np.diff(ends, prepend=-1) - 1
 
-    def _learn(self, words: set[str]) -> None:
-        """Words that could hold part of a special token are encoded by themselves."""
-        odd = [w for w in words if self.sep and self.sep[:2] in w]
-        parts, sizes = [self.flat], []
-        for batch in by_bytes(words.difference(odd)):
-            ids, n = self._encode(batch)
-            parts.append(ids)
-            sizes.append(n)
-            self.index.update(zip(batch, range(len(self.index), len(self.index) + len(batch)), strict=True))
-        for w in odd:
-            ids = self._ids(w)
-            self.index[w] = len(self.index)
-            parts.append(np.array(ids, np.uint32))
-            sizes.append(np.array([len(ids)], np.int64))
-        self.flat = np.concatenate(parts)
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of plain letters."""
+        ids, sizes = [], []
+        for i in range(0, len(words), JOINED):
+            e = self.bare.encode(words[i : i + JOINED], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(words[i : i + JOINED])))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, first, size): where each of the distinct words has its ids in one array."""
+        n = len(words)
+        odd = np.zeros(n, bool)
+        for mark in self.marks:
+            odd |= pc.match_substring(words, mark).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(words, f"^[{PLAIN}]+$").to_numpy(zero_copy_only=False) & ~odd if self.parted else np.zeros(n, bool)
+        at, ids, sizes = [], [], []
+        for kind, encode in ((plain, self._plain), (~plain & ~odd, self._encode), (odd, None)):
+            where = np.flatnonzero(kind)
+            some = words.take(pa.array(where)).to_pylist()
+            done = 0
+            for part in by_bytes(some) if encode else ([w] for w in some):
+                if encode:
+                    i, s = encode(part)
+                else:
+                    i = np.array(self._ids(part[0]), np.uint32)
+                    s = np.array([len(i)], np.int64)
+                at.append(where[done : done + len(part)])
+                done += len(part)
+                ids.append(i)
+                sizes.append(s)
+        first, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if at:
+            at, sizes = np.concatenate(at), np.concatenate(sizes)
+            first[at], size[at] = np.cumsum(sizes) - sizes, sizes
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), first, size
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array (null: empty)."""
         if self.whole:
-            return [np.array(self._ids(t), np.uint32) for t in texts]
-        split = [self._words(t) for t in texts]
-        if len(self.index) > KEEP_WORDS:
-            self._clear()
-        if new := {w for words in split for w in words} - self.index.keys():
-            self._learn(new)
-        get, out = self.index.__getitem__, []
-        for words in split:
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            first, size = self.start[at], self.start[at + 1] - self.start[at]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(first - (ends - size), size)])
-        return out
-
-
+            return [np.array(self._ids(t or ""), np.uint32) for t in texts.to_pylist()]
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        if self.parted and len(words):  # words become pairs of a stem and the punctuation it ends in
+            odd = pc.match_substring(words, self.marks[0])
+            for mark in self.marks[1:]:
+                odd = pc.or_(odd, pc.match_substring(words, mark))
+            low = pc.if_else(odd, words, pc.ascii_lower(words))
+            stem = pc.if_else(odd, words, pc.replace_substring_regex(low, ENDED, "\\1"))
+            end = pc.if_else(pc.equal(stem, low), "", pc.replace_substring_regex(low, ENDED, "\\2"))
+            both = pa.concat_arrays([stem, end]).dictionary_encode()
+            flat, first, size = self._table(both.dictionary)
+            pair = both.indices.to_numpy().reshape(2, -1).T.ravel()
+            flat, size = gather(flat, first[pair], size[pair]), size[pair].reshape(-1, 2).sum(axis=1)
+            first = np.cumsum(size) - size
+        else:
+            flat, first, size = self._table(words)
+        at = coded.indices.to_numpy()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return [gather(flat, first[at[a:b]], size[at[a:b]]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _ENCODERS: dict[str, IdEncoder] = {}
 
 
 def encoder_of(path: str) -> IdEncoder:
-    """A worker's encoder of a file, which keeps its words from task to task."""
+    """A worker's encoder of a file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = IdEncoder(path)
     return _ENCODERS[path]
@@ -142,48 +182,44 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return parts + [[] for _ in range(k - len(parts))]
 
 
-def targets(total: int, capacity: int) -> list[int]:
-    """Lengths that waste nothing: whole windows, then powers of two for the rest."""
-    rest = total % capacity
-    return [capacity] * (total // capacity) + [1 << i for i in reversed(range(rest.bit_length())) if rest >> i & 1]
+def powers(total: int) -> list[int]:
+    """Powers of two that add up to a number, largest first."""
+    return [1 << i for i in reversed(range(total.bit_length())) if total >> i & 1]
+
 
+def pack_group(sizes: list[int], capacity: int, fill: bool = True) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """(windows, rest) of pieces (item, start, length), from items that are no longer than a window.
 
-def pack_group(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start, length). With `cut`, windows are levelled to `targets`; without, no item is cut and
-    the number of windows rises until the heaviest fits (items must not be longer than a window then)."""
+    The items are dealt uncut into as few windows as hold their sum, and into one more as long as the heaviest is over
+    capacity. With `fill`, the lightest windows are then cut up to fill all others, and the rest is less than a window;
+    without, no item is cut, windows are near-equal, and there is no rest.
+    """
     total = sum(sizes)
     if not total:
-        return []
-    if not cut:
-        k = -(-total // capacity)
-        while True:
-            parts = difference(sizes, k)
-            if max(sum(sizes[i] for i in p) for p in parts) <= capacity:
-                return [[(i, 0, sizes[i]) for i in p if sizes[i]] for p in parts if p]
-            k += 1
-    goal = targets(total, capacity)
-    parts = difference(sizes, len(goal))
-    parts.sort(key=lambda p: -sum(sizes[i] for i in p))
-    windows, over = [], []
-    for p, most in zip(parts, goal, strict=True):
-        room, window = most, []
-        for i in sorted(p, key=lambda i: -sizes[i]):
-            take = min(room, sizes[i])
-            if take:
-                window.append((i, 0, take))
-            if take < sizes[i]:
-                over.append((i, take, sizes[i] - take))
-            room -= take
-        windows.append((room, window))
-    for room, window in windows:
+        return [], []
+    k = -(-total // capacity)
+    while True:
+        parts = difference(sizes, k)
+        loads = [sum(sizes[i] for i in p) for p in parts]
+        if max(loads) <= capacity:
+            break
+        k += 1
+    order = sorted(range(k), key=lambda p: -loads[p])
+    windows = [[(i, 0, sizes[i]) for i in parts[p] if sizes[i]] for p in order]
+    if not fill:
+        return [w for w in windows if w], []
+    loose = [piece for w in reversed(windows[total // capacity :]) for piece in w]
+    windows = windows[: total // capacity]
+    for p, w in enumerate(windows):
+        room = capacity - loads[order[p]]
         while room:
-            i, start, length = over.pop()
+            i, start, length = loose.pop()
             take = min(room, length)
-            window.append((i, start, take))
+            w.append((i, start, take))
             if take < length:
-                over.append((i, start + take, length - take))
+                loose.append((i, start + take, length - take))
             room -= take
-    return [w for _, w in windows]
+    return windows, loose
 
 
 def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -201,10 +237,23 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, e
             offset += len(ids)
         done += 1
 
-    def flush() -> None:
-        for window in pack_group([len(h[3]) for h in held], capacity):
-            emit([(held[i][0], held[i][1] + a, held[i][2], held[i][3][a : a + n]) for i, a, n in window])
-        held.clear()
+    def flush(last: bool = False) -> None:
+        windows, rest = pack_group([len(h[3]) for h in held], capacity)
+        cut = lambda i, a, n: (held[i][0], held[i][1] + a, held[i][2], held[i][3][a : a + n])
+        for window in windows:
+            emit([cut(*piece) for piece in window])
+        left = [cut(*piece) for piece in rest]
+        held[:] = [] if last else left
+        if last:  # windows whose lengths are powers of two are not padded
+            for room in powers(sum(len(x[3]) for x in left)):
+                window = []
+                while room:
+                    doc, at, of, ids = left.pop()
+                    window.append((doc, at, of, ids[:room]))
+                    if len(ids) > room:
+                        left.append((doc, at + room, of, ids[room:]))
+                    room -= len(window[-1][3])
+                emit(window)
 
     def table_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [[]] * 7
@@ -214,27 +263,21 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, e
     for batch in batches:
         docs = batch.column(0).to_pylist()
         kind = batch.column(0).type
-        for doc, ids in zip(docs, encoder.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+        for doc, ids in zip(docs, encoder.ids(batch.column(1)), strict=True):
             ids = np.append(ids, np.uint32(end_id))
             of, at = len(ids), 0
             while of - at >= capacity:
                 emit([(doc, at, of, ids[at : at + capacity])])
                 at += capacity
-            if at == of:
-                continue
-            full = GROUP_WINDOWS * capacity
-            rest = ids[at:]
-            if held_size + len(rest) >= full:  # the group is made to fill its windows; the cut end starts the next one
-                part = full - held_size
-                held.append((doc, at, of, rest[:part]))
-                flush()
-                held_size, rest, at = 0, rest[part:], at + part
-            if len(rest):
-                held.append((doc, at, of, rest))
-                held_size += len(rest)
+            if at < of:
+                held.append((doc, at, of, ids[at:]))
+                held_size += of - at
+                if held_size >= GROUP_WINDOWS * capacity:
+                    flush()
+                    held_size = sum(len(h[3]) for h in held)
         yield table_of(out)
         out.clear()
-    flush()
+    flush(last=True)
     if out:
         yield table_of(out)
 

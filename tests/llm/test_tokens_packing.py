@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dialex.llm import packing, tokens
@@ -32,13 +33,18 @@ def test_a_full_cache_is_emptied(monkeypatch):
         assert count([t, "the " + t]) == [len(model.encode(t)), len(model.encode("the " + t))]
 
 
-def test_ids_are_the_library_s(monkeypatch):
+def test_ids_are_the_library_s():
     model = tokens.load("word_bpe_49k.json")
     encoder = packing.IdEncoder("word_bpe_49k.json")
-    assert not encoder.whole
-    monkeypatch.setattr(packing, "KEEP_WORDS", 50)
-    for t in random_texts(800):
-        assert encoder.ids([t])[0].tolist() == model.encode(t, add_special_tokens=False).ids
+    assert not encoder.whole and encoder.parted
+    rng = random.Random(8)
+    bits = ["The", "été", "ÉTÉ", "straße", "Ünïcode", "ªº", "x", "ſt", "ǅ", "don", "'", "t", "'S", "9", "...", "!", "%%%", '")', "<|ENDOFTEXT|>", "<|endoftext|>", "<", "|>", "-", "́", "̸", "Σ", "İ", "日本", "ⅷ", "\t", "\r", "\x1c", "\x85", " ", "\n", "µ", "×", "ÿ", "Ÿ", "Ꞌ"]
+    texts = random_texts(800) + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(4000)] + ["", "x" * 5000]
+    real = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.ids(pa.array(texts))] == real
+    for t, ids in zip(texts[::20], real[::20], strict=True):
+        assert encoder.ids(pa.array([t, None]))[0].tolist() == ids
+    assert encoder.ids(pa.array([], pa.string())) == [] and [len(x) for x in encoder.ids(pa.array([None, ""], pa.string()))] == [0, 0]
 
 
 @pytest.mark.parametrize("capacity", [16, 2048])
@@ -84,6 +90,19 @@ def test_differencing():
         assert len(parts) == k and sorted(i for p in parts for i in p) == list(range(len(sizes)))
         loads = [sum(sizes[i] for i in p) for p in parts]
         assert max(loads) - min(loads) <= max(sizes)
-        uncut = packing.pack_group(sizes, 120, cut=False)
+        full, rest = packing.pack_group(sizes, 120)
+        pieces = sorted(x for w in [*full, rest] for x in w)
+        assert all(sum(n for _, _, n in w) == 120 for w in full) and sum(n for _, _, n in rest) == sum(sizes) % 120
+        assert all(sum(n for i, _, n in pieces if i == k) == s for k, s in enumerate(sizes)) and all(a + n == b for (i, a, n), (j, b, _) in zip(pieces, pieces[1:]) if i == j)
+        uncut, rest = packing.pack_group(sizes, 120, fill=False)
+        assert not rest
         assert all(sum(n for _, _, n in w) <= 120 for w in uncut) and sorted(i for w in uncut for i, _, _ in w) == list(range(len(sizes)))
     assert sorted(sum([4, 5, 6, 7, 8][i] for i in p) for p in packing.difference([4, 5, 6, 7, 8], 2)) == [14, 16]
+
+
+def test_the_window_count_rises():
+    windows, rest = packing.pack_group([70, 70, 60], 100, fill=False)  # 200 ids, but no two items fit one window
+    assert len(windows) == 3 and not rest
+    windows, rest = packing.pack_group([70, 70, 60], 100)
+    assert [sum(n for _, _, n in w) for w in windows] == [100, 100] and not rest
+    assert sorted(len({i for i, _, _ in w}) for w in windows) == [2, 2]  # two items stay whole, the third fills their room
