@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,26 @@ def bound_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+def unused(taken: Iterable[str], name: str) -> str:
+    """`name`, with underscores before it until no column in `taken` is called so (Spark ignores case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Only a local session, as in tests, may leave
+    it unset; it gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="dialex-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialex.llm.common import materialise, partitions, table
+from dialex.llm.common import columns, materialise, partitions, table, unused
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,10 +36,11 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
     return keyed.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def _hot_keys(lines: DataFrame, hot_keys: int) -> DataFrame:
-    """(h1, h2, first) of the keys with at least 1/hot_keys of the lines; so at most hot_keys rows."""
+def _hot_keys(lines: DataFrame, hot_keys: int, least: int = 1000) -> DataFrame:
+    """(h1, h2, first) of the keys with at least 1/hot_keys of the lines; so at most hot_keys rows. Keys of fewer than
+    `least` lines are never hot: any task holds so many."""
     total = lines.count()
-    floor = max(total // hot_keys, 1000)
+    floor = max(total // hot_keys, least)
     bins = lines.groupBy(F.pmod("h1", F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n")).where(F.col("n") >= floor).select("bin")
     within = lines.withColumn("bin", F.pmod("h1", F.lit(BINS))).join(F.broadcast(bins), "bin", "left_semi")
     return within.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= floor).drop("n")
@@ -74,16 +75,29 @@ def kept_text(text: Column, bits: Column) -> Column:
     return F.when(bits.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.filter(lines_of(text), stays), "\n"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the columns _kept (text that is left), _n_lines (before) and _n_dropped; order isn't kept."""
-    maps = drop_bitmaps(docs, min_chars, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("n_dropped").alias("_gone"), F.col("bits").alias("_bits"))
-    joined = docs.join(maps, F.col(id_col) == F.col("_id"), "left")
-    text = F.col(text_col)
-    out = joined.withColumns({"_kept": kept_text(text, F.col("_bits")), "_n_lines": F.size(lines_of(text)).cast("long"), "_n_dropped": F.coalesce("_gone", F.lit(0)).cast("long")})
-    return out.drop("_id", "_gone", "_bits")
+OUT = ("_kept", "_n_lines", "_n_dropped")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", hot_keys: int = HOT_KEYS, out: tuple[str, str, str] = OUT) -> DataFrame:
+    """All rows and columns of `docs`, and three columns named in `out`: the text that is left, the lines before, and
+    the lines dropped; order isn't kept.
+
+    A null text counts as empty: one line, which stays. What null and shared ids mean is said at `drop_bitmaps`; an
+    empty table gives an empty result. Other columns may have any names but those in `out`.
+    """
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in out}:
+        raise ValueError(f"{sorted(clash)}: choose other names in `out`")
+    found = drop_bitmaps(docs, min_chars, id_col, text_col, hot_keys)
+    key, gone, bits = (unused(docs.columns, c) for c in ("_id", "_gone", "_bits"))
+    joined = docs.join(found.select(F.col("doc_id").alias(key), F.col("n_dropped").alias(gone), F.col("bits").alias(bits)), docs[id_col] == F.col(key), "left")
+    text = docs[text_col]
+    done = [kept_text(text, F.col(bits)), F.size(lines_of(text)).cast("long"), F.coalesce(F.col(gone), F.lit(0)).cast("long")]
+    return joined.select(*columns(docs), *[c.alias(n) for c, n in zip(done, out, strict=True)])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped from every document and the hash of what is left. Null and empty texts are one empty line, which
+    stays; rows without an id lose nothing; an empty table gives no row."""
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialex.llm.common import materialise, remove, table
+from dialex.llm.common import columns, materialise, remove, table, unused
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 MOST_COPIES = 3
@@ -128,7 +128,32 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, id_col: str = "doc_id", text_c
     return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"))
 
 
+def repeat_rows(docs: DataFrame, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, each as many times as `mix` takes it.
+
+    Rows that share an id, or have none, are told apart by source and size; those that agree in both share out the
+    copies that the mix gives them together. All columns stay, whatever their names; an empty table stays empty.
+    """
+    mixed = materialise(mix(docs, most, id_col, text_col, source_col).select("doc_id", "source", "size", "copies"), "mixed")
+    key, n, copies, size, rank, nth = (unused(docs.columns, c) for c in ("_id", "_n", "_copies", "_size", "_rank", "_nth"))
+    per_id = materialise(mixed.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(n), F.max("copies").alias(copies)), "copies")
+    out = docs.join(per_id.where((F.col(n) == 1) & (F.col(copies) > 0)), docs[id_col].eqNullSafe(F.col(key))).select(*columns(docs), F.col(copies))
+    shared = per_id.where(F.col(n) > 1)
+    if not shared.isEmpty():
+        src = unused(docs.columns, "_source")
+        groups = mixed.groupBy(F.col("doc_id").alias(key), F.col("source").alias(src), F.col("size").alias(size)).agg(F.count("*").alias(n), F.sum("copies").alias(copies))
+        groups = groups.where((F.col(copies) > 0) & (F.col(n) > 0)).join(shared.select(F.col(key).alias(nth)), F.col(key).eqNullSafe(F.col(nth)), "left_semi")
+        met = docs.join(groups, docs[id_col].eqNullSafe(F.col(key)) & docs[source_col].eqNullSafe(F.col(src)) & (word_count(docs[text_col]) == F.col(size)))
+        order = Window.partitionBy(key, src, size).orderBy(F.xxhash64(docs[text_col]), docs[text_col])
+        each = F.expr(f"`{copies}` div `{n}`") + F.when(F.col(rank) <= F.col(copies) % F.col(n), 1).otherwise(0)
+        met = met.withColumn(rank, F.row_number().over(order)).withColumn(copies, each.cast("int")).where(F.col(copies) > 0)
+        out = out.unionAll(met.select(*columns(docs), F.col(copies)))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns(docs))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Null texts have size 0 and are taken zero times; a null source is a source
+    of its own, the last; an empty table gives no row."""
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

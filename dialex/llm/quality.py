@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from dialex.llm.common import bound_arrow, table
+from dialex.llm.common import bound_arrow, table, unused
 
 #: Labelled rows that a model is fitted on at most, those with the smallest hashes of their ids.
 TRAIN_ROWS = 12_000
@@ -209,11 +210,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score(docs: DataFrame, model: Model, *keep: Column, out: str = "score") -> DataFrame:
-    """The columns `keep` of docs, and `out`: the model's 0 to 1 for the whole of column text (null: empty)."""
+    """The columns `keep` of docs, and `out`: the model's 0 to 1 for the whole of column text (null: empty). Repeated rows
+    are scored each; an empty table gives an empty result; `out` must not be the name of a column in `keep`."""
     bound_arrow(docs.sparkSession)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(partial(_score_batches, model=model, out=out), f"{kinds}, {out} double")
+    kept = docs.select(*keep)
+    rows = docs.select(*keep, F.col("text").alias(unused(kept.columns, "_text")))
+    schema = StructType([*kept.schema.fields, StructField(out, DoubleType())])
+    return rows.mapInArrow(partial(_score_batches, model=model, out=out), schema)
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
@@ -222,6 +225,8 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels outside the held-out third. Null and empty texts are scored as
+    texts whose figures are all zero; repeated rows are scored each; without labels every score is one half."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, quality_model(spark, docs, sf_dir), F.col("doc_id"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from dialex.llm import line_dedup, mixing, packing, quality, simhash, suffix_dedup, tokens, topk, vector_dedup, warc
 
-MODULES = ("suffix_dedup", "warc", "simhash", "tokens", "packing", "mixing", "line_dedup", "topk", "vector_dedup", "quality")
+MODULES = (suffix_dedup, warc, simhash, tokens, packing, mixing, line_dedup, topk, vector_dedup, quality)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"dialex.llm.{m}").QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in import_module(f"dialex.llm.{m}").ORACLES.items()}
+    return {k: s for m in MODULES for k, s in m.ORACLES.items()}

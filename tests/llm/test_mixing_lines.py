@@ -77,16 +77,49 @@ def brute_lines(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot_keys", [1, 2048])
+@pytest.mark.parametrize("hot_keys", [4, 2048])
 def test_lines_against_brute_force(hard, monkeypatch, hot_keys):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot_keys)
+    found = line_dedup._hot_keys
+    monkeypatch.setattr(line_dedup, "_hot_keys", lambda lines, n: found(lines, n, 3))
+    hot = found(line_dedup._hashed(hard, "doc_id", "text", 10), hot_keys, 3).count()
+    assert hot >= (0 if hot_keys == 4 else 1)  # of the many hot keys of the second case, some are settled where they are read
     rows = [(r.doc_id, r.text) for r in hard.collect()]
-    got = line_dedup.dedup_lines(hard).select("doc_id", "_n_lines", "_n_dropped", F.sha2("_kept", 256)).collect()
+    got = line_dedup.dedup_lines(hard, hot_keys=hot_keys).select("doc_id", "_n_lines", "_n_dropped", F.sha2("_kept", 256)).collect()
     assert Counter(map(tuple, got)) == brute_lines(rows)
 
 
+def test_hot_and_cold_lines_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    lines = ["a line that is everywhere", "  A LINE that is everywhere ", *[f"line number {i} of the pool" for i in range(300)], "short", ""]
+    rows = [(i // 2 if i % 7 == 0 else i, "\n".join(rng.choice(lines[: 3 if rng.random() < 0.6 else None]) for _ in range(rng.randint(1, 6)))) for i in range(900)]
+    rows = list({i: (i, t) for i, t in rows}.values()) + [(None, "a line that is everywhere"), (2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup_lines(df, hot_keys=2).select("doc_id", "_n_lines", "_n_dropped", F.sha2("_kept", 256)).collect()
+    assert Counter(map(tuple, got)) == brute_lines(rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "the same long line", 5, "x", 1, "s", 7, 8), (2, "the same long line", 6, "y", 2, "s", 7, 8)], "doc_id long, text string, _id long, _bits string, _gone long, source string, `a.b` long, _copies long")
+    assert {(r.doc_id, r._n_dropped, r._id, r["a.b"]) for r in line_dedup.dedup_lines(df).collect()} == {(1, 0, 5, 7), (2, 1, 6, 7)}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df.withColumnRenamed("_id", "_KEPT"))
+    assert Counter(r.doc_id for r in mixing.repeat_rows(df).collect()) == {1: 1, 2: 1}
+
+
+def test_rows_that_share_an_id_are_taken_as_the_mix_says(hard):
+    mixed = Counter()
+    for r in mixing.mix(hard).collect():
+        mixed[r.doc_id, r.source, r.size] += r.copies
+    rows = mixing.repeat_rows(hard)
+    assert rows.columns == hard.columns
+    got = Counter((r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in rows.collect())
+    assert got == +mixed
+
+
 def test_hot_lines(spark):
     rows = [(i, f"a line that is everywhere\nown line number {i % 700}\nshort\n" * 2) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
