@@ -142,17 +142,27 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["bucket", "batch", "anchors"])
 
 
+def repeated(values: np.ndarray) -> np.ndarray:
+    """Whether each value, of 32 bits at most, stands in the array more than once."""
+    order = np.sort(values.astype(np.uint64) << np.uint64(32) | np.arange(len(values), dtype=np.uint64))
+    top = order >> np.uint64(32)
+    same = np.r_[False, top[1:] == top[:-1]]
+    out = np.zeros(len(values), bool)
+    out[(order & np.uint64(0xFFFFFFFF)).astype(np.int64)] = same | np.r_[same[1:], False][: len(same)]
+    return out
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(batch, shared): of each batch and bucket, the anchors that two documents have."""
     for (bucket,), t in runs(batches, 1):
         owners, parts = t.column("batch").to_numpy(), [np.frombuffer(x, np.uint32) for x in t.column("anchors").to_pylist()]
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        often = values[counts > 1]
-        found = []
-        for batch, part in zip(owners.tolist(), parts, strict=True):
-            mine = np.unique(part[np.isin(part, often, assume_unique=False)])
-            if len(mine):
-                found.append((batch, (mine.astype(np.int64) | bucket << 32).tobytes()))
+        owner, anchor = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
+        often = repeated(anchor)
+        owner, anchor = owner[often], anchor[often]  # a batch's anchors are in order
+        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])][: len(anchor)]
+        owner, anchor = owner[new], anchor[new].astype(np.int64) | bucket << 32
+        cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])[: len(owner)]
+        found = [(int(owners[owner[i]]), anchor[i:j].tobytes()) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)], strict=False)]
         cols = list(zip(*found, strict=True)) or [[]] * 2
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["batch", "shared"])
 
@@ -267,7 +277,10 @@ def _cover(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             total = int(n.sum())
             base = np.cumsum(n) - n
             window = np.arange(total) + np.repeat(first[r] - base, n)
-            rank = equal_windows(text, window, length)
+            rank = np.full(total, -1, np.int64)
+            hashed = gram_hashes(text, length)[window] >> np.uint64(32)
+            some = np.flatnonzero(repeated(hashed))  # a hash that no other string has says that the string is unique
+            rank[some] = equal_windows(text, window[some], length)
             by = np.repeat(low[open_cls], n)
             earliest = by.copy()
             some = rank >= 0
