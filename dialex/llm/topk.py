@@ -9,6 +9,7 @@ when the bounds prove that few rows can be among the best, and scores those exac
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 from functools import partial
 
 import numpy as np
@@ -20,8 +21,10 @@ from dialex.llm.arrow_groups import matrix, runs
 from dialex.llm.common import bound_arrow, materialise, table
 
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+#: Queries that go to a block of the index together, and of them those that are scored at a time.
+QUERY_ROWS, SCORED = 4096, 512
 EXACT = 1 << 53
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def usable(vector: Column) -> Column:
@@ -31,6 +34,7 @@ def usable(vector: Column) -> Column:
 
 
 def integer_vector(vector: Column, scale: float) -> Column:
+    """floor(scale * x) of each component, held at the limits of a long."""
     return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
 
 
@@ -42,18 +46,43 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return dealt.select("dim", "block", "id", "v").repartition("dim", "block").sortWithinPartitions("dim", "block", "id")
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's ids and its posting segments: levels, their ends, and components, rows and values in segment order."""
-    for (dim, block), t in runs(batches, 2):
-        values = matrix(t.column("v"), np.int64)
+@dataclass
+class Segments:
+    """The postings of a block by descending impact: those of level i are comps, rows and vals from ends[i] to ends[i + 1].
+    norms[i] and tops[i] bound what comes after level i: the length of what is left of each row, and the largest value
+    left in each component."""
+
+    ends: np.ndarray
+    comps: np.ndarray
+    rows: np.ndarray
+    vals: np.ndarray
+    norms: np.ndarray
+    tops: np.ndarray
+
+    @staticmethod
+    def of(values: np.ndarray) -> Segments:
         rows, comps = np.nonzero(values)
         vals = values[rows, comps]
-        level = np.frexp(np.abs(vals).astype(np.float64))[1].astype(np.int16)
-        order = np.argsort(-level, kind="stable")
-        levels, starts = np.unique(-level[order], return_index=True)
-        cols = [-levels.astype(np.int16), np.append(starts, len(order)).astype(np.int64), comps[order].astype(np.int32), rows[order].astype(np.int32), vals[order]]
-        arrays = [pa.array([dim], pa.int32()), pa.array([block], pa.int32()), pa.array([t.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), *[pa.array([c.tobytes()], pa.binary()) for c in cols]]
-        yield pa.RecordBatch.from_arrays(arrays, names=["dim", "block", "ids", "levels", "ends", "comps", "rows", "vals"])
+        impact = -np.frexp(np.abs(vals.astype(np.float64)))[1].astype(np.int16)
+        order = np.lexsort((comps, impact))
+        levels, starts = np.unique(impact[order], return_index=True)
+        sizes = np.abs(values.astype(np.float64))
+        norms, tops = np.zeros((len(levels), len(values))), np.zeros((len(levels), values.shape[1]))
+        for i, level in enumerate(levels):
+            left = np.where(sizes < np.ldexp(0.5, -int(level)), sizes, 0)
+            norms[i], tops[i] = np.sqrt((left * left).sum(axis=1)), left.max(axis=0, initial=0)
+        return Segments(np.append(starts, len(order)).astype(np.int64), comps[order].astype(np.int32), rows[order].astype(np.int32), vals[order], norms, tops)
+
+
+SEGMENTS = [f.name for f in fields(Segments)]
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's ids and its posting segments."""
+    for (dim, block), t in runs(batches, 2):
+        found = Segments.of(matrix(t.column("v"), np.int64))
+        cols = [t.column("id").to_numpy().astype(np.int64), *[getattr(found, c) for c in SEGMENTS]]
+        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cols]], names=["dim", "block", "ids", *SEGMENTS])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,45 +90,53 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int32()), pa.array([t.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([matrix(t.column("v"), np.int64).tobytes()], pa.binary())], names=["dim", "qblock", "qids", "qvals"])
 
 
-def search_block(q: np.ndarray, qids: np.ndarray, ids: np.ndarray, segments: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], k: int, floor: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
+def search_block(q: np.ndarray, qids: np.ndarray, ids: np.ndarray, block: Segments, k: int, floor: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
     """The k best of a block for each query, as far as they reach `floor` (a proven score of k other rows).
 
+    Segments are added up until the bounds leave few rows in question; the postings of these rows alone are then read
+    from all segments, for exact scores. Bounds are widened by what doubles can be off, a share of the lengths.
     Gives (query id, id, score) rows, the raised floors, and how many segments were added up.
     """
-    dim, n = q.shape[1], len(ids)
-    dense = np.zeros((dim, n))
-    for _, comps, rows, vals in segments:
-        dense[comps, rows] = vals
-    rest = dense.copy()
+    dim, n, ends = q.shape[1], len(ids), block.ends
+    qf = q.astype(np.float64)
+    qlen = np.sqrt((qf * qf).sum(axis=1))
     scores = np.zeros((len(q), n))
-    qf, qlen = q.astype(np.float64), np.linalg.norm(q.astype(np.float64), axis=1)
     own = qids[:, None] == ids[None, :]
+    whole = np.sqrt(np.bincount(block.rows, block.vals.astype(np.float64) ** 2, n))
+    slack = np.outer(qlen, whole) * (4 * (dim + len(ends)) * np.finfo(np.float64).eps)
     few, used = max(4 * k, n // 64), 0
-    alive = np.ones((len(q), n), bool)
-    for used, (_, comps, rows, vals) in enumerate(segments, 1):  # noqa: B007
-        part = np.zeros((dim, n))
-        part[comps, rows] = vals
-        scores += qf @ part
-        rest[comps, rows] = 0
-        reach = np.minimum(np.outer(qlen, np.linalg.norm(rest, axis=0)), (np.abs(qf) @ np.abs(rest).max(axis=1, initial=0))[:, None]) + 1e-3
+    alive = ~own
+    for used, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), 1):  # noqa: B007
+        comps, at = np.unique(block.comps[lo:hi], return_inverse=True)
+        part = np.zeros((len(comps), n))
+        part[at, block.rows[lo:hi]] = block.vals[lo:hi]
+        scores += qf[:, comps] @ part
+        reach = np.minimum(np.outer(qlen, block.norms[used - 1]), (np.abs(qf) @ block.tops[used - 1])[:, None]) * (1 + 1e-9) + slack
         low = np.where(own, -np.inf, scores - reach)
         bound = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
         alive = ~own & (scores + reach >= np.maximum(bound, floor)[:, None])
         if alive.sum(axis=1).max(initial=0) <= few:
             break
     out, floor = [], floor.copy()
-    whole = dense.astype(np.int64)
-    small = float(np.abs(qf).sum(axis=1).max(initial=0)) * float(np.abs(dense).max(initial=0)) < EXACT
+    members = np.flatnonzero(alive.any(axis=0))
+    place = np.full(n, -1)
+    place[members] = np.arange(len(members))
+    mine = place[block.rows] >= 0
+    dense = np.zeros((dim, len(members)), np.int64)
+    dense[block.comps[mine], place[block.rows[mine]]] = block.vals[mine]
+    real = dense.astype(np.float64)
+    small = float(np.abs(qf).sum(axis=1).max(initial=0)) * float(np.abs(real).max(initial=0)) < EXACT
     for i in np.flatnonzero(alive.any(axis=1)):
         at = np.flatnonzero(alive[i])
         if small:
-            exact = np.rint(qf[i] @ dense[:, at]).astype(np.int64)
+            exact = np.rint(qf[i] @ real[:, place[at]]).astype(np.int64)
         else:
-            exact = np.array([sum(int(a) * int(b) for a, b in zip(q[i], whole[:, j], strict=True)) for j in at], dtype=np.int64)
-        best = np.lexsort((ids[at], -exact))[:k]
+            sums = [sum(int(a) * int(b) for a, b in zip(q[i], dense[:, j], strict=True)) for j in place[at]]
+            exact = np.array([min(max(x, LEAST), MOST) for x in sums], dtype=np.int64)
+        best = np.lexsort((ids[at], -1 - exact))[:k]  # -1 - x falls as x rises, and no long is too small for it
         out += [(int(qids[i]), int(ids[at[j]]), int(exact[j])) for j in best]
         if len(best) == k:
-            floor[i] = max(floor[i], float(exact[best[-1]]))
+            floor[i] = max(floor[i], np.nextafter(float(exact[best[-1]]), -np.inf) if not small else float(exact[best[-1]]))
     return out, floor, used
 
 
@@ -109,34 +146,38 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         for r in batch.to_pylist():
             qids = np.frombuffer(r["qids"], np.int64)
             q = np.frombuffer(r["qvals"], np.int64).reshape(len(qids), r["dim"])
-            levels, ends = np.frombuffer(r["levels"], np.int16), np.frombuffer(r["ends"], np.int64)
-            comps, rows, vals = np.frombuffer(r["comps"], np.int32), np.frombuffer(r["rows"], np.int32), np.frombuffer(r["vals"], np.int64)
-            segments = [(int(v), comps[a:b], rows[a:b], vals[a:b]) for v, a, b in zip(levels, ends[:-1], ends[1:], strict=True)]
+            ids = np.frombuffer(r["ids"], np.int64)
+            ints = [np.frombuffer(r[c], kind) for c, kind in zip(SEGMENTS[:4], (np.int64, np.int32, np.int32, np.int64), strict=True)]
+            norms, tops = (np.frombuffer(r[c], np.float64).reshape(-1, width) for c, width in (("norms", len(ids)), ("tops", r["dim"])))
             key = (r["dim"], r["qblock"])
             floor = floors.get(key, np.full(len(qids), -np.inf))
-            found, floors[key], _ = search_block(q, qids, np.frombuffer(r["ids"], np.int64), segments, k, floor)
-            cols = list(zip(*found, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            for lo in range(0, len(qids), SCORED):
+                at = slice(lo, lo + SCORED)
+                found, floor[at], _ = search_block(q[at], qids[at], ids, Segments(*ints, norms, tops), k, floor[at])
+                cols = list(zip(*found, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            floors[key] = floor
 
 
 def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The impact-ordered index of rows (id, v): a row a block; every vector is in it."""
     bound_arrow(vectors.sparkSession)
-    schema = "dim int, block int, ids binary, levels binary, ends binary, comps binary, rows binary, vals binary"
+    schema = "dim int, block int, ids binary, " + ", ".join(f"{c} binary" for c in SEGMENTS)
     return _blocks(vectors, block_rows).mapInArrow(_index, schema)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with other ids, ties to smaller ids.
 
-    Queries (id, v) come in blocks, each of which meets every block of the index of its dimension. Scores are exact;
-    the row with the query's own id is left out.
+    Queries (id, v) come in blocks, each of which meets every block of the index of its dimension, so the index is
+    copied once for every `query_rows` queries. Scores are exact, and held at the limits of a long beyond them, where
+    smaller ids come first; the row with the query's own id is left out.
     """
     packed = _blocks(queries.dropDuplicates(["id"]), query_rows).mapInArrow(_packed, "dim int, qblock int, qids binary, qvals binary")
     packed = materialise(packed, "queries")
     counts = packed.groupBy("dim").agg((F.max("qblock") + 1).alias("n"))
     dealt = index.join(counts, "dim").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    met = dealt.join(packed, ["dim", "qblock"]).select("dim", "qblock", "qids", "qvals", "ids", "levels", "ends", "comps", "rows", "vals")
+    met = dealt.join(packed, ["dim", "qblock"]).select("dim", "qblock", "qids", "qvals", "ids", *SEGMENTS)
     found = met.mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -144,7 +185,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = Q
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 5 of all vectors for every row whose id is divisible by 50. Rows without an id or with unusable vectors take
-    no part; vectors meet only those of their own dimension."""
+    no part; vectors meet only those of their own dimension; components and scores beyond a long are held at its limits;
+    an empty table gives no row."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     vectors = rows.select(F.col("vec_id").alias("id"), integer_vector(F.col("embedding"), 256.0).alias("v"))
     index = materialise(build_index(vectors), "index")
