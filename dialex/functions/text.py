@@ -158,6 +158,7 @@ def title_case(title: Column) -> Column:
 def name_tokens(character: Column, actor: Column, stopwords: tuple[str, ...]) -> Column:
     """Lower-case name tokens of three letters or more from a character's name, or from the actor's where the character
     is unnamed or the actor's self."""
+    # What a credit puts in brackets, and the roles that name nobody.
     name = F.trim(F.regexp_replace(F.coalesce(character, F.lit("")), r"\([^)]*\)|\[[^\]]*\]", " "))
     self_role = name.rlike(r"(?i)^(him|her|them)sel(f|ves)\b|^self\b|^narrator\b|^various\b")
     use = F.when((name == "") | self_role, F.coalesce(actor, F.lit(""))).otherwise(name)

@@ -95,8 +95,9 @@ def swears_per_film(words: DataFrame, ids: Iterable | None, profanity: Iterable[
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
-    """Page `number` of rows in an order; beyond the ends, the first or last page."""
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
-    last = rows.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("_last"))
-    at = F.least(F.greatest(F.lit(number), F.lit(1)), F.col("_last"))
-    return ranked.crossJoin(F.broadcast(last)).where((F.col("_n") > (at - 1) * size) & (F.col("_n") <= at * size)).drop("_n", "_last")
+    """Page `number` of rows in an order; beyond the ends, the first or last page. Tasks keep what the pages up to this
+    one hold, and no task ranks the whole list."""
+    at = max(number, 1)
+    if at > 1:
+        at = min(at, max(1, -(-rows.count() // size)))
+    return rows.orderBy(*order).offset((at - 1) * size).limit(size)

@@ -80,13 +80,12 @@ def twin_films(c: Corpus) -> DataFrame:
 
 
 #: Files of a made-up directory: ten documents stand next to each other in one; the first is the chosen one.
-def directories(c: Corpus, below: int | None = None) -> tuple[DataFrame, DataFrame]:
-    counts = c.counts if below is None else c.counts.where(F.col("film_id") < below)
-    files = counts.select(F.expr("film_id div 10").alias("film_id"), F.format_string("%04d", F.col("film_id")).alias("name"), "word", "count")
+def directories(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    files = c.counts.select(F.expr("film_id div 10").alias("film_id"), F.format_string("%04d", F.col("film_id")).alias("name"), "word", "count")
     return files, files.groupBy("film_id").agg(F.min("name").alias("name"))
 
 
-_DIRS = """, fd AS (SELECT film_id // 10 AS film_id, film_id AS file, word, count FROM counts WHERE film_id < 400),
+_DIRS = """, fd AS (SELECT film_id // 10 AS film_id, film_id AS file, word, count FROM counts),
 fn AS (SELECT file, sqrt(sum(count * count)::DOUBLE) AS norm FROM fd GROUP BY file), fc AS (SELECT film_id, min(file) AS picked FROM fd GROUP BY film_id),
 pc AS (SELECT fc.film_id, fc.picked, o.file, coalesce(sum(x.count * y.count)::DOUBLE, 0) / (any_value(na.norm) * any_value(nb.norm)) AS cosine
   FROM fc JOIN (SELECT DISTINCT film_id, file FROM fd) o ON o.film_id = fc.film_id AND o.file <> fc.picked JOIN fd x ON x.file = fc.picked LEFT JOIN fd y ON y.file = o.file AND y.word = x.word
@@ -94,17 +93,8 @@ pc AS (SELECT fc.film_id, fc.picked, o.file, coalesce(sum(x.count * y.count)::DO
 dc AS (SELECT film_id, coalesce(avg((cosine >= 0.4)::INT), 1.0) AS consensus FROM fc LEFT JOIN pc USING (film_id) GROUP BY film_id)"""
 
 
-#: The same for every document; the two queries without `_all` keep to the documents that their SQL names.
-_ALL_DIRS = _DIRS.replace(" WHERE film_id < 400", "")
-
-
 @query("directory_consensus", _DIRS + " SELECT film_id, consensus FROM dc")
 def directory_consensus(c: Corpus) -> DataFrame:
-    return audit.directory_consensus(*directories(c, 400), agree=0.4)
-
-
-@query("directory_consensus_all", _ALL_DIRS + " SELECT film_id, consensus FROM dc")
-def directory_consensus_all(c: Corpus) -> DataFrame:
     return audit.directory_consensus(*directories(c), agree=0.4)
 
 
@@ -121,11 +111,6 @@ def mislabel_victim(c: Corpus) -> DataFrame:
     return _victims(directory_consensus(c))
 
 
-@query("mislabel_victim_all", _ALL_DIRS + _VICTIMS)
-def mislabel_victim_all(c: Corpus) -> DataFrame:
-    return _victims(directory_consensus_all(c))
-
-
 @query("cast_across_films", """, cst AS (SELECT film_id + 1 AS film_id, word FROM words WHERE word IN (SELECT word FROM dict WHERE films <= 3) AND count >= 2),
 rr AS (SELECT word FROM cst LEFT JOIN meta USING (word) GROUP BY word HAVING count(DISTINCT film_id) <= 3 AND any_value(coalesce(zipf, 0)) < 3),
 ow AS (SELECT DISTINCT word, film_id AS other_id FROM cst WHERE word IN (SELECT word FROM rr)),
@@ -194,7 +179,36 @@ def gates(c: Corpus) -> DataFrame:
     return prints(c).select("film_id", "name", selection.gate().alias("gate"))
 
 
-@query("consensus_choice")
+_CHOICE = _RANKED + _PRINTS.format(talk=stop_sql(TALK)) + f"""
+, cn AS (SELECT *, count(*) OVER (PARTITION BY film_id) AS n FROM rk),
+sm AS (SELECT film_id, name, rank FROM cn WHERE n <= 12 OR list_contains(list_transform(range(0, 12), lambda i: round_even(i * (n - 1) / 11.0, 0)::INT + 1), rank)),
+jd AS (SELECT sm.film_id, sm.name, rank, tokens, tokens < 200 OR stop_share < 0.25 OR bytes_per_word > 60 OR coalesce(commentary_rate >= 8 AND bytes_per_word < 18, false) AS gated, stop_share < 0.1 AS flag FROM sm JOIN fpr USING (film_id, name)),
+us AS (SELECT *, CASE WHEN relaxed THEN tokens > 0 ELSE NOT gated END AS usable FROM (SELECT *, bool_and(gated) OVER (PARTITION BY film_id) AS relaxed FROM jd)),
+wg AS (SELECT *, usable AND (NOT flag OR NOT spotless) AS weighed FROM (SELECT *, bool_or(usable AND NOT flag) OVER (PARTITION BY film_id) AS spotless FROM us)),
+pl AS (SELECT *, row_number() OVER (PARTITION BY film_id ORDER BY rank, name)::INT AS place FROM wg WHERE weighed),
+vc AS (SELECT film_id, name, word, count FROM fw WHERE word NOT IN {STOP} QUALIFY row_number() OVER (PARTITION BY film_id, name ORDER BY count DESC, word DESC) <= 300),
+vp AS (SELECT pl.film_id, place, word, count FROM pl JOIN vc USING (film_id, name)),
+vn AS (SELECT film_id, place, sqrt(sum(count * count)::DOUBLE) AS norm FROM vp GROUP BY ALL),
+cp AS (SELECT a.film_id, a.place AS i, b.place AS j, sum(a.count * b.count)::DOUBLE / (any_value(x.norm) * any_value(y.norm)) AS cosine FROM vp a JOIN vp b ON a.film_id = b.film_id AND a.word = b.word AND a.place <> b.place
+  JOIN vn x ON x.film_id = a.film_id AND x.place = a.place JOIN vn y ON y.film_id = b.film_id AND y.place = b.place GROUP BY ALL),
+al AS (SELECT film_id, list(i * 100 + j) FILTER (cosine >= 0.98) AS same, list(i * 100 + j) FILTER (cosine >= 0.85) AS agree FROM cp GROUP BY film_id),
+pn AS (SELECT pl.film_id, max(place) AS n, coalesce(any_value(same), []) AS same, coalesce(any_value(agree), []) AS agree FROM pl LEFT JOIN al USING (film_id) GROUP BY pl.film_id),
+fo AS (SELECT film_id, 1 AS i, [1] AS led FROM pn UNION ALL
+  SELECT fo.film_id, i + 1, list_append(led, coalesce(list_min(list_filter(led, lambda j: list_contains(same, (i + 1) * 100 + j))), i + 1)) FROM fo JOIN pn USING (film_id) WHERE i < n),
+ld AS (SELECT film_id, led, agree, unnest(list_distinct(led)) AS lead FROM fo JOIN pn USING (film_id) WHERE i = n),
+sd AS (SELECT film_id, lead, led, list_filter(list_distinct(led), lambda o: o = lead OR list_contains(agree, lead * 100 + o)) AS side FROM ld),
+vt AS (SELECT film_id, side, list_filter(range(1, len(led) + 1), lambda k: list_contains(side, led[k])) AS members FROM sd
+  QUALIFY row_number() OVER (PARTITION BY film_id ORDER BY len(side) DESC, len(list_filter(range(1, len(led) + 1), lambda k: list_contains(side, led[k]))) DESC, lead) = 1),
+mb AS (SELECT pl.*, len(members) AS files, median(tokens) FILTER (list_contains(members, place)) OVER (PARTITION BY film_id) AS middle, list_contains(members, place) AS mine FROM pl JOIN vt USING (film_id)),
+pk AS (SELECT * FROM mb WHERE CASE WHEN files > 1 THEN mine ELSE place = 1 END QUALIFY row_number() OVER (PARTITION BY film_id ORDER BY abs(tokens - middle), place) = 1),
+hf AS (SELECT mb.film_id, min(mb.place) AS place FROM mb JOIN pk USING (film_id) JOIN fm USING (film_id) WHERE mb.mine AND pk.files > 1 AND pk.tokens / runtime_minutes::DOUBLE > 200 AND mb.tokens / pk.tokens::DOUBLE BETWEEN 0.4 AND 0.6 GROUP BY mb.film_id),
+fl AS (SELECT film_id, any_value(relaxed) AS relaxed, any_value(spotless) AS spotless FROM wg GROUP BY film_id)
+SELECT fl.film_id, coalesce(h.name, pk.name) AS name, CASE WHEN pk.film_id IS NULL THEN 'none' WHEN pn.n = 1 THEN 'single' WHEN pk.files = 1 THEN 'rank' WHEN hf.film_id IS NOT NULL THEN 'doubled' ELSE 'consensus' END AS reason,
+  coalesce(pk.files, 0)::INT AS cluster, coalesce(pn.n, 0)::INT AS usable, fl.relaxed, CASE WHEN pk.film_id IS NOT NULL THEN CASE WHEN fl.spotless THEN 'ok' ELSE 'low' END END AS tier, CASE WHEN coalesce(h.flag, pk.flag, false) THEN 'asr' ELSE '' END AS flags
+FROM fl LEFT JOIN pk USING (film_id) LEFT JOIN pn USING (film_id) LEFT JOIN hf USING (film_id) LEFT JOIN pl h ON h.film_id = hf.film_id AND h.place = hf.place"""
+
+
+@query("consensus_choice", _CHOICE, recursive=True)
 def consensus_choice(c: Corpus) -> DataFrame:
     films = files_and_films(c)[1]
     ranked = selection.sample_candidates(selection.rank_candidates(*files_and_films(c)))

@@ -170,13 +170,8 @@ for _name in _SUPERLATIVES:
     _superlative(_name)
 
 
-@query("swears_per_film", f"SELECT film_id, sum(count)::BIGINT AS swears FROM words WHERE film_id IN (SELECT range FROM range(0, 400)) AND word IN {SWEAR} GROUP BY film_id")
+@query("swears_per_film", f"SELECT film_id, sum(count)::BIGINT AS swears FROM words WHERE word IN {SWEAR} GROUP BY film_id")
 def swears_per_film(c: Corpus) -> DataFrame:
-    return boards.swears_per_film(c.words, range(400), c.profanity)
-
-
-@query("swears_per_film_all", f"SELECT film_id, sum(count)::BIGINT AS swears FROM words WHERE word IN {SWEAR} GROUP BY film_id")
-def swears_per_film_all(c: Corpus) -> DataFrame:
     return boards.swears_per_film(c.words, None, c.profanity)
 
 

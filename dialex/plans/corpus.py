@@ -18,7 +18,7 @@ from dialex.operators import corpus as ops
 BASE_SQL = r"""
 tok AS (
   SELECT doc_id AS film_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}_'']+')) AS word FROM documents
-), counts AS (
+), counts AS MATERIALIZED (
   SELECT film_id, word, count(*)::BIGINT AS count FROM tok
   WHERE regexp_full_match(word, '[a-z'']+') AND (length(word) > 1 OR word IN ('a', 'i')) GROUP BY ALL
 ), stats AS (
@@ -34,7 +34,7 @@ tok AS (
   FROM documents d JOIN stats s ON s.film_id = d.doc_id LEFT JOIN low ON low.film_id = d.doc_id
 ), films AS (SELECT * FROM all_films WHERE quality = 'ok'),
 words AS (SELECT c.* FROM counts c WHERE film_id IN (SELECT film_id FROM films)),
-word_year AS (
+word_year AS MATERIALIZED (
   SELECT word, year, sum(count)::BIGINT AS count, count(DISTINCT film_id)::BIGINT AS movie_count
   FROM words JOIN films USING (film_id) GROUP BY word, year QUALIFY sum(sum(count)) OVER (PARTITION BY word) >= 20
 ), dict AS (SELECT word, sum(count)::BIGINT AS count, count(*)::BIGINT AS films FROM words GROUP BY word),

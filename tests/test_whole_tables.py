@@ -22,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize(("name", "key", "beyond"), [("directory_consensus_all", "film_id", 40), ("mislabel_victim_all", "a", 40), ("swears_per_film_all", "film_id", 400)])
+@pytest.mark.parametrize(("name", "key", "beyond"), [("directory_consensus", "film_id", 40), ("mislabel_victim", "a", 40), ("swears_per_film", "film_id", 400)])
 def test_all_ids_are_seen(spark, duck, name, key, beyond):
     df = registry.queries()[name](spark, SF_DIR)
     got = df.select(*sorted(df.columns)).collect()
