@@ -1,7 +1,8 @@
 """Token counts of whole texts, without ever building token lists for the caller.
 
 Arrow functions get batches bounded in bytes, cut each text at safe boundaries (places no token can span), and
-encode every distinct chunk once, in calls of about equal bytes. A text's count is the sum over its chunks.
+encode every distinct chunk once, in calls of about equal bytes. A text's count is the sum over its chunks. A stretch
+without a safe boundary, however long, goes to the library whole and isn't remembered.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 from dialex.llm.common import bound_arrow, table
 
-#: Bytes of chunks in one call of the tokenizer, and chunks remembered by a worker before it starts anew.
+#: Bytes of chunks in one call of the tokenizer.
 CALL_BYTES = 1 << 20
-KEEP_CHUNKS = 400_000
+#: Characters of chunks remembered by a worker before it starts anew, a few for each chunk's entry counted in, and the
+#: longest chunk that is remembered at all.
+KEEP_CHARS, ENTRY_CHARS, LONGEST = 64 << 20, 150, 256
 
 _LOADED: dict[str, object] = {}
 
@@ -62,6 +65,25 @@ def by_bytes(chunks: Iterable[str], limit: int = CALL_BYTES) -> Iterator[list[st
         yield batch
 
 
+class Memo(dict):
+    """Counts of chunks. `room` empties it when it is full; chunks that are too long are only kept until then."""
+
+    def __init__(self) -> None:
+        self.chars = 0
+
+    def room(self, chunks: Iterable[str]) -> None:
+        """Makes room for new chunks; what a batch needs stays until the next call."""
+        if self.chars > KEEP_CHARS:
+            self.clear()
+            self.chars = 0
+        self.chars += sum(min(len(c), LONGEST) + ENTRY_CHARS for c in chunks)
+
+    def forget_long(self, chunks: Iterable[str]) -> None:
+        for c in chunks:
+            if len(c) > LONGEST:
+                del self[c]
+
+
 class PieceCounter:
     """Counts for a sentencepiece model of the usual kind: spaces become a mark that starts a word, and no piece holds
     the mark after another character, so a text may be cut before each run of spaces."""
@@ -74,11 +96,10 @@ class PieceCounter:
         mark = "▁"
         if any(mark in self.model.id_to_piece(i).lstrip(mark) for i in ids) or self.model.encode("x", out_type=str)[0][0] != mark:
             raise ValueError(f"{path}: pieces may span words; texts can't be cut before spaces")
-        self.known: dict[str, int] = {}
+        self.known = Memo()
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > KEEP_CHUNKS:
-            self.known.clear()
+        self.known.room(chunks - self.known.keys())
         for batch in by_bytes(chunks - self.known.keys()):
             for c, ids in zip(batch, self.model.encode(batch, num_threads=1), strict=True):
                 self.known[c] = len(ids)
@@ -97,9 +118,12 @@ class PieceCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         parts = [self.split(t) if t else ([], 0) for t in texts]
-        self.learn({c for words, _ in parts for c in words})
+        chunks = {c for words, _ in parts for c in words}
+        self.learn(chunks)
         get = self.known.__getitem__
-        return [sum(map(get, words)) + tail for words, tail in parts]
+        out = [sum(map(get, words)) + tail for words, tail in parts]
+        self.known.forget_long(chunks)
+        return out
 
 
 class JsonCounter:
@@ -110,7 +134,7 @@ class JsonCounter:
 
     def __init__(self, path: str):
         self.model = load(path)
-        self.known: dict[str, int] = {}
+        self.known = Memo()
         probe = ["a b", "It's 12 o'clock, isn't it? Yes, 99.5% été", "x <|endoftext|> y", "A.B ć d ... e"]
         self.safe = all(self._ids(t) == [i for c in self._cut.split(t) for i in self._ids(c)] for t in probe)
 
@@ -119,13 +143,15 @@ class JsonCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         parts = [(self._cut.split(t) if self.safe else [t]) if t else [] for t in texts]
-        if len(self.known) > KEEP_CHUNKS:
-            self.known.clear()
-        for batch in by_bytes({c for p in parts for c in p} - self.known.keys()):
+        chunks = {c for p in parts for c in p}
+        self.known.room(chunks - self.known.keys())
+        for batch in by_bytes(chunks - self.known.keys()):
             for c, e in zip(batch, self.model.encode_batch(batch, add_special_tokens=False), strict=True):
                 self.known[c] = len(e.ids)
         get = self.known.__getitem__
-        return [sum(map(get, p)) for p in parts]
+        out = [sum(map(get, p)) for p in parts]
+        self.known.forget_long(chunks)
+        return out
 
 
 _COUNTERS: dict[str, PieceCounter | JsonCounter] = {}

@@ -31,6 +31,8 @@ PASSES, BITS, WINDOW, SEED = 16, 62, 64, 11
 #: Passes and window of vectors that stand in a crowd: over half of their neighbours have a cosine of ALIKE or more, but
 #: don't link.
 CROWD_PASSES, CROWD_WINDOW, ALIKE = 48, 256, 0.8
+#: Dimensions whose mean is taken off, the most frequent ones: a bound on what is broadcast. Others are hashed as they are.
+MEANS = 64
 TILE_ROWS = 2048
 CHUNK = 512
 #: What windows find: links (a, b), vectors a in a crowd, and the rows next to the bounds of a task.
@@ -65,12 +67,13 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def means(vectors: DataFrame) -> DataFrame:
-    """(dim, mean): the mean of the unit vectors of each dimension, a row a dimension; sums are of decimals, so that they
-    don't depend on the order of rows."""
+    """(dim, mean): the mean of the unit vectors of the MEANS most frequent dimensions, a row a dimension; sums are of
+    decimals, so that they don't depend on the order of rows."""
     parts = vectors.select("v").mapInArrow(_sums, "dim int, n double, total array<double>").select("dim", "n", F.posexplode("total").alias("i", "x"))
     mean = (F.sum(F.col("x").cast("decimal(38,12)")).cast("double") / F.sum("n")).cast("float").cast("double")
-    per = parts.groupBy("dim", "i").agg(mean.alias("x"))
-    return per.groupBy("dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    per = parts.groupBy("dim", "i").agg(mean.alias("x"), F.sum("n").alias("n"))
+    found = per.groupBy("dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"), F.max("n").alias("n"))
+    return found.orderBy(F.desc("n"), "dim").limit(MEANS).select("dim", "mean")
 
 
 def _project(batches: Iterator[pa.RecordBatch], passes: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -80,7 +83,9 @@ def _project(batches: Iterator[pa.RecordBatch], passes: int, seed: int) -> Itera
         n = part.num_rows
         if dim not in planes:
             planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
-        centred = unit(matrix(part.column(2), np.float64)) - matrix(part.column(1), np.float64)
+        centred = unit(matrix(part.column(2), np.float64))
+        if part.column(1)[0].is_valid:  # all of a dimension or none
+            centred -= matrix(part.column(1), np.float64)
         for p in range(passes):
             keys = (centred @ planes[dim][:, p * BITS : (p + 1) * BITS] > 0).astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(keys), part.column(0), part.column(2)], names=["dim", "pass", "key", "node", "v"])
@@ -143,7 +148,7 @@ def _windows(batches: Iterator[pa.RecordBatch], least: float, window: int, bound
 def _passes(vectors: DataFrame, least: float, passes: int, window: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(a, b) of links and (node) of crowded vectors among rows (node, v), from so many passes."""
     kind = vectors.schema["v"].dataType.simpleString()
-    centred = vectors.withColumn("dim", F.size("v")).join(means(vectors), "dim").select("node", "mean", "v")
+    centred = vectors.withColumn("dim", F.size("v")).join(F.broadcast(materialise(means(vectors), "means")), "dim", "left").select("node", "mean", "v")
     keyed = centred.mapInArrow(partial(_project, passes=passes, seed=seed), f"dim int, pass int, key long, node long, v {kind}")
     order = ["dim", "pass", "key", "node"]
     ordered = keyed.repartitionByRange(partitions(vectors.sparkSession), *order).sortWithinPartitions(*order)

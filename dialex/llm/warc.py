@@ -8,10 +8,10 @@ WARC wants besides: record ids, timestamps, types and digests. Records whose pay
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialex.llm.common import base32_sha1, bound_arrow, new_path, table
+from dialex.llm.common import base32_sha1, bound_arrow, materialise, new_path, table
 
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -27,8 +27,9 @@ ARC_FIELDS = {
 }
 WARC_VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in a WARC file at most, so that readers hold a bounded file.
-FILE_RECORDS = 4000
+#: Payload bytes below which a page is of a class, and the records that a WARC file of that class holds at most: a file
+#: has some 250 MB before compression, or one larger page.
+FILE_CLASSES = ((1 << 16, 4000), (1 << 20, 250), (1 << 24, 16), (1 << 62, 1))
 
 
 @dataclass
@@ -110,9 +111,9 @@ def warc_date(arc: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def convert(arc: ArcRecord, key: str | None = None, refers_to: tuple[str, str] | None = None) -> WarcRecord:
-    """The WARC record of an ARC record: a response if it holds an HTTP message, else a resource. With `refers_to`
-    (key, extra header value) it becomes a revisit, which keeps the HTTP head and drops the payload."""
+def convert(arc: ArcRecord, key: str | None = None, refers_to: str | None = None) -> WarcRecord:
+    """The WARC record of an ARC record: a response if it holds an HTTP message, else a resource. With `refers_to`, the
+    key of another record, it becomes a revisit of that one, which keeps the HTTP head and drops the payload."""
     http = arc.body.startswith(b"HTTP/")
     head, gap, payload = arc.body.partition(b"\r\n\r\n") if http else (b"", b"", arc.body)
     digest = sha1_base32(payload)
@@ -120,7 +121,7 @@ def convert(arc: ArcRecord, key: str | None = None, refers_to: tuple[str, str] |
     block = head + gap if refers_to and http else b"" if refers_to else arc.body
     headers = {"WARC-Type": "revisit" if refers_to else "response" if http else "resource", "WARC-Record-ID": record_urn(key), "WARC-Date": warc_date(arc.date), "WARC-Target-URI": arc.url, "WARC-IP-Address": arc.ip}
     if refers_to:
-        headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_urn(refers_to[0]), "WARC-X-Refers-To-Row": refers_to[1]}
+        headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_urn(refers_to)}
     headers |= {"WARC-Payload-Digest": f"sha1:{digest}", "WARC-Block-Digest": f"sha1:{sha1_base32(block)}", "Content-Type": "application/http; msgtype=response" if http else arc.mime, "Content-Length": str(len(block))}
     return WarcRecord(headers, block)
 
@@ -147,8 +148,14 @@ def read_warc(stream: io.BufferedIOBase) -> Iterator[WarcRecord]:
         yield WarcRecord(headers, block)
 
 
+def _key(page_id: int | None, nth: int, url: str | None) -> str:
+    return f"row {nth} {page_id} {url}"
+
+
 def _to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages (id, url, payload, first) to the text of their WARC records, by way of ARC files of both versions."""
+    """Pages (page_id, url, payload, nth, first) to the text of their WARC records, by way of ARC files of both versions.
+    A record's key is its place in the table, its id and its URL, so no two records share one; first is the place, id
+    and URL of the page that a revisit refers to."""
     for batch in batches:
         rows = batch.to_pylist()
         for version in ARC_FIELDS:
@@ -157,15 +164,13 @@ def _to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in part:
                 payload = r["payload"]
                 row = "" if r["page_id"] is None else f"X-Row: {r['page_id']}\r\n"
-                first = "" if r["refers_to"] is None else f"X-First-Row: {r['refers_to']}\r\n"
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{row}{first}\r\n".encode()
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{row}\r\n".encode()
                 url = "".join(f"%{ord(c):02X}" if c in " \t\r\n\x0b\x0c" else c for c in r["url"] or "urn:no-url")
                 arcs.append(ArcRecord(url, "0.0.0.0", "20240101000000", "text/html", head + payload, "200"))
             out = []
-            for arc in read_arc(io.BytesIO(write_arc(arcs, version))):
-                seen = WarcRecord({"Content-Type": "application/http"}, arc.body)
-                row, first = seen.http_header("X-Row"), seen.http_header("X-First-Row")
-                out.append(warc_bytes(convert(arc, f"row {row}", (f"row {first}", first) if first else None))[:-1])
+            for r, arc in zip(part, read_arc(io.BytesIO(write_arc(arcs, version))), strict=True):
+                first = r["first"] and _key(**r["first"])
+                out.append(warc_bytes(convert(arc, _key(r["page_id"], r["nth"], r["url"]), first))[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
@@ -173,15 +178,16 @@ def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0).to_pylist():
             rows = []
-            for r in read_warc(io.BytesIO(zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else content)):
+            stream = io.BytesIO(content)
+            for r in read_warc(gzip.GzipFile(fileobj=stream) if content[:2] == b"\x1f\x8b" else stream):
                 digest, kind = r.headers["WARC-Payload-Digest"].removeprefix("sha1:"), r.headers["WARC-Type"]
                 if kind == "response" and sha1_base32(r.payload) != digest:
                     raise ValueError(f"{r.headers['WARC-Record-ID']}: payload doesn't match its digest")
-                row, first = r.http_header("X-Row"), r.headers.get("WARC-X-Refers-To-Row")
+                row = r.http_header("X-Row")
                 size = len(r.payload) if kind == "response" else int(r.http_header("Content-Length"))
-                rows.append((row and int(row), size, digest, kind, first and int(first), r.headers["WARC-Record-ID"], r.headers["WARC-Target-URI"]))
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+                rows.append((row and int(row), size, digest, kind, r.headers.get("WARC-Refers-To"), r.headers["WARC-Record-ID"], r.headers["WARC-Target-URI"]))
+            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_id", "record_id", "target_uri"]
+            kinds = [pa.int64(), pa.int64(), *[pa.string()] * 5]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -192,27 +198,42 @@ def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None
     Among equal payloads of at least `min_revisit_bytes` the row with the smallest page_id is the response and the
     others revisit it. A null html is empty, a null url is urn:no-url; rows with a null page_id are written without a
     row number and never are what others revisit unless all of a payload's rows have none; rows equal in page_id and
-    payload are responses each. Spark's text writer puts the files where any Hadoop file system is: a record ends in CR LF
-    CR LF, of which the last byte is the writer's line separator.
+    payload are responses each, with ids of their own. An empty table gives no record. Record ids hold a row's place, so
+    pages should be a stored table. Spark's text writer puts the files where any Hadoop file system is, one folder a
+    class of sizes: a record ends in CR LF CR LF, of which the last byte is the writer's line separator.
     """
     bound_arrow(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    groups = rows.where(F.length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.join(groups, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    text = marked.select("page_id", "url", "payload", "refers_to").mapInArrow(_to_records, "value binary").select(F.col("value").cast("string"))
-    text.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    size = F.length("payload")
+    kind = F.lit(None)
+    for i, (below, _) in reversed(list(enumerate(FILE_CLASSES))):
+        kind = F.when(size < below, i).otherwise(kind)
+    rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "nth": F.monotonically_increasing_id(), "kind": kind})
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "nth", "url")))
+    groups = rows.where(size >= min_revisit_bytes).groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    marked = rows.join(groups, "digest", "left").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first")))
+    for (i,) in sorted(rows.select("kind").distinct().collect()) or [(0,)]:  # as many as there are classes
+        text = marked.where(F.col("kind") == i).select("page_id", "url", "payload", "nth", "first").mapInArrow(_to_records, "value binary").select(F.col("value").cast("string"))
+        text.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", FILE_CLASSES[i][1]).text(f"{path}/class-{i}")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, target_uri) of the WARC files under
-    `path`; the digest of every response is checked against its payload."""
+    `path`. The digest of every response is checked against its payload, files are read record by record, and refers_to
+    is the row of the record that a revisit names."""
     bound_arrow(spark)
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string"
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_from_files, schema)
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_id string, record_id string, target_uri string"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = materialise(files.select("content").mapInArrow(_from_files, schema), "records")
+    named = found.where("refers_id IS NOT NULL").select(F.col("refers_id").alias("id")).distinct()  # a page that many revisit is one row
+    rows = found.select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to")).join(named, "id", "left_semi")
+    out = found.join(rows, found.refers_id == rows.id, "left")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri")
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written as archives and read back; what nulls and repeated rows mean is said at
+    `write_pages`, and an empty table gives no row."""
     path = new_path(spark, "warc")
     write_pages(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -26,11 +26,13 @@ def test_counts_are_the_library_s(name, hard):
 
 
 def test_a_full_cache_is_emptied(monkeypatch):
-    monkeypatch.setattr(tokens, "KEEP_CHUNKS", 5)
+    monkeypatch.setattr(tokens, "KEEP_CHARS", 500)
+    monkeypatch.setattr(tokens, "LONGEST", 6)
     model = tokens.load("piece_bpe_32k.model")
-    count = tokens.PieceCounter("piece_bpe_32k.model").counts
+    counter = tokens.PieceCounter("piece_bpe_32k.model")
     for t in random_texts(200):
-        assert count([t, "the " + t]) == [len(model.encode(t)), len(model.encode("the " + t))]
+        assert counter.counts([t, "the " + t]) == [len(model.encode(t)), len(model.encode("the " + t))]
+        assert max(map(len, counter.known), default=0) <= 6 and len(counter.known) < 30
 
 
 def test_ids_are_the_library_s():

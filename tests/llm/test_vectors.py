@@ -75,6 +75,13 @@ def test_neighbours_over_the_bounds_of_tasks(spark):
     assert all(got[i + 1] <= got[i] <= i for i in range(0, 600, 2))
 
 
+def test_rare_dimensions_go_without_a_mean(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "MEANS", 1)
+    rows = [(i, [float(i % 3 == k) for k in range(3)]) for i in range(9)] + [(20, [3.0, 4.0]), (21, [6.0, 8.0]), (22, [1.0, -1.0])]
+    got = {r.id: (r.n_links, r.component) for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "id long, v array<double>")).collect()}
+    assert got == {i: (2, i % 3) for i in range(9)} | {20: (1, 20), 21: (1, 20), 22: (0, 22)}
+
+
 def test_vectors_of_any_length(spark):
     rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1e300, -1e300]), (4, [5e-324, 0.0]), (5, [1.0, 0.0])]
     got = {r.id: (r.n_links, r.component) for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "id long, v array<double>")).collect()}

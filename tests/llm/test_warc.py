@@ -29,7 +29,7 @@ def test_conversion():
     digest = base64.b32encode(hashlib.sha1(b"payload").digest()).decode()
     assert (r.headers["WARC-Type"], r.headers["WARC-Date"], r.headers["WARC-Payload-Digest"]) == ("response", "1997-01-02T03:04:05Z", f"sha1:{digest}")
     assert r.headers == warc.convert(warc.ArcRecord("http://u", "1.1.1.1", "19970102030405", "text/html", body)).headers
-    again = warc.convert(warc.ArcRecord("http://v", "1.1.1.1", "1997", "text/html", body), "k", ("row 1", "1"))
+    again = warc.convert(warc.ArcRecord("http://v", "1.1.1.1", "1997", "text/html", body), "k", "row 1")
     assert (again.headers["WARC-Type"], again.payload, again.headers["WARC-Refers-To"]) == ("revisit", b"", warc.record_urn("row 1"))
     assert warc.convert(warc.ArcRecord("dns:x", "-", "1997", "text/dns", b"abc")).headers["WARC-Type"] == "resource"
     both = b"".join(warc.warc_bytes(x) for x in (r, again))
@@ -47,6 +47,17 @@ def test_round_trip(spark, tmp_path):
         first = min((p for p, _, h, _, _ in rows if (h or "") == (html or "") and p is not None), default=None)
         expected.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if page == first else "revisit", None if page == first else first))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(expected, key=str)
+    assert len({r.record_id for r in got}) == len(rows)  # repeated rows and rows without an id have ids of their own
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CLASSES", ((10, 3), (1000, 2), (1 << 62, 1)))
+    rows = [(i, "u", "x" * [3, 500, 5000][i % 3] + str(i // 2)) for i in range(30)]
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    files = {k: len(list((tmp_path / "w" / f"class-{k}").glob("part-*"))) for k in range(3)}
+    assert files == {0: 4, 1: 5, 2: 10}
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, len(h)) for i, _, h in rows]
 
 
 def test_small_payloads_are_no_revisits_and_empty_tables(spark, tmp_path):
