@@ -53,10 +53,11 @@ def fold_exact(text: pd.Series) -> pd.Series:
 
 def normalise(text: Column, exact: bool = False) -> Column:
     """Lower case, one kind of apostrophe and no doubled ones, quotation pairs unwrapped, accents folded."""
-    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), "’‘", "''")
-    t = F.regexp_replace(t, "''+", "'")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(F.translate(low, "’‘", "''"), "''+", "'")
     t = F.regexp_replace(t, r"(?U)(?<!\w)'([^'\n]+)'(?!\w)", "$1")
-    return fold_exact(t) if exact else fold(t)
+    t = F.when(low.contains("'") | low.contains("’") | low.contains("‘"), t).otherwise(low)
+    return fold_exact(t) if exact else F.when(F.octet_length(t) == F.length(t), t).otherwise(fold(t))
 
 
 def tokens(text: Column, exact: bool = False) -> Column:
@@ -67,6 +68,16 @@ def tokens(text: Column, exact: bool = False) -> Column:
     return F.filter(bare, lambda w: (F.length(F.btrim(w, F.lit("'"))) > 1) | F.btrim(w, F.lit("'")).isin("a", "i"))
 
 
+def token_rows(docs: DataFrame, key: str, text_col: str, exact: bool = False) -> DataFrame:
+    """(key, word): the `tokens` of each text as rows, filtered in generated code and not in arrays."""
+    word = F.col("word")
+    raw = docs.select(key, F.explode(F.split(normalise(F.col(text_col), exact), TOKEN_GAP)).alias("word")).where(word.rlike(TOKEN))
+    wrapped = word.startswith("'") & word.endswith("'") & (F.length(word) > 1)
+    bare = raw.select(key, F.when(wrapped, F.btrim(word, F.lit("'"))).otherwise(word).alias("word"))
+    letters = F.when(word.contains("'"), F.btrim(word, F.lit("'"))).otherwise(word)
+    return bare.where((F.length(letters) > 1) | letters.isin("a", "i"))
+
+
 def clean_line(line: Column) -> Column:
     """A subtitle line without markup; null for credit and music lines, which go, and for lines with nothing left."""
     t = F.trim(F.regexp_replace(line, r"\s+", " "))

@@ -21,7 +21,7 @@ def curated(basics: DataFrame, ratings: DataFrame, min_votes: int = 300) -> Data
 
 def word_counts(docs: DataFrame, exact: bool = False) -> DataFrame:
     """(film_id, word, count) of docs(film_id, text)."""
-    words = docs.select("film_id", F.explode(text.tokens(F.col("text"), exact)).alias("word"))
+    words = text.token_rows(docs, "film_id", "text", exact)
     return words.groupBy("film_id", "word").agg(F.count("*").alias("count"))
 
 

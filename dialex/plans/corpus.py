@@ -77,6 +77,9 @@ class Corpus:
     @cached_property
     def counts(self) -> DataFrame:
         docs = self.table("documents").select(F.col("doc_id").alias("film_id"), "text")
+        cores = self.spark.sparkContext.defaultParallelism
+        if docs.rdd.getNumPartitions() < cores:  # a small file of one row group would be worked off by one core
+            docs = docs.repartition(cores)
         return ops.word_counts(docs).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
