@@ -103,3 +103,18 @@ class Engine:
 
 
 __all__ = ["Engine", "asked_languages", "asked_rating", "asked_words", "sql_literal"]
+
+
+def day_index(size: int, seconds: float) -> int:
+    """The item of the day among `size`, from seconds since 1970: another one every day."""
+    return int(seconds // 86_400) % size
+
+
+def step_featured(index: int, direction: int, size: int) -> int:
+    """The next (1) or previous (-1) item, going on at the other end."""
+    return (index + direction) % size
+
+
+def toggle_pin(pins: list[str], word: str) -> list[str]:
+    """The pinned words with `word` added, or without it if it was there."""
+    return [p for p in pins if p != word] if word in pins else [*pins, word]

@@ -45,3 +45,23 @@ def logistic_score(rates: Column, model: dict) -> Column:
     base = model["intercept"] - sum(c * m / s for c, m, s in zip(model["coef"], model["mean"], model["std"], strict=True))
     z = F.aggregate(F.zip_with(rates, coef, lambda x, c: x * c), F.lit(float(base)), lambda a, x: a + x)
     return 1 / (1 + F.exp(-z))
+
+
+def _figure(value: Column, digits: int) -> Column:
+    return F.format_number(F.round(value, digits), digits)
+
+
+def per_1k_label(count: Column, total: Column) -> Column:
+    """A rate per thousand words to read: one decimal if it has one, and never 0 for what was said."""
+    rate = count / F.greatest(total, F.lit(1)) * 1000
+    return F.when(rate == 0, "0").when(rate < 0.1, "<0.1").otherwise(F.regexp_replace(_figure(rate, 1), r"\.0$", ""))
+
+
+def per_film_label(value: Column) -> Column:
+    """An average per film to read: one decimal from 1 up, two below."""
+    return F.when(value == 0, "0").when(value < 0.01, "<0.01").when(value >= 1, _figure(value, 1)).otherwise(_figure(value, 2))
+
+
+def shift_ratio(score: Column) -> Column:
+    """How many times as often, from a shift in powers of two."""
+    return F.pow(F.lit(2.0), F.abs(score))

@@ -65,7 +65,7 @@ def entity_index(figures: DataFrame) -> DataFrame:
 
 def random_shelf(films: DataFrame, seed: int, pool: int = 60, size: int = 8) -> DataFrame:
     """A few of the films with most votes, in an order that the seed gives."""
-    return films.orderBy(F.desc("votes"), "film_id").limit(pool).orderBy(F.xxhash64(F.lit(seed), "film_id"), "film_id").limit(size)
+    return films.orderBy(F.desc("votes"), "film_id").limit(pool).orderBy(F.md5(F.concat_ws("-", F.lit(seed), "film_id")), "film_id").limit(size)
 
 
 def sort_words(rows: DataFrame, by: str) -> list[Column]:

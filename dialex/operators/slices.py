@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialex.functions.predicates import in_languages
+from dialex.operators import trends
 from dialex.operators.corpus import word_year, words_of
 
 RATED_SINCE = 1968
@@ -72,6 +73,27 @@ def merge_top_films(parts: list[DataFrame], top: int = 15) -> DataFrame:
     return union(parts).orderBy(F.desc("count"), "_part", "film_id").limit(top).drop("_part")
 
 
+def merge_trend_files(parts: list[DataFrame], top: int = 15) -> DataFrame:
+    """Trend files (word, line, top, by_year) of several languages as one: lines summed, films ranked anew by count (of
+    equal ones the first part's, then by rank), and for each year the film with the largest count, the first part's in a
+    tie. A word that one part lacks has what the others say."""
+    rows = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
+    said = merge_by_year([trends.file_lines(p) for p in parts], "count", ("word",))
+    line = said.groupBy("word").agg(rows("year", "count").alias("line"))
+    order = Window.partitionBy("word").orderBy(F.desc("count"), "_part", "rank")
+    best = union(trends.file_top_films(p) for p in parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    films = best.groupBy("word").agg(rows("rank", "film_id", "title", "year", "count", "total_words").alias("top"))
+    first = F.row_number().over(Window.partitionBy("word", "year").orderBy(F.desc("count"), "_part"))
+    yearly = union(trends.file_by_year(p) for p in parts).withColumn("_r", first).where("_r = 1")
+    years = yearly.groupBy("word").agg(rows("year", "film_id", "title", "count").alias("by_year"))
+    return line.join(films, "word", "left").join(years, "word", "left")
+
+
+def merge_featured(parts: list[DataFrame]) -> DataFrame:
+    """Featured files (word, year, count), where the word of the yearly totals is empty, summed over their languages."""
+    return merge_by_year(parts, "count", ("word",))
+
+
 def merge_superlatives(parts: list[DataFrame], ascending: bool = False, top: int = 20) -> DataFrame:
     """Boards of films put together. A board of smallest values is merged ascending; clients that merge every board
     descending get that with ascending=False."""

@@ -40,6 +40,21 @@ def trend_files(word_year: DataFrame, words: DataFrame, films: DataFrame, top: i
     return line.join(best, "word", "left").join(yearly, "word", "left")
 
 
+def file_lines(files: DataFrame) -> DataFrame:
+    """(word, year, count) of trend files: their lines as rows again."""
+    return files.select("word", F.inline("line"))
+
+
+def file_top_films(files: DataFrame) -> DataFrame:
+    """(word, rank, film_id, title, year, count, total_words) of trend files."""
+    return files.select("word", F.inline("top"))
+
+
+def file_by_year(files: DataFrame) -> DataFrame:
+    """(word, year, film_id, title, count) of trend files."""
+    return files.select("word", F.inline("by_year"))
+
+
 def series(word_year: DataFrame, totals: DataFrame, words: Iterable[str], min_total: int = 100_000) -> DataFrame:
     """(word, year, rate): rates per million in the years with enough words; 0 where a charted word wasn't said."""
     asked = word_year.where(F.col("word").isin(*words))

@@ -169,9 +169,11 @@ def prints(c: Corpus) -> DataFrame:
     return selection.fingerprints(words, files_and_films(c)[0], c.stopwords, TALK)
 
 
-@query("fingerprints", _PRINTS.format(talk=stop_sql(TALK)) + " SELECT * FROM fpr")
+@query("fingerprints", _PRINTS.format(talk=stop_sql(TALK)) + f""", vw AS (SELECT film_id, name, word, count FROM fw WHERE word NOT IN {STOP} QUALIFY row_number() OVER (PARTITION BY film_id, name ORDER BY count DESC, word DESC) <= 300),
+vs AS (SELECT film_id, name, string_agg(word || ':' || count, ',' ORDER BY word) AS vec FROM vw GROUP BY ALL) SELECT fpr.*, coalesce(vec, '') AS vec FROM fpr LEFT JOIN vs USING (film_id, name)""")
 def fingerprints(c: Corpus) -> DataFrame:
-    return prints(c).withColumn("words", F.size("vec")).drop("vec")
+    entries = F.transform(F.array_sort(F.map_entries("vec")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return prints(c).withColumn("words", F.size("vec")).withColumn("vec", F.array_join(entries, ","))
 
 
 @query("gates", _PRINTS.format(talk=stop_sql(TALK)) + " SELECT film_id, name, CASE WHEN tokens < 200 THEN 'tiny' WHEN stop_share < 0.25 THEN 'not-english' WHEN bytes_per_word > 60 THEN 'sparse' WHEN commentary_rate >= 8 AND bytes_per_word < 18 THEN 'commentary' END AS gate FROM fpr")
@@ -218,6 +220,19 @@ def consensus_choice(c: Corpus) -> DataFrame:
     return chosen.select("film_id", "name", "reason", "cluster", "usable", "relaxed", "tier", F.array_join("flags", ",").alias("flags"))
 
 
+@query("film_context", """, cr AS (SELECT doc_id AS film_id, regexp_extract_all(lower(CASE WHEN doc_id % 3 = 0 THEN 'Actor ' || lang || ' Maria' ELSE source END), '[a-z]{3,}') AS t FROM documents WHERE doc_id % 5 <> 0)
+SELECT doc_id AS film_id, CASE WHEN doc_id % 4 <> 0 THEN (1930 + doc_id % 96)::INT END AS year, CASE WHEN doc_id % 4 <> 0 THEN source = 'Documentary' END AS documentary,
+  CASE WHEN doc_id % 7 = 0 THEN true END AS verified, CASE WHEN doc_id % 2 = 0 THEN lang = 'en' END AS english,
+  CASE WHEN t IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_filter(t, lambda w: w <> 'the'))), ',') END AS cast_tokens
+FROM documents LEFT JOIN cr ON film_id = doc_id WHERE doc_id % 4 <> 0 OR doc_id % 7 = 0 OR doc_id % 2 = 0 OR t IS NOT NULL""")
+def film_context(c: Corpus) -> DataFrame:
+    docs = c.table("documents").withColumn("film_id", F.col("doc_id"))
+    f = F.col("film_id")
+    credits = docs.where(f % 5 != 0).select("film_id", F.when(f % 3 == 0, "(voice)").otherwise(F.col("source")).alias("character"), F.concat(F.lit("Actor "), "lang", F.lit(" Maria")).alias("actor"))
+    known = selection.film_context(docs, c.curated.where(f % 4 != 0), docs.where(f % 2 == 0).select("film_id", "lang"), credits, docs.where(f % 7 == 0), ("the",))
+    return known.select("film_id", "year", "documentary", "verified", "english", F.array_join("cast", ",").alias("cast_tokens"))
+
+
 @query("blocklist_anti", f"SELECT film_id, name, bytes FROM ({FILES}) WHERE film_id NOT IN (3, 7) AND name NOT IN ('000012.xml', '000100.xml')")
 def blocklist_anti(c: Corpus) -> DataFrame:
     spark = c.spark
@@ -270,7 +285,14 @@ def profanity_counts(c: Corpus) -> DataFrame:
     return featured(c).where("profanity IS NOT NULL").select("film_id", F.aggregate(F.map_values("profanity"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
 
 
-@query("quality_flags")
+_MT = f"""mt AS (SELECT film_id, CASE WHEN sum(count) >= 1000 THEN 1 / (1 + exp(-(-0.2 + {_Z} + -0.4 * (coalesce(sum(count) FILTER (word LIKE '%n''t'), 0) / (coalesce(sum(count) FILTER (word LIKE '%n''t' OR word = 'not'), 0) + 1)::DOUBLE - 0.1) / 0.2))) END AS score,
+  count(*) FILTER (word IN {SWEAR}) AS profane FROM counts GROUP BY film_id)"""
+
+
+@query("quality_flags", _LINES + f""", {_MT},
+qf AS (SELECT film_id // 12 AS film_id, film_id AS name, toks_per_line >= 12 AND cap_start < 0.75 AND end_punct < 0.6 AS asr, film_id % 3 > 0 AS english, coalesce(score, 0) AS score, coalesce(profane, 0) AS profane, film_id % 4 AS hits FROM ft LEFT JOIN mt USING (film_id))
+SELECT film_id, name, array_to_string(list_filter([CASE WHEN asr THEN 'asr' END, CASE WHEN english AND score >= 0.8 THEN 'machine-translated' END, CASE WHEN english AND profane > 0 THEN 'anachronism' END,
+  CASE WHEN hits = 0 AND max(hits) OVER (PARTITION BY film_id) >= 2 THEN 'wrong-cast' END], lambda x: x IS NOT NULL), ',') AS flags FROM qf""")
 def quality_flags(c: Corpus) -> DataFrame:
     scores = quality.mt_scores(featured(c), MODEL)
     f = F.col("film_id")

@@ -174,7 +174,7 @@ def genre_films(c: Corpus) -> DataFrame:
     return pages.entity_films(c.films, "g:src4").select("film_id", "title", "year", "votes")
 
 
-@query("random_shelf")
+@query("random_shelf", "SELECT film_id, title, votes FROM (SELECT * FROM films ORDER BY votes DESC, film_id LIMIT 60) ORDER BY md5('7-' || film_id), film_id LIMIT 8")
 def random_shelf(c: Corpus) -> DataFrame:
     return pages.random_shelf(c.films, 7).select("film_id", "title", "votes")
 
@@ -196,7 +196,10 @@ def find_words(c: Corpus) -> DataFrame:
     return pages.find_words(c.dictionary, " Ther ")
 
 
-@query("stretched_variants")
+_THRICE = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+@query("stretched_variants", f"SELECT word, array_to_string(list_filter(string_split(word, ''), lambda x, i: i = 1 OR x <> word[i - 1] OR x = chr(39)), '') AS base FROM dict WHERE regexp_matches(word, '{_THRICE}')")
 def stretched_variants(c: Corpus) -> DataFrame:
     return pages.stretched(c.dictionary)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialex.functions import stats
 from dialex.operators import boards, corpus, slices, trends
 from dialex.plans.catalog import query
 from dialex.plans.corpus import Corpus
@@ -186,3 +187,75 @@ def merge_shifts(c: Corpus) -> DataFrame:
         return scored.orderBy(F.desc("score"), "word").limit(30).select("word", "score")
 
     return slices.merge_shifts([part("en"), part("fr")])
+
+
+@query("trend_file_lines", "SELECT word, year, count FROM word_year")
+def trend_file_lines(c: Corpus) -> DataFrame:
+    return trends.file_lines(trends.trend_files(c.word_year, c.words, c.films))
+
+
+_CHARTED = ", ch AS (SELECT words.*, title, year, total_words, lang FROM words JOIN (SELECT DISTINCT word FROM word_year) USING (word) JOIN films USING (film_id))"
+
+
+@query("trend_file_top", _CHARTED + " SELECT word, row_number() OVER (PARTITION BY word ORDER BY count DESC, title, film_id)::INT AS rank, film_id, title, year, count, total_words FROM ch QUALIFY rank <= 15")
+def trend_file_top(c: Corpus) -> DataFrame:
+    return trends.file_top_films(trends.trend_files(c.word_year, c.words, c.films))
+
+
+@query("trend_file_by_year", _CHARTED + " SELECT word, year, film_id, title, count FROM ch QUALIFY row_number() OVER (PARTITION BY word, year ORDER BY count DESC, title, film_id) = 1")
+def trend_file_by_year(c: Corpus) -> DataFrame:
+    return trends.file_by_year(trends.trend_files(c.word_year, c.words, c.films))
+
+
+def _merged_files(c: Corpus) -> DataFrame:
+    of = lambda t, lang: t.where(F.col("lang") == lang)
+    return slices.merge_trend_files([trends.trend_files(of(by_language(c), lang), c.words, of(c.films, lang)) for lang in ("en", "de")])
+
+
+_PARTS = YL + """, tw AS (SELECT w.film_id, w.word, w.count, f.title, f.year, f.total_words, f.lang, (f.lang = 'de')::INT AS part FROM words w JOIN films f USING (film_id)
+  JOIN (SELECT DISTINCT lang, word FROM yl WHERE lang IN ('en', 'de')) k ON k.lang = f.lang AND k.word = w.word)"""
+
+
+@query("merge_trend_file_lines", YL + " SELECT word, year, sum(count)::BIGINT AS count FROM yl WHERE lang IN ('en', 'de') GROUP BY ALL")
+def merge_trend_file_lines(c: Corpus) -> DataFrame:
+    return trends.file_lines(_merged_files(c))
+
+
+@query("merge_trend_file_top", _PARTS + """, t15 AS (SELECT *, row_number() OVER (PARTITION BY part, word ORDER BY count DESC, title, film_id) AS r FROM tw QUALIFY r <= 15)
+SELECT word, row_number() OVER (PARTITION BY word ORDER BY count DESC, part, r)::INT AS rank, film_id, title, year, count, total_words FROM t15 QUALIFY rank <= 15""")
+def merge_trend_file_top(c: Corpus) -> DataFrame:
+    return trends.file_top_films(_merged_files(c))
+
+
+@query("merge_trend_file_by_year", _PARTS + """, ty AS (SELECT * FROM tw QUALIFY row_number() OVER (PARTITION BY part, word, year ORDER BY count DESC, title, film_id) = 1)
+SELECT word, year, film_id, title, count FROM ty QUALIFY row_number() OVER (PARTITION BY word, year ORDER BY count DESC, part) = 1""")
+def merge_trend_file_by_year(c: Corpus) -> DataFrame:
+    return trends.file_by_year(_merged_files(c))
+
+
+_FEATURED = YL + f", fe AS (SELECT word, year, count FROM yl WHERE lang IN ('en', 'de') AND word IN {_IN} UNION ALL SELECT '', year, count FROM yl WHERE lang IN ('en', 'de'))"
+
+
+@query("merge_featured", _FEATURED + " SELECT word, year, sum(count)::BIGINT AS count FROM fe GROUP BY ALL")
+def merge_featured(c: Corpus) -> DataFrame:
+    def part(lang: str) -> DataFrame:
+        rows = by_language(c).where(F.col("lang") == lang)
+        totals = corpus.year_totals(rows).select(F.lit("").alias("word"), "year", F.col("total").alias("count"))
+        return rows.where(F.col("word").isin(*ASKED)).select("word", "year", "count").unionByName(totals)
+
+    return slices.merge_featured([part("en"), part("de")])
+
+
+@query("shift_ratios", YL + f" SELECT word, score, round(pow(2.0, abs(score)), 6) AS ratio FROM ({_SHIFT.format(lang='en')})")
+def shift_ratios(c: Corpus) -> DataFrame:
+    scored = boards.shifts(by_language(c).where(F.col("lang") == "en"), 100, 4).orderBy(F.desc("score"), "word").limit(30)
+    return scored.select("word", "score", F.round(stats.shift_ratio(F.col("score")), 6).alias("ratio"))
+
+
+_RATE = "count / greatest(total_words, 1)::DOUBLE * 1000"
+
+
+@query("rate_labels", f"SELECT film_id, word, CASE WHEN {_RATE} < 0.1 THEN '<0.1' ELSE regexp_replace(printf('%.1f', round({_RATE}, 1)), '\\.0$', '') END AS per_1k, CASE WHEN count / 7.0::DOUBLE >= 1 THEN printf('%.1f', round(count / 7.0::DOUBLE, 1)) ELSE printf('%.2f', round(count / 7.0::DOUBLE, 2)) END AS per_film FROM words JOIN films USING (film_id) WHERE word IN {_IN}")
+def rate_labels(c: Corpus) -> DataFrame:
+    said = c.words.where(F.col("word").isin(*ASKED)).join(c.films.select("film_id", "total_words"), "film_id")
+    return said.select("film_id", "word", stats.per_1k_label(F.col("count"), F.col("total_words")).alias("per_1k"), stats.per_film_label(F.col("count") / 7).alias("per_film"))

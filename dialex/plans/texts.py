@@ -27,12 +27,12 @@ def conversation_words(c: Corpus) -> DataFrame:
     return words.groupBy("conv_id", "word").agg(F.count("*").alias("count"))
 
 
-@query("xml_sentences")
+@query("xml_sentences", r"SELECT doc_id, len(string_split(text, chr(10)))::INT AS sentences, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10))) AS content FROM documents")
 def xml_sentences(c: Corpus) -> DataFrame:
     """Documents written as XML with a sentence a line, and read back."""
     escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     xml = F.concat(F.lit("<document>"), F.array_join(F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit("<s>"), x, F.lit("</s>"))), ""), F.lit("</document>"))
-    return c.table("documents").select("doc_id", F.size(text.xml_sentences(xml)).alias("sentences"))
+    return c.table("documents").select("doc_id", text.xml_sentences(xml).alias("s")).select("doc_id", F.size("s").alias("sentences"), F.md5(F.array_join("s", "\n")).alias("content"))
 
 
 @query("ocr_repair", """, d AS (SELECT film_id, CASE WHEN film_id % 3 = 0 AND word = 'in' THEN 'ln' WHEN film_id % 3 = 0 AND word = 'is' THEN 'ls' WHEN film_id % 3 = 0 AND word = 'it' THEN 'l''m' ELSE word END AS word, count FROM counts),
