@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from dialex.llm.common import bound_arrow, table, unused
+from dialex.llm.common import bound_arrow, table
 
 #: Labelled rows that a model is fitted on at most, those with the smallest hashes of their ids.
 TRAIN_ROWS = 12_000
@@ -213,10 +213,11 @@ def score(docs: DataFrame, model: Model, *keep: Column, out: str = "score") -> D
     """The columns `keep` of docs, and `out`: the model's 0 to 1 for the whole of column text (null: empty). Repeated rows
     are scored each; an empty table gives an empty result; `out` must not be the name of a column in `keep`."""
     bound_arrow(docs.sparkSession)
-    kept = docs.select(*keep)
-    rows = docs.select(*keep, F.col("text").alias(unused(kept.columns, "_text")))
-    schema = StructType([*kept.schema.fields, StructField(out, DoubleType())])
-    return rows.mapInArrow(partial(_score_batches, model=model, out=out), schema)
+    kept = docs.select(*keep).schema.fields  # under plain names, as Arrow functions don't take names with dots
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("text"))
+    schema = StructType([*[StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)], StructField("score", DoubleType())])
+    scored = rows.mapInArrow(partial(_score_batches, model=model, out="score"), schema)
+    return scored.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)], F.col("score").alias(out))
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:

@@ -125,3 +125,45 @@ def test_every_stage(spark, corpus):
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_stages_of_an_empty_table(spark, corpus):
+    docs = spark.createDataFrame([], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, corpus[0])
+        assert out.count() == 0, name
+        assert name == "packing" or out.columns == docs.columns
+
+
+def test_stages_keep_columns_of_any_name_and_rows_that_agree_once(spark, corpus):
+    odd = ["_score", "_text", "_kept", "_n_lines", "_id", "_gone", "_bits", "_n", "_copies", "_size", "_nth", "_rank", "_source", "a.b", "count", "component_id"]
+    good = "A good document of plain words that is told apart from all the others by what it says about rivers and hills."
+    rows = [(1, good), (1, good), (2, good), (3, good + " It also goes on about lakes and so it is another text altogether, longer than the first one was."), (None, good), (None, good), (4, None), (4, "")]
+    data = [(i, t, "en", None if i is None else f"s{i % 2}", len(t or ""), *range(len(odd))) for i, t in rows]
+    docs = spark.createDataFrame(data, DOCS + ", " + ", ".join(f"`{c}` int" for c in odd))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, corpus[0])
+        assert out.columns == docs.columns, name
+        got = [r.doc_id for r in out.collect()]
+        if name == "near-dedup":  # rows that agree in id and text once; a null text is no empty one; rows without an id stay
+            assert sorted(map(str, got)) == ["1", "3", "4", "4", "None", "None"]
+
+
+def test_source_mix_stage_meets_its_targets(spark, corpus):
+    from collections import Counter, defaultdict
+
+    from tests.llm.test_mixing_lines import targets
+
+    rng = random.Random(3)
+    rows = [(None if i % 50 == 0 else i // (2 if i % 9 == 0 else 1), "w " * rng.randint(0, 30), "en", rng.choice(["a", "b", "b", "b", None]), i) for i in range(500)]
+    size = lambda t: len((t or "").split())
+    got = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOCS), corpus[0]).collect()
+    copies = Counter((r.n_chars, r.source) for r in got)
+    assert max(copies.values()) <= 3
+    sums, taken = defaultdict(int), defaultdict(int)
+    for _, t, _, s, _ in rows:
+        sums[s] += size(t)
+    for r in got:
+        taken[r.source] += size(r.text)
+    for s, goal in targets(sums).items():
+        assert abs(taken[s] - goal) <= 15 + 1e-9  # half the longest document at most
