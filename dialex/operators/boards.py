@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from dialex.functions.predicates import decade
 from dialex.functions.stats import shift_score
 
-DECADES = tuple(range(1930, 2030, 10))
 
 
 def leaderboard(words: DataFrame, stopwords: Iterable[str] = (), top: int | None = 1000, only_stopwords: bool = False) -> DataFrame:
