@@ -11,7 +11,6 @@ from dialex.functions.predicates import decade
 from dialex.functions.stats import shift_score
 
 
-
 def leaderboard(words: DataFrame, stopwords: Iterable[str] = (), top: int | None = 1000, only_stopwords: bool = False) -> DataFrame:
     """(word, count, films), most said first; ties by word. With no `top`, all words in any order."""
     stop = F.col("word").isin(*stopwords)
