@@ -59,18 +59,25 @@ class Corpus:
     """The tables of one folder. Word counts are kept while the session lives: everything else starts from them, and
     they are smaller than the texts."""
 
-    _known: dict[tuple[int, str], Corpus] = {}
+    _known: dict[tuple[str, str], Corpus] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Corpus:
-        key = (id(spark.sparkContext), sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir)
         if key not in cls._known:
             cls._known[key] = cls(spark, sf_dir)
         return cls._known[key]
 
+    def close(self) -> None:
+        """Frees what is kept of this folder; the next use reads it again."""
+        self._known.pop((self.spark.sparkContext.applicationId, self.sf_dir), None)
+        for name in ("counts", "all_films", "word_year"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

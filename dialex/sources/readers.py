@@ -149,16 +149,15 @@ class ZipReader(DataSourceReader):
             return [i.filename for i in z.infolist() if not i.is_dir() and i.filename.startswith(self.prefix) and i.filename.endswith(self.suffix)]
 
     def partitions(self) -> list[InputPartition]:
-        n = len(self._names())
-        step = max(1, -(-n // self.parts))
-        return [InputPartition((a, min(a + step, n))) for a in range(0, n, step)]
+        names = self._names()
+        step = max(1, -(-len(names) // self.parts))
+        return [InputPartition(names[a : a + step]) for a in range(0, len(names), step)]
 
     def read(self, partition: InputPartition):
         from zipfile import ZipFile
 
-        a, b = partition.value
         with ZipFile(self.path) as z:
-            for name in self._names()[a:b]:
+            for name in partition.value:
                 yield name, z.getinfo(name).file_size, z.read(name) if self.contents else None
 
 

@@ -41,14 +41,15 @@ def small_json(df: DataFrame, most: int = 10_000) -> str:
 
 
 class CountCache:
-    """Counts by film and version, appended to; what is there for a film's present inputs isn't counted again."""
+    """Counts by film and version, appended to; what is there for a film's present inputs isn't counted again. A row
+    without a word marks a film as counted, so that one whose text has no words isn't read again either."""
 
     SCHEMA = "film_id string, version int, inputs long, word string, count long"
 
     def __init__(self, spark: SparkSession, path: str, version: int):
         self.spark, self.path, self.version = spark, path, version
 
-    def read(self) -> DataFrame:
+    def _rows(self) -> DataFrame:
         try:
             rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
         except Exception as e:  # no cache yet
@@ -57,6 +58,9 @@ class CountCache:
             rows = self.spark.createDataFrame([], self.SCHEMA)
         return rows.where(F.col("version") == self.version)
 
+    def read(self) -> DataFrame:
+        return self._rows().where("word IS NOT NULL")
+
     @staticmethod
     def inputs(*columns: str):
         """A stable key of what a film's counts depend on."""
@@ -64,7 +68,7 @@ class CountCache:
 
     def missing(self, docs: DataFrame) -> DataFrame:
         """docs(film_id, inputs, ...) that aren't in the cache with the same inputs."""
-        return docs.join(self.read().select("film_id", "inputs").distinct(), ["film_id", "inputs"], "left_anti")
+        return docs.join(self._rows().where("word IS NULL").select("film_id", "inputs"), ["film_id", "inputs"], "left_anti")
 
     def add(self, counts: DataFrame) -> None:
         counts.select("film_id", F.lit(self.version).alias("version"), "inputs", "word", "count").write.mode("append").parquet(self.path)

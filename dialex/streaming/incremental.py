@@ -16,9 +16,10 @@ DOCS = "film_id string, text string"
 
 
 def count_new(cache: CountCache, docs: DataFrame) -> None:
-    """Counts the documents that the cache lacks."""
+    """Counts the documents that the cache lacks, and marks each with a null word, in one write."""
     keyed = docs.where("film_id IS NOT NULL").withColumn("inputs", cache.inputs("text"))
-    words = cache.missing(keyed).dropDuplicates(["film_id", "inputs"]).select("film_id", "inputs", F.explode(text.tokens(F.col("text"))).alias("word"))
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(text.tokens(F.col("text")), F.array().cast("array<string>")))
+    words = cache.missing(keyed).dropDuplicates(["film_id", "inputs"]).select("film_id", "inputs", F.explode(marked).alias("word"))
     cache.add(words.groupBy("film_id", "inputs", "word").agg(F.count("*").alias("count")))
 
 
@@ -28,8 +29,8 @@ def count_stream(spark: SparkSession, folder: str, cache: CountCache, checkpoint
     return docs.writeStream.foreachBatch(lambda df, _: count_new(cache, df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_totals(spark: SparkSession, folder: str, name: str) -> StreamingQuery:
-    """Word totals over all documents so far, in a memory table."""
+def running_totals(spark: SparkSession, folder: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Word totals over all documents so far, as Parquet that each batch writes anew; nothing gathers on the driver."""
     docs = spark.readStream.schema(DOCS).parquet(folder)
     words = docs.select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
-    return words.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    return words.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

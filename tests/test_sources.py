@@ -80,13 +80,14 @@ def test_sorted_tables_and_documents(spark, tmp_path):
 
 def test_stream_counts_each_document_once(spark, tmp_path):
     cache = writers.CountCache(spark, str(tmp_path / "cache"), 1)
-    docs = spark.createDataFrame([("a", "the cat the"), ("b", "a dog"), (None, "lost")], incremental.DOCS)
+    docs = spark.createDataFrame([("a", "the cat the"), ("b", "a dog"), ("c", "..."), ("d", None), (None, "lost")], incremental.DOCS)
     docs.write.parquet(str(tmp_path / "in"))
     incremental.count_stream(spark, str(tmp_path / "in"), cache, str(tmp_path / "cp")).awaitTermination(120)
     docs.write.mode("append").parquet(str(tmp_path / "in"))
     incremental.count_stream(spark, str(tmp_path / "in"), cache, str(tmp_path / "cp")).awaitTermination(120)
     got = sorted(tuple(r) for r in cache.read().select("film_id", "word", "count").collect())
     assert got == sorted(tuple(r) for r in word_counts(docs.where("film_id IS NOT NULL")).collect())
+    assert cache.missing(docs.where("film_id IS NOT NULL").withColumn("inputs", cache.inputs("text"))).isEmpty()
     changed = spark.createDataFrame([("a", "new text")], incremental.DOCS).withColumn("inputs", cache.inputs("text"))
     assert cache.missing(changed).count() == 1
     assert writers.CountCache(spark, str(tmp_path / "cache"), 2).read().count() == 0
@@ -94,5 +95,5 @@ def test_stream_counts_each_document_once(spark, tmp_path):
 
 def test_running_totals(spark, tmp_path):
     spark.createDataFrame([("a", "the cat the")], incremental.DOCS).write.parquet(str(tmp_path / "in"))
-    incremental.running_totals(spark, str(tmp_path / "in"), "totals").awaitTermination(120)
-    assert {r.word: r["count"] for r in spark.table("totals").collect()} == {"the": 2, "cat": 1}
+    incremental.running_totals(spark, str(tmp_path / "in"), str(tmp_path / "totals"), str(tmp_path / "cp")).awaitTermination(120)
+    assert {r.word: r["count"] for r in spark.read.parquet(str(tmp_path / "totals")).collect()} == {"the": 2, "cat": 1}
