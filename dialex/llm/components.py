@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialex.llm.common import materialise, remove
+from dialex.llm.common import materialise, partitions, remove
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """One star step: every node's neighbours (the larger ones, or the smaller ones and itself) are tied to its smallest neighbour."""
+    """One star step: every node's neighbours (the larger ones, or the smaller ones and itself) are tied to its smallest neighbour.
+
+    Edges of a node are spread over `part`, a hash of the neighbour, so that those of a star's centre go to many tasks;
+    a node's minimum is sent to the parts that it has, which are no more than its edges or the partitions of a shuffle.
+    """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not larger:
         both = both.where("b < a")
-    low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    both = both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(partitions(edges.sparkSession))).cast("int"))
+    parts = both.groupBy("a", "part").agg(F.min("b").alias("m"))
+    low = parts.groupBy("a").agg(F.min("m").alias("m")).withColumn("m", F.least("a", "m"))
     tied = both.where("b > a") if larger else both
-    out = tied.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = tied.join(parts.select("a", "part").join(low, "a"), ["a", "part"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not larger:
         out = out.unionAll(low.select("a", F.col("m").alias("b")))
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -24,8 +30,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of `edges(a, b)`; component is the smallest node reachable.
 
-    Alternating large and small stars until nothing changes. Minima are taken with map-side combining, so a node with
-    very many edges costs no more than its edges, and each round is written to the shared folder: neither lineage nor
+    Alternating large and small stars until nothing changes. Minima are taken with map-side combining and a node's edges
+    lie in many parts, so a node with very many edges costs no more than its edges and fills no one task, and each round is written to the shared folder: neither lineage nor
     anything on the driver grows. An empty edge table gives an empty result; self-loops and repeated edges don't matter.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
@@ -52,14 +58,17 @@ def tiles(members: DataFrame, component: str, block_rows: int) -> DataFrame:
 
     Adds tile_i, tile_j (the pair of blocks) and side (0 or 1 when the row belongs to the first or second block; rows
     of a block paired with itself come once, with side 0). Each pair of rows of a component meets in exactly one tile,
-    so a component of any size is worked off by many tasks that hold two blocks each.
+    so a component of any size is worked off by many tasks that hold two blocks each. Sizes reach the rows by parts of a
+    component, like the minima of stars.
     """
-    sizes = members.groupBy(component).agg(F.count("*").alias("_n"))
-    blocks = members.join(sizes, component).withColumn("_b", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int"))
+    spread = members.withColumn("_part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(partitions(members.sparkSession))).cast("int"))
+    parts = spread.groupBy(component, "_part").agg(F.count("*").alias("_n"))
+    sizes = parts.select(component, "_part").join(parts.groupBy(component).agg(F.sum("_n").alias("_n")), component)
+    blocks = spread.join(sizes, [component, "_part"]).withColumn("_b", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int"))
     blocks = blocks.withColumn("_k", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
     dealt = blocks.withColumn("_o", other)
-    return dealt.withColumns({"tile_i": F.least("_k", "_o"), "tile_j": F.greatest("_k", "_o"), "side": (F.col("_k") > F.col("_o")).cast("int")}).drop("_n", "_b", "_k", "_o")
+    return dealt.withColumns({"tile_i": F.least("_k", "_o"), "tile_j": F.greatest("_k", "_o"), "side": (F.col("_k") > F.col("_o")).cast("int")}).drop("_n", "_b", "_k", "_o", "_part")
 
 
 class Forest:
