@@ -4,8 +4,8 @@ Equal substrings of `length` bytes hold the same smallest hash of their short gr
 
 1. texts are packed into batches of a few MB, a table bucketed by batch that later steps join without moving texts;
 2. anchors met in two documents are found; a string with any other anchor is unique and is dropped;
-3. the strings left go to the range of their anchor, as runs of consecutive starts. Runs equal in whole are one class,
-   and a class that is alone with its anchor is settled. The rest is settled by prefix doubling: positions are ranked
+3. the strings left go to the range of their anchor, as runs of consecutive starts, equal runs of a batch once. Runs
+   equal in whole are one class, and a class that is alone with its anchor is settled. The rest is settled by prefix doubling: positions are ranked
    by 8 bytes, then sorted by pairs of ranks at offsets 8, 16 and so on, reranked, and dropped once their rank is
    unique; past `length` bytes, positions of one rank are equal strings. As equal strings share an anchor, every sort
    is over one range of anchors only;
@@ -34,6 +34,8 @@ LENGTH, GRAM = 50, 20
 BATCH_BYTES = 4 << 20
 #: Consecutive starts in a run at most.
 RUN = 64
+#: Runs whose strings are settled at once.
+AT_ONCE = 1 << 16
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -167,9 +169,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["batch", "shared"])
 
 
+def _classes(text: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs that stand in `text` one after the other: one run of each class of equal ones, and each run's class."""
+    span = counts + length - 1
+    width = RUN + length
+    cells = np.zeros((len(span), width), np.uint8)
+    cells[:, 0] = counts
+    cells.ravel()[np.arange(len(text)) + np.repeat(np.arange(len(span)) * width + 1 - (np.cumsum(span) - span), span)] = text
+    _, rep, cls = np.unique(cells.view(f"S{width}").ravel(), return_index=True, return_inverse=True)
+    return rep, cls
+
+
+def _stretches(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of a text, one after the other."""
+    return text[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+
+
 def _runs_of(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, batch, anchors, docs, starts, counts, texts): the runs of starts whose anchors are shared."""
-    names = ["bucket", "batch", "anchors", "docs", "starts", "counts", "texts", "n_text"]
+    """The runs of starts whose anchors are shared: (bucket, batch, anchors, counts, texts, n_text) of a batch's classes
+    of equal runs, so that what many of its documents hold is sent once, and (docs, starts, which) of the runs."""
+    names = ["bucket", "batch", "anchors", "docs", "starts", "which", "counts", "texts", "n_text"]
     for r in _rows(batches):
         ids, known, sizes, text = _unpack(r)
         doc, fresh, anchor = _spots(sizes, known, text, length, buckets)
@@ -189,12 +208,12 @@ def _runs_of(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
         span = counts + length - 1
         found = []
         for b, s in _split(keys):
-            n = span[s]
-            total = int(n.sum())
-            at = np.arange(total) + np.repeat(starts[s] - (np.cumsum(n) - n), n)
-            found.append((b, r["batch"], keys[s].astype(np.uint32).tobytes(), docs[s].tobytes(), starts[s].astype(np.int32).tobytes(), counts[s].astype(np.uint8).tobytes(), pa.compress(text[at].tobytes(), codec="zstd", asbytes=True), total))
+            rep, cls = _classes(_stretches(text, starts[s], span[s]), counts[s], length)
+            held = _stretches(text, starts[s][rep], span[s][rep])
+            parts = (keys[s][rep].astype(np.uint32), docs[s], starts[s].astype(np.int32), cls.astype(np.int32), counts[s][rep].astype(np.uint8))
+            found.append((b, r["batch"], *[x.tobytes() for x in parts], pa.compress(held.tobytes(), codec="zstd", asbytes=True), len(held)))
         cols = list(zip(*found, strict=True)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:7]], pa.array(cols[7], pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:8]], pa.array(cols[8], pa.int64())], names=names)
 
 
 def _rerank(pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -253,23 +272,21 @@ def _cover(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     for _, t in runs(batches, 1):
         cat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])  # noqa: B023, E731
         keys, docs, starts, counts = cat("anchors", np.uint32), cat("docs", np.int64), cat("starts", np.int32).astype(np.int64), cat("counts", np.uint8).astype(np.int64)
-        owner = np.repeat(t.column("batch").to_numpy(), [len(x) // 4 for x in t.column("anchors").to_pylist()])
+        sizes, members = (np.array([len(x) // 4 for x in t.column(c).to_pylist()]) for c in ("anchors", "which"))
+        which = cat("which", np.int32) + np.repeat(np.cumsum(sizes) - sizes, members)
+        owner = np.repeat(t.column("batch").to_numpy(), members)
         text = np.frombuffer(b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(t.column("texts").to_pylist(), t.column("n_text").to_pylist(), strict=True)), np.uint8)
         span = counts + length - 1
         first = np.cumsum(span) - span
-        # classes: runs equal in length and bytes
-        width = RUN + length
-        cells = np.zeros((len(span), width), np.uint8)
-        cells[:, 0] = counts
-        cells.ravel()[np.arange(len(text)) + np.repeat(np.arange(len(span)) * width + 1 - first, span)] = text
-        _, rep, cls = np.unique(cells.view(f"S{width}").ravel(), return_index=True, return_inverse=True)
-        del cells
+        # classes: runs equal in length and bytes, over all batches
+        rep, cls = _classes(text, counts, length)
+        of = cls[which]
         low = np.full(len(rep), np.iinfo(np.int64).max)
-        np.minimum.at(low, cls, docs)
+        np.minimum.at(low, of, docs)
         _, per_anchor, n_classes = np.unique(keys[rep], return_inverse=True, return_counts=True)
         alone = n_classes[per_anchor] == 1
-        whole = alone[cls] & (docs > low[cls])
-        batch_of, at, size = [owner[whole]], [starts[whole]], [span[whole]]
+        whole = alone[of] & (docs > low[of])
+        batch_of, at, size = [owner[whole]], [starts[whole]], [span[which[whole]]]
         # the others: strings of their classes, by prefix doubling
         open_cls = np.flatnonzero(~alone)
         if len(open_cls):
@@ -291,17 +308,19 @@ def _cover(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             # every member of a class takes the class's windows
             slot = np.full(len(rep), -1, np.int64)
             slot[open_cls] = base
-            members = np.flatnonzero(~alone[cls])
-            m = counts[members]
-            inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            gone = earliest[np.repeat(slot[cls[members]], m) + inner] < np.repeat(docs[members], m)
-            begin = gone & ((inner == 0) | ~np.r_[False, gone[:-1]])
-            final = gone & ((inner == np.repeat(m, m) - 1) | ~np.r_[gone[1:], False])
-            who = np.repeat(members, m)
-            a, z = np.flatnonzero(begin), np.flatnonzero(final)
-            batch_of.append(owner[who[a]])
-            at.append(starts[who[a]] + inner[a])
-            size.append(z - a + length)
+            still = np.flatnonzero(~alone[of])
+            for lo in range(0, len(still), AT_ONCE):
+                some = still[lo : lo + AT_ONCE]
+                m = counts[which[some]]
+                inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                gone = earliest[np.repeat(slot[of[some]], m) + inner] < np.repeat(docs[some], m)
+                begin = gone & ((inner == 0) | ~np.r_[False, gone[:-1]])
+                final = gone & ((inner == np.repeat(m, m) - 1) | ~np.r_[gone[1:], False])
+                who = np.repeat(some, m)
+                a, z = np.flatnonzero(begin), np.flatnonzero(final)
+                batch_of.append(owner[who[a]])
+                at.append(starts[who[a]] + inner[a])
+                size.append(z - a + length)
         batch_of, at, size = np.concatenate(batch_of), np.concatenate(at), np.concatenate(size)
         order = np.argsort(batch_of, kind="stable")
         batch_of, at, size = batch_of[order], at[order], size[order]
@@ -354,7 +373,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     anchors = packed.mapInArrow(partial(_anchors, length=length, buckets=buckets), "bucket int, batch long, anchors binary")
     met = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
     shared = met.mapInArrow(_shared, "batch long, shared binary").groupBy("batch").agg(F.collect_list("shared").alias("shared"))
-    schema = "bucket int, batch long, anchors binary, docs binary, starts binary, counts binary, texts binary, n_text long"
+    schema = "bucket int, batch long, anchors binary, docs binary, starts binary, which binary, counts binary, texts binary, n_text long"
     spread = packed.join(shared, "batch").mapInArrow(partial(_runs_of, length=length, buckets=buckets), schema)
     met = spread.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
     cover = met.mapInArrow(partial(_cover, length=length), "batch long, starts binary, lengths binary")
