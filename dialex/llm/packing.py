@@ -297,6 +297,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2,048 tokens. A null or empty text is one id, the end mark;
+    repeated rows and rows without an id are packed each; an empty table gives no piece."""
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 

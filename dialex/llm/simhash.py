@@ -418,6 +418,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, t
 
 
 def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of all documents. Null and empty texts have fingerprint zero, which links like any other;
+    rows without an id get the group of their fingerprint, null if it has none; an empty table gives no row."""
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -5,10 +5,10 @@ Equal substrings of `length` bytes hold the same smallest hash of their short gr
 1. texts are packed into batches of a few MB, a table bucketed by batch that later steps join without moving texts;
 2. anchors met in two documents are found; a string with any other anchor is unique and is dropped;
 3. the strings left go to the range of their anchor, as runs of consecutive starts, equal runs of a batch once. Runs
-   equal in whole are one class, and a class that is alone with its anchor is settled. The rest is settled by prefix doubling: positions are ranked
-   by 8 bytes, then sorted by pairs of ranks at offsets 8, 16 and so on, reranked, and dropped once their rank is
-   unique; past `length` bytes, positions of one rank are equal strings. As equal strings share an anchor, every sort
-   is over one range of anchors only;
+   equal in whole are one class, and a class that is alone with its anchor is settled. The rest is settled by prefix
+   doubling: positions are ranked by 8 bytes, then sorted by pairs of ranks at offsets 8, 16 and so on, reranked, and
+   dropped once their rank is unique; past `length` bytes, positions of one rank are equal strings. As equal strings
+   share an anchor, every sort is over one range of anchors only;
 4. the covered bytes go back to their batches.
 
 All comparisons of strings are exact: hashes only say what cannot be equal and where to meet.
@@ -383,6 +383,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of 50 bytes leave of every document. Null and empty texts have no bytes; rows without an id keep all
+    of theirs and count for no other, as do rows with equal ids for each other; an empty table gives no row."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 

@@ -185,7 +185,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentencepiece counts of all documents, with the rows over 4,096 tokens marked."""
+    """Sentencepiece counts of all documents, with the rows over 4,096 tokens marked. Null and empty texts have no
+    tokens; repeated rows and rows without an id are counted each; an empty table gives no row."""
     counted = count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
