@@ -124,10 +124,11 @@ def boards_top(counts: DataFrame, top: int = 100) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("count"), "word"))).where(F.col("_r") <= top).select("key", "word", "count")
 
 
-_PAGE = f""", o AS ({z_sql("words", "film_id", "dict", 3)}),
+_LISTS = f""", o AS ({z_sql("words", "film_id", "dict", 3)}),
 pl AS (SELECT film_id, 'top' AS list, row_number() OVER (PARTITION BY film_id ORDER BY count DESC, word)::INT AS rank, word, count, NULL::DOUBLE AS z FROM words WHERE word NOT IN {STOP} QUALIFY rank <= 200
   UNION ALL SELECT film_id, 'top_all', row_number() OVER (PARTITION BY film_id ORDER BY count DESC, word)::INT AS rank, word, count, NULL FROM words QUALIFY rank <= 50
-  UNION ALL SELECT film_id, 'distinctive', row_number() OVER (PARTITION BY film_id ORDER BY z DESC, word)::INT AS rank, word, count, coalesce(nullif(round(z, 2), 0), 0)::DOUBLE FROM o QUALIFY rank <= 50)
+  UNION ALL SELECT film_id, 'distinctive', row_number() OVER (PARTITION BY film_id ORDER BY z DESC, word)::INT AS rank, word, count, coalesce(nullif(round(z, 2), 0), 0)::DOUBLE FROM o QUALIFY rank <= 50)"""
+_PAGE = f"""{_LISTS}
 SELECT pl.*, coalesce(zipf, 0.0)::DOUBLE AS zipf, coalesce(classes, 'x') AS classes, coalesce(pos, 'x') AS pos FROM pl LEFT JOIN meta USING (word)"""
 
 
@@ -219,6 +220,20 @@ def quality_note(c: Corpus) -> DataFrame:
     return c.all_films.select("film_id", F.struct(F.col("quality").alias("tier"), F.array_join("quality_flags", ",").alias("flags")).alias("n")).select("film_id", "n.tier", "n.flags")
 
 
-@query("film_payloads")
+def _entries(name: str) -> str:
+    """SQL of a list of a film's page as JSON."""
+    entry = """'{"rank":' || rank || ',"word":"' || word || '","count":' || count || coalesce(',"z":' || z, '') || '}'"""
+    return f"""',"{name}":[' || coalesce(string_agg({entry}, ',' ORDER BY rank) FILTER (WHERE list = '{name}'), '') || ']'"""
+
+
+@query(
+    "film_payloads",
+    f"""{_LISTS},
+lists AS (SELECT film_id, {" || ".join(map(_entries, ("top", "top_all", "distinctive")))} AS entries FROM pl GROUP BY film_id)
+SELECT film_id::VARCHAR AS key, '{{"film_id":' || film_id || ',"title":"' || title || '","year":' || year || coalesce(',"runtime_minutes":' || runtime_minutes, '') || ',"genres":' || to_json(genres)
+  || coalesce(',"votes":' || votes, '') || ',"total_words":' || total_words || ',"unique_words":' || unique_words || coalesce(',"words_per_minute":' || words_per_minute, '')
+  || coalesce(',"lang":' || to_json(lang), '') || entries || '}}' AS payload
+FROM films JOIN lists USING (film_id)""",
+)
 def film_payloads(c: Corpus) -> DataFrame:
     return pages.payloads(pages.film_page(c.words, c.dictionary, c.meta, c.stopwords), c.films)
