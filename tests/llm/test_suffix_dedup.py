@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from dialex.llm import suffix_dedup
 from dialex.llm.suffix_dedup import equal_windows, gram_hashes, remove_repeats, window_minima
 
 
@@ -61,3 +63,35 @@ def test_prefix_doubling_and_minima():
     h = gram_hashes(text, 7)
     assert len(h) == len(text) - 6 and len({text[i : i + 7].tobytes() for i in range(len(h))}) == len(np.unique(h))
     assert window_minima(h, 5).tolist() == [h[i : i + 5].min() for i in range(len(h) - 4)]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 16])
+def test_runs_that_many_documents_of_a_batch_hold(monkeypatch, at_once):
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", at_once)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, near = word(200), word(90)
+    rows = [(i, word(rng.randint(0, 40)) + hot[rng.choice([0, 0, 13]) :] + word(20) + near[: rng.randint(50, 90)]) for i in range(60)]
+    length, buckets = 50, 3
+
+    def packed(b, part):
+        raws = [t.encode() for _, t in part]
+        cols = [np.array([i for i, _ in part]), np.ones(len(part), bool), np.array([len(r) for r in raws])]
+        return {"batch": b, "ids": cols[0].tobytes(), "known": cols[1].tobytes(), "sizes": cols[2].tobytes(), "text": b"".join(raws)}
+
+    def sorted_by(batches, keys):
+        t = pa.Table.from_batches(list(batches)).sort_by([(k, "ascending") for k in keys])
+        return t.combine_chunks().to_batches()
+
+    batches = [packed(0, rows[1::2]), packed(1, rows[::2])]
+    found = sorted_by(suffix_dedup._anchors(iter([pa.RecordBatch.from_pylist(batches)]), length, buckets), ["bucket", "batch"])
+    shared = pa.Table.from_batches(list(suffix_dedup._shared(iter(found)))).to_pylist()
+    full = [b | {"shared": [s["shared"] for s in shared if s["batch"] == b["batch"]]} for b in batches]
+    runs = sorted_by(suffix_dedup._runs_of(iter([pa.RecordBatch.from_pylist(full)]), length, buckets), ["bucket", "batch"])
+    cover = pa.Table.from_batches(list(suffix_dedup._cover(iter(runs), length))).to_pylist()
+    pieces = lambda b, c: [x[c] for x in cover if x["batch"] == b["batch"]]
+    done = [b | {"starts": pieces(b, "starts"), "lengths": pieces(b, "lengths")} for b in batches]
+    got = pa.Table.from_batches(list(suffix_dedup._apply(iter([pa.RecordBatch.from_pylist(done)]), False))).to_pylist()
+    assert sorted((tuple(r.values())[:5] for r in got), key=str) == brute(rows, length)
+    kept = sum(len(x) // 4 for t in runs for x in t.column("anchors").to_pylist())
+    assert kept < sum(len(x) // 4 for t in runs for x in t.column("which").to_pylist()) / 2
