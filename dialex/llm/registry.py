@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dialex.llm import line_dedup, mixing, packing, quality, simhash, suffix_dedup, tokens, topk, vector_dedup, warc
+from dialex.llm import alignment, exact_dedup, line_dedup, mixing, packing, quality, simhash, suffix_dedup, tokens, topk, vector_dedup, warc, whitening
 
-MODULES = (suffix_dedup, warc, simhash, tokens, packing, mixing, line_dedup, topk, vector_dedup, quality)
+MODULES = (suffix_dedup, warc, simhash, tokens, packing, mixing, line_dedup, topk, vector_dedup, quality, alignment, exact_dedup, whitening)
 
 
 def queries() -> dict:
