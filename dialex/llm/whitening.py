@@ -28,8 +28,8 @@ SCALE, SHIFT = 64, 1_000_000
 COMPONENTS, OVERSAMPLE, PASSES, TOLERANCE, BLOCK = 16, 10, 4, 1e-13, 512
 #: An eigenvalue under this part of the largest is no direction of the data, and is not whitened.
 RANK = 1e-12
-#: Rows of a batch that are turned into doubles at a time.
-ROWS = 2048
+#: Rows of a batch that are turned into doubles at a time, and bytes of the fit list in a task of a pass.
+ROWS, TASK_BYTES = 2048, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -72,8 +72,8 @@ def _sum_cells(rows: DataFrame, work: Callable, kind: str, size: int) -> np.ndar
     bound_arrow(rows.sparkSession)
     summed = rows.mapInArrow(work, f"cell long, value {kind}").groupBy("cell").agg(F.sum("value").alias("value"))
     out = np.zeros(size, np.int64 if kind == "long" else np.float64)
-    for cell, value in summed.toLocalIterator():
-        out[cell] = value
+    cells = summed.toArrow()
+    out[cells["cell"].to_numpy()] = cells["value"].to_numpy()
     return out
 
 
@@ -149,13 +149,14 @@ def fit(vectors: DataFrame, components: int = COMPONENTS, oversample: int = OVER
 
     Lists must have one length (ValueError otherwise). Directions without variance are no components.
     """
-    shape = vectors.agg(F.min(F.size("x")), F.max(F.size("x"))).first()
+    shape = vectors.agg(F.min(F.size("x")), F.max(F.size("x")), F.count("*")).first()
     if shape[0] is None:
         return None
     if shape[0] != shape[1]:
         raise ValueError(f"vectors have from {shape[0]} to {shape[1]} entries")
-    rows = materialise(vectors.select("x").distinct(), "fit")
     d = shape[0]
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, shape[2] * d * 8 // TASK_BYTES)
+    rows = materialise(vectors.select("x").distinct().coalesce(tasks), "fit")  # passes are many, and a task costs something
     cells = _sum_cells(rows, _column_sums, "long", d + 1)
     sums, n = cells[:-1], int(cells[-1])
     width = min(components + oversample, d)
