@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from dialex.llm.tokens import load, tokenizer_path
 #: Characters of documents worked on at a time, and of unknown chunks encoded in one call.
 SLICE_CHARS, CALL_CHARS = 1 << 21, 1 << 17
 #: Chunks and groups a worker remembers before it sends what it has counted and starts anew.
-KEEP = 200_000
+KEEP = 500_000
 #: Longer keys are replaced by their hash.
 LONGEST_KEY = 96
 #: Groups sent to all tasks for the way back, those in most documents, at most; rarer ones are joined by a shuffle.
@@ -63,6 +64,17 @@ def _pieces(chunks: Iterable[str], limit: int) -> Iterator[list[str]]:
         yield batch
 
 
+#: White space besides the space.
+_BLANKS = [chr(i) for i in range(1, 0x3001) if chr(i).isspace() and chr(i) != " "]
+
+
+def words(text: str) -> list[str]:
+    """The chunks of a text. Where no space stands beside white space, as in most texts, it is split by spaces."""
+    if "  " in text or text[:1].isspace() or text[-1:].isspace() or any(b + " " in text or " " + b in text for b in _BLANKS if b in text):
+        return _CUT.split(text)
+    return text.split(" ")
+
+
 def segments(text: str, limit: int = SLICE_CHARS) -> Iterator[str]:
     """A text in parts of about `limit` characters, cut at safe spaces, which are left out."""
     at = 0
@@ -96,14 +108,14 @@ class Aligner:
 
     def clear(self) -> None:
         self.chunk: dict[str, int] = {}
-        self.chunk_groups: list[list[int]] = []
-        self.chunk_text: list[str] = []
-        self.chunk_ok: list[bool] = []
         self.group: dict[str, int] = {}
         self.group_a: list[tuple[int, ...]] = []
         self.group_b: list[tuple[int, ...]] = []
+        self.single: dict[int, int] = {}
+        self.pairs: dict[int, np.ndarray] = {}
         self.sizes = self.flat = self.a_n = self.b_n = self.docs = np.zeros(0, np.int64)
-        self.keys = pa.array([], pa.string())
+        self.ok = np.zeros(0, bool)
+        self.keys, self.names = pa.array([], pa.string()), np.zeros(0, object)
         self.surplus: dict[int, int] = {}
 
     def full(self) -> bool:
@@ -111,125 +123,150 @@ class Aligner:
 
     def _encode(self, joined: str) -> tuple[list[int], list[int], bool]:
         """Ids of both kinds, and whether their bytes are the space and the text."""
-        a, b = self.a.encode(" " + joined, add_special_tokens=False).ids, self.b.encode(joined, num_threads=1) if joined else []
+        a = self.a.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids
+        b = self.b.encode(joined, num_threads=1) if joined else []
         want = (" " + joined).encode()
         same = b"".join([self.a_bytes[i] for i in a]) == want and b"".join([self.b_bytes[i] for i in b]) == want
         return a, b, same
 
-    def _learn_block(self, chunks: list[str]) -> None:
-        """Takes in chunks that may be joined by spaces and encoded at once."""
+    def _intern(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
+        key = ",".join([self.a_str[i] for i in a]) + "|" + ",".join([self.b_str[i] for i in b])
+        n = self.group.get(key)
+        if n is None:
+            n = self.group[key] = len(self.group)
+            self.group_a.append(a)
+            self.group_b.append(b)
+        return n
+
+    def _learn_block(self, chunks: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, bool]]:
+        """(chunks, groups of each, groups, whether they have tokens) of chunks that may be joined by spaces and encoded
+        at once."""
         a, b, same = self._encode(" ".join(chunks))
         if not same:
             if len(chunks) > 1:
                 for c in chunks:
-                    self._learn_block([c])
+                    yield from self._learn_block([c])
             else:
-                self._add(chunks[0], [], False)
+                yield chunks, np.zeros(1, np.int64), np.zeros(0, np.int64), False
             return
-        ends_a, ends_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_len[ids_a]), np.cumsum(self.b_len[ids_b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        to_a, to_b = (np.searchsorted(ends_a, cuts) + 1).tolist(), (np.searchsorted(ends_b, cuts) + 1).tolist()
-        sa, sb = [self.a_str[i] for i in a], [self.b_str[i] for i in b]
-        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        to_a, to_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+        at_a, at_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
+        ends = np.cumsum([len(c) + 1 if c.isascii() else len(c.encode()) + 1 for c in chunks])
         last = np.searchsorted(cuts, ends)
         if not np.array_equal(cuts[last], ends):
             raise ValueError("tokens span the places where texts are cut")
-        g = i = j = 0
-        for c, stop in zip(chunks, (last + 1).tolist(), strict=True):
-            mine = []
-            while g < stop:
-                i2, j2 = to_a[g], to_b[g]
-                key = f"{sa[i]}|{sb[j]}" if i2 - i == 1 == j2 - j else ",".join(sa[i:i2]) + "|" + ",".join(sb[j:j2])
-                n = self.group.get(key)
-                if n is None:
-                    n = self.group[key] = len(self.group)
-                    self.group_a.append(tuple(a[i:i2]))
-                    self.group_b.append(tuple(b[j:j2]))
-                mine.append(n)
-                g, i, j = g + 1, i2, j2
-            self._add(c, mine, True)
-
-    def _add(self, chunk: str, groups: list[int], ok: bool) -> None:
-        self.chunk[chunk] = len(self.chunk_groups)
-        self.chunk_groups.append(groups)
-        self.chunk_ok.append(ok)
+        groups = np.empty(len(cuts), np.int64)
+        alone = (to_a - at_a == 1) & (to_b - at_b == 1)
+        codes, back = np.unique(ids_a[at_a[alone]] * self.n_b_ids + ids_b[at_b[alone]], return_inverse=True)
+        numbers = np.empty(len(codes), np.int64)
+        for i, code in enumerate(codes.tolist()):
+            n = self.single.get(code)
+            if n is None:
+                x, y = divmod(code, self.n_b_ids)
+                n = self.single[code] = self._intern((x,), (y,))
+            numbers[i] = n
+        groups[alone] = numbers[back]
+        for g in np.flatnonzero(~alone).tolist():
+            groups[g] = self._intern(tuple(a[at_a[g] : to_a[g]]), tuple(b[at_b[g] : to_b[g]]))
+        yield chunks, np.diff(last + 1, prepend=0), groups, True
 
     def learn(self, chunks: list[str]) -> None:
-        """Takes in new chunks; those with white space at an end, or none in them, are encoded apart."""
+        """Takes in new chunks; those with white space at an end, or nothing in them, are encoded apart."""
+        if not chunks:
+            return
         apart = [c for c in chunks if not c or c[0].isspace() or c[-1].isspace()]
         if apart:
             odd = set(apart)
             chunks = [c for c in chunks if c not in odd]
-        for block in _pieces(chunks, CALL_CHARS):
-            self._learn_block(block)
-        for c in apart:
-            self._learn_block([c])
-        names, new = list(self.group), self.chunk_groups[len(self.chunk_text) :]
-        self.chunk_text += [";".join([names[g] for g in x]) for x in new]
-        self.sizes = np.append(self.sizes, np.array([len(x) for x in new], np.int64))
-        self.flat = np.append(self.flat, np.array([g for x in new for g in x], np.int64))
+        sizes, flat, ok = [self.sizes], [self.flat], [self.ok]
+        for block in (*_pieces(chunks, CALL_CHARS), *([c] for c in apart)):
+            for names, n, groups, fine in self._learn_block(block):
+                self.chunk.update(zip(names, range(len(self.chunk), len(self.chunk) + len(names)), strict=True))
+                sizes.append(n)
+                flat.append(groups)
+                ok.append(np.full(len(names), fine))
+        self.sizes, self.flat, self.ok = np.concatenate(sizes), np.concatenate(flat), np.concatenate(ok)
         known = len(self.a_n)
         self.a_n, self.b_n = (np.append(old, np.array([len(x) for x in ids[known:]], np.int64)) for old, ids in ((self.a_n, self.group_a), (self.b_n, self.group_b)))
-        self.keys = pa.concat_arrays([self.keys, pa.array([short(k) for k in names[known:]], pa.string())])
-
-    def chunk_ids(self, text: str) -> np.ndarray:
-        found = []
-        for part in segments(text):
-            words = _CUT.split(part)
-            if new := [c for c in dict.fromkeys(words) if c not in self.chunk]:
-                self.learn(new)
-            found.append(np.fromiter(map(self.chunk.__getitem__, words), np.int32, len(words)))
-        return np.concatenate(found)
+        names = list(islice(self.group, known, None))
+        self.names = np.append(self.names, np.array([*names, None], object)[:-1])
+        self.keys = pa.concat_arrays([self.keys, pa.array([short(k) for k in names], pa.string())])
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.chunk.__getitem__, words), np.int64, len(words))
+
+    def chunk_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The chunks of each text by number. Texts longer than a slice are gone through in parts."""
+        split = [words(t) if len(t) <= SLICE_CHARS else None for t in texts]
+        self.learn([*{c for w in split if w for c in w} - self.chunk.keys()])
+        out = []
+        for t, w in zip(texts, split, strict=True):
+            if w is not None:
+                out.append(self._numbers(w))
+                continue
+            parts = []
+            for part in segments(t):
+                own = words(part)
+                self.learn([*set(own) - self.chunk.keys()])
+                parts.append(self._numbers(own))
+            out.append(np.concatenate(parts))
+        return out
 
     def work(self, texts: list[str | None]) -> tuple[list, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text (n_a, n_b, n_groups, n_links, sha); and its distinct groups, as (text's place, group, times)."""
-        self.learn(list({c for t in texts if t and len(t) <= SLICE_CHARS for c in _CUT.split(t)} - self.chunk.keys()))
-        chunks = [self.chunk_ids(t) if t else None for t in texts]
-        ok, text_of = np.array(self.chunk_ok, bool), self.chunk_text
-        chunks = [c if c is not None and ok[c].all() else None for c in chunks]
-        shas = []
-        for c in chunks:
-            shas.append("" if c is None else hashlib.sha256(";".join([text_of[i] for i in c.tolist()]).encode()).hexdigest())
-        sizes, flat, a_n, b_n = self.sizes, self.flat, self.a_n, self.b_n
+        given = [i for i, t in enumerate(texts) if t]
+        found = zip(given, self.chunk_ids([texts[i] for i in given]), strict=True)
+        chunks = {i: c for i, c in found if self.ok[c].all()}
+        sizes, a_n, b_n = self.sizes, self.a_n, self.b_n
         starts = np.cumsum(sizes) - sizes
-        lengths = np.array([0 if c is None else len(c) for c in chunks])
-        each = np.concatenate([c for c in chunks if c is not None]) if lengths.any() else np.zeros(0, np.int32)
-        place = np.repeat(np.repeat(np.arange(len(texts)), lengths), sizes[each])
-        within = np.arange(len(place)) - np.repeat(np.cumsum(sizes[each]) - sizes[each], sizes[each])
-        groups = flat[np.repeat(starts[each], sizes[each]) + within] if len(place) else np.zeros(0, np.int64)
-        code, times = np.unique(place * max(len(self.group), 1) + groups, return_counts=True)
-        place, groups = np.divmod(code, max(len(self.group), 1))
-        cells = [np.bincount(place, w, len(texts)).astype(np.int64) for w in (times * a_n[groups], times * b_n[groups], times, times * a_n[groups] * b_n[groups])] if len(place) else [np.zeros(len(texts), np.int64)] * 4
+        each = np.concatenate([np.zeros(0, np.int64), *chunks.values()])
+        n = sizes[each]
+        groups = self.flat[np.repeat(starts[each] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[list(chunks)] = [int(sizes[c].sum()) for c in chunks.values()]
+        ends = np.cumsum(lengths)
+        shas = [hashlib.sha256(";".join(self.names[groups[end - n : end]].tolist()).encode()).hexdigest() if n else "" for n, end in zip(lengths.tolist(), ends.tolist(), strict=True)]
+        many = max(len(self.group), 1)
+        code, times = np.unique(np.repeat(np.arange(len(texts)), lengths) * many + groups, return_counts=True)
+        place, groups = np.divmod(code, many)
+        cells = [np.bincount(place, w, len(texts)).astype(np.int64).tolist() for w in (times * a_n[groups], times * b_n[groups], times, times * a_n[groups] * b_n[groups])]
         self.count(place, groups, a_n, b_n)
-        return list(zip(*[c.tolist() for c in cells], shas, strict=True)), (place, groups, times)
+        return list(zip(*cells, shas, strict=True)), (place, groups, times)
+
+    def _pairs(self, g: int) -> np.ndarray:
+        """The distinct id pairs of a group, as numbers."""
+        if g not in self.pairs:
+            a, b = np.unique(self.group_a[g]), np.unique(self.group_b[g])
+            self.pairs[g] = (a[:, None] * self.n_b_ids + b).ravel()
+        return self.pairs[g]
 
     def count(self, place: np.ndarray, groups: np.ndarray, a_n: np.ndarray, b_n: np.ndarray) -> None:
         """Adds the documents of each group, and how often pairs are in further groups of a document that has them."""
         here = np.bincount(groups, minlength=len(self.group))
         self.docs = here + np.pad(self.docs, (0, len(here) - len(self.docs)))
         several = a_n[groups] * b_n[groups] > 1
-        pairs: dict[int, np.ndarray] = {}
-        for g in np.unique(groups[several]).tolist():
-            a, b = np.unique(self.group_a[g]), np.unique(self.group_b[g])
-            pairs[g] = (a[:, None] * self.n_b_ids + b).ravel()
-        if not pairs:
+        order = np.unique(groups[several])
+        if not len(order):
             return
-        order = np.fromiter(pairs, np.int64, len(pairs))  # rising
-        sizes, flat = np.array([len(x) for x in pairs.values()]), np.concatenate(list(pairs.values()))
+        pairs = [self._pairs(g) for g in order.tolist()]
+        sizes, flat = np.array([len(x) for x in pairs]), np.concatenate(pairs)
         starts = np.cumsum(sizes) - sizes
         span = len(self.a_bytes) * self.n_b_ids
-        for at, till in _ranges(place[several], sizes[np.searchsorted(order, groups[several])]):
-            spot, which = place[several][at:till], np.searchsorted(order, groups[several][at:till])
-            n = sizes[which]
-            got = np.repeat(spot, n) * span + flat[np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            low, high = np.searchsorted(place, [spot[0], spot[-1] + 1])
-            single = groups[low:high][~several[low:high]]
-            uniq = np.unique(single)
-            first = np.array([self.group_a[g][0] * self.n_b_ids + self.group_b[g][0] for g in uniq.tolist()], np.int64)
-            also = place[low:high][~several[low:high]] * span + (first[np.searchsorted(uniq, single)] if len(single) else 0)
-            pair, seen = np.unique(np.concatenate([got, np.intersect1d(also, got)]), return_counts=True)
-            over = seen > 1
-            for p, k in zip((pair[over] % span).tolist(), (seen[over] - 1).tolist(), strict=True):
+        uniq = np.unique(groups[~several])
+        first = np.array([self.group_a[g][0] * self.n_b_ids + self.group_b[g][0] for g in uniq.tolist()], np.int64)
+        own, single = place[several], place[~several] * span + first[np.searchsorted(uniq, groups[~several])]
+        which = np.searchsorted(order, groups[several])
+        for at, till in _ranges(own, sizes[which]):
+            n = sizes[which[at:till]]
+            got = np.repeat(own[at:till], n) * span + flat[np.repeat(starts[which[at:till]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            low, high = np.searchsorted(place[~several], [own[at], own[till - 1] + 1])
+            pair, seen = np.unique(np.concatenate([got, np.intersect1d(single[low:high], got)]), return_counts=True)
+            more = seen > 1
+            over, inverse = np.unique(pair[more] % span, return_inverse=True)
+            for p, k in zip(over.tolist(), np.bincount(inverse, seen[more] - 1).astype(np.int64).tolist(), strict=True):
                 self.surplus[p] = self.surplus.get(p, 0) + k
 
     def counted(self) -> list[dict]:
@@ -240,9 +277,13 @@ class Aligner:
             (a, a_n), (b, b_n) = (np.unique(x[g], return_counts=True) for x in (self.group_a, self.group_b))
             rows.append({"kind": _GROUP, "key": short(names[g]), "a": a.tolist(), "a_n": a_n.tolist(), "b": b.tolist(), "b_n": b_n.tolist(), "docs": int(self.docs[g])})
         rows += [{"kind": _SURPLUS, "pair": p, "docs": -n} for p, n in self.surplus.items()]
-        self.docs, self.surplus = np.zeros(len(self.group), np.int64), {}
+        self.forget_counts()
         return rows
 
+    def forget_counts(self) -> None:
+        """Begins counting anew; chunks and groups stay known."""
+        self.docs, self.surplus = np.zeros(len(self.group), np.int64), {}
+
 
 def _ranges(place: np.ndarray, sizes: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Stretches of whole documents with about `limit` pairs each."""
@@ -273,7 +314,7 @@ def _filled(schema: pa.Schema, given: dict[str, pa.Array], n: int) -> pa.RecordB
 
 def _align_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     tool = aligner(a_path, b_path)
-    tool.clear()  # counts left by a task that failed belong to nobody
+    tool.forget_counts()  # those left by a task that failed belong to nobody
     for batch in batches:
         texts = batch.column(2).to_pylist()
         at = 0
