@@ -49,7 +49,8 @@ def _rate(lam: Column, size: Column, high: Column, most: int) -> Column:
 def solve(cells: DataFrame, sources: DataFrame, most: int = MOST_COPIES, steps: int = 80, tolerance: float = 1e-9) -> DataFrame:
     """(sid, lam): the multipliers at which the tilted rates meet the targets. cells: (sid, size, n).
 
-    Sums are of decimals, so that they don't depend on the order of rows and reruns agree.
+    Sums are of decimals, so that they don't depend on the order of rows and reruns agree. Multipliers that
+    don't settle in so many steps are an error, and give no mix off its targets.
     """
     ratio = F.log(F.col("target") / F.col("source_size")) / (F.col("low") / F.col("high"))
     state = sources.where("source_size > 0").select("sid", "target", "high", F.lit(0.0).alias("lam"), F.least(F.lit(0.0), ratio).alias("lo"), (F.log(F.lit(float(most))) / (F.col("low") / F.col("high"))).alias("hi"))
@@ -72,6 +73,8 @@ def solve(cells: DataFrame, sources: DataFrame, most: int = MOST_COPIES, steps:
         state = done.drop("off")
         if not done.where((F.col("off") > tolerance) & (F.col("hi") - F.col("lo") > 1e-12 * F.abs(F.col("hi")))).limit(1).count():
             break
+    else:
+        raise ArithmeticError(f"the mix's multipliers didn't settle in {steps} steps")
     return state.select("sid", "lam")
 
 

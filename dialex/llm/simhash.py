@@ -351,7 +351,7 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b): links that join, if not always directly, all rows of texts(doc_id, text) whose sets are similar by `least`."""
+    """(a, b): links that join, if not always directly, all rows of texts(node, text) whose sets are similar by `least`."""
     keyed = texts.mapInArrow(partial(_set_keys, n=words, least=least), "key long, node long, need byte")
     met = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_sharing, "a long, b long, need byte")
     return met.groupBy("a", "b", "need").agg(F.count("*").alias("n")).where("n >= need").select("a", "b").distinct()
@@ -397,24 +397,32 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile_rows: int = 256) -> DataFrame:
-    """(doc_id, component_id) for rows of docs(doc_id, text) that have a near duplicate, the smallest id reachable.
+    """(doc_id, same, component_id, kept) for rows of docs(doc_id, text) that have a near duplicate: same is the MD5 of
+    the text, component_id the smallest id of the group.
 
     Texts link if the sets of their `words`-word shingles have a Jaccard similarity of `least` or more. Candidates are
     sets that share enough of their `set_keys`, as every pair that links does. Candidates' components are then compared
-    exactly, tile by tile. Equal texts are one node. Rows without an id are left out.
+    exactly, tile by tile. Equal texts are one node, which has a number of its own: rows that share an id but not the
+    text are told apart. Of a group the text that the smallest id holds is kept, where that id holds it (of several, the
+    one with the smallest MD5); rows that agree in id and text are kept or not alike. Rows without an id are left out.
     """
     bound_arrow(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("same"))
-    copies = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "copies")
-    firsts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(copies.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("same"))
+    copies = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    copies = materialise(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
+    firsts = rows.join(copies.select(F.col("first").alias("doc_id"), "same", "node"), ["doc_id", "same"]).select("node", "text")
     comps = connected_components(materialise(candidates(firsts, words, least), "pairs"))
-    members = firsts.join(comps, firsts.doc_id == comps.node).select("component", "node", "text")
+    members = firsts.join(comps, "node").select("component", "node", "text")
     sets = members.mapInArrow(partial(_shingle_sets, n=words), "component long, node long, shingles binary")
     dealt = tiles(materialise(sets, "sets"), "component", tile_rows).select("component", "tile_i", "tile_j", "node", "shingles")
     met = dealt.repartition("component", "tile_i", "tile_j").sortWithinPartitions("component", "tile_i", "tile_j")
     linked = connected_components(materialise(met.mapInArrow(partial(_verify, least=least), "a long, b long"), "links"))
-    known = copies.join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"), "n", F.col("component").isNotNull().alias("near"))
-    return rows.select("doc_id", "same").join(known.where("near OR n > 1"), "same").select("doc_id", "component_id")
+    known = copies.join(linked, "node", "left").where("component IS NOT NULL OR n > 1")
+    known = materialise(known.select("same", "first", F.coalesce("component", "node").alias("group")), "groups")
+    leads = known.groupBy("group").agg(F.min(F.struct("first", "same")).alias("lead"))
+    named = known.join(leads, "group").select("same", F.col("lead.first").alias("component_id"), F.col("lead.same").alias("_lead"))
+    found = rows.select("doc_id", "same").join(named, "same")
+    return found.select("doc_id", "same", "component_id", ((F.col("same") == F.col("_lead")) & (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

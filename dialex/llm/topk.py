@@ -21,6 +21,8 @@ from dialex.llm.arrow_groups import matrix, runs
 from dialex.llm.common import bound_arrow, materialise, table
 
 BLOCK_ROWS = 4096
+#: Blocks of the index that a task holds at a time, and how many tasks a core should have before it holds more.
+HELD_BLOCKS, TASKS_A_CORE = 8, 4
 #: Queries that go to a block of the index together, and of them those that are scored at a time.
 QUERY_ROWS, SCORED = 4096, 512
 EXACT = 1 << 53
@@ -112,9 +114,10 @@ def search_block(q: np.ndarray, qids: np.ndarray, ids: np.ndarray, block: Segmen
         part[at, block.rows[lo:hi]] = block.vals[lo:hi]
         scores += qf[:, comps] @ part
         reach = np.minimum(np.outer(qlen, block.norms[used - 1]), (np.abs(qf) @ block.tops[used - 1])[:, None]) * (1 + 1e-9) + slack
-        low = np.where(own, -np.inf, scores - reach)
+        # bounds are held at the limits of a long as scores are: what ties there is decided by ids, not here
+        low = np.where(own, -np.inf, np.clip(scores - reach, LEAST, MOST))
         bound = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-        alive = ~own & (scores + reach >= np.maximum(bound, floor)[:, None])
+        alive = ~own & (np.clip(scores + reach, LEAST, MOST) >= np.maximum(bound, floor)[:, None])
         if alive.sum(axis=1).max(initial=0) <= few:
             break
     out, floor = [], floor.copy()
@@ -140,23 +143,32 @@ def search_block(q: np.ndarray, qids: np.ndarray, ids: np.ndarray, block: Segmen
     return out, floor, used
 
 
+def _opened(r: dict) -> tuple[np.ndarray, Segments]:
+    ids = np.frombuffer(r["ids"], np.int64)
+    ints = [np.frombuffer(r[c], kind) for c, kind in zip(SEGMENTS[:4], (np.int64, np.int32, np.int32, np.int64), strict=True)]
+    norms, tops = (np.frombuffer(r[c], np.float64).reshape(-1, width) for c, width in (("norms", len(ids)), ("tops", r["dim"])))
+    return ids, Segments(*ints, norms, tops)
+
+
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    floors: dict[tuple[int, int], np.ndarray] = {}
+    """Rows come by part: its blocks of the index first, which are held, then the blocks of queries, one by one."""
+    held, part = [], None
     for batch in batches:
         for r in batch.to_pylist():
+            if (r["dim"], r["part"]) != part:
+                held, part = [], (r["dim"], r["part"])
+            if r["qids"] is None:
+                held.append(_opened(r))
+                continue
             qids = np.frombuffer(r["qids"], np.int64)
             q = np.frombuffer(r["qvals"], np.int64).reshape(len(qids), r["dim"])
-            ids = np.frombuffer(r["ids"], np.int64)
-            ints = [np.frombuffer(r[c], kind) for c, kind in zip(SEGMENTS[:4], (np.int64, np.int32, np.int32, np.int64), strict=True)]
-            norms, tops = (np.frombuffer(r[c], np.float64).reshape(-1, width) for c, width in (("norms", len(ids)), ("tops", r["dim"])))
-            key = (r["dim"], r["qblock"])
-            floor = floors.get(key, np.full(len(qids), -np.inf))
             for lo in range(0, len(qids), SCORED):
                 at = slice(lo, lo + SCORED)
-                found, floor[at], _ = search_block(q[at], qids[at], ids, Segments(*ints, norms, tops), k, floor[at])
-                cols = list(zip(*found, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-            floors[key] = floor
+                floor = np.full(len(qids[at]), -np.inf)
+                for ids, block in held:
+                    found, floor, _ = search_block(q[at], qids[at], ids, block, k, floor)
+                    cols = list(zip(*found, strict=True)) or [[]] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
 
 def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -166,18 +178,24 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return _blocks(vectors, block_rows).mapInArrow(_index, schema)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QUERY_ROWS, held_blocks: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with other ids, ties to smaller ids.
 
-    Queries (id, v) come in blocks, each of which meets every block of the index of its dimension, so the index is
-    copied once for every `query_rows` queries. Scores are exact, and held at the limits of a long beyond them, where
-    smaller ids come first; the row with the query's own id is left out.
+    The index is dealt into parts of a few blocks, once; queries (id, v) come in blocks and go to each part of their
+    dimension, so what is shuffled is the index once and the queries once a part. Scores are exact, and held at the
+    limits of a long beyond them, where smaller ids come first; the row with the query's own id is left out. Of queries
+    that share an id the one with the smallest vector is asked.
     """
-    packed = _blocks(queries.dropDuplicates(["id"]), query_rows).mapInArrow(_packed, "dim int, qblock int, qids binary, qvals binary")
-    packed = materialise(packed, "queries")
-    counts = packed.groupBy("dim").agg((F.max("qblock") + 1).alias("n"))
-    dealt = index.join(counts, "dim").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    met = dealt.join(packed, ["dim", "qblock"]).select("dim", "qblock", "qids", "qvals", "ids", *SEGMENTS)
+    asked = queries.groupBy("id").agg(F.min("v").alias("v"))
+    packed = _blocks(asked, query_rows).mapInArrow(_packed, "dim int, qblock int, qids binary, qvals binary")
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    per = F.lit(held_blocks) if held_blocks else F.greatest(F.lit(1), F.least(F.lit(HELD_BLOCKS), F.floor(F.col("blocks") / (TASKS_A_CORE * cores))))
+    dims = index.groupBy("dim").agg((F.max("block") + 1).alias("blocks")).withColumn("per", per).withColumn("parts", F.ceil(F.col("blocks") / F.col("per")))
+    part = lambda c: c.cast("int").alias("part")
+    blocks = index.join(dims, "dim").select("dim", part(F.floor(F.col("block") / F.col("per"))), F.lit(0).alias("kind"), "block", "ids", *SEGMENTS, *[F.lit(None).cast("binary").alias(c) for c in ("qids", "qvals")])
+    rows = packed.join(dims, "dim").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("dim", part(F.col("part")), F.lit(1).alias("kind"), F.col("qblock").alias("block"), *[F.lit(None).cast("binary").alias(c) for c in ("ids", *SEGMENTS)], "qids", "qvals")
+    met = blocks.unionByName(rows).repartition("dim", "part").sortWithinPartitions("dim", "part", "kind", "block").drop("kind", "block")
     found = met.mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -185,8 +203,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = Q
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 5 of all vectors for every row whose id is divisible by 50. Rows without an id or with unusable vectors take
-    no part; vectors meet only those of their own dimension; components and scores beyond a long are held at its limits;
-    an empty table gives no row."""
+    no part; vectors meet only those of their own dimension; components and scores beyond a long are held at its limits,
+    where ties go to smaller ids; of query rows that share an id the smallest vector is asked; an empty table gives no
+    row."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     vectors = rows.select(F.col("vec_id").alias("id"), integer_vector(F.col("embedding"), 256.0).alias("v"))
     index = materialise(build_index(vectors), "index")

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from dialex.llm import line_dedup, mixing
 
@@ -37,6 +38,16 @@ def check(rows, got, near):
         assert abs(taken[s] - t) <= near(s, t)
 
 
+def test_multipliers_that_do_not_settle_are_an_error(spark):
+    rows = [(i, "w " * (i % 40 + 1), f"s{i % 3}") for i in range(90)]
+    sized = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", mixing.word_count(F.col("text")))
+    sources = mixing.source_targets(sized.groupBy("source", "size").count())
+    cells = sized.join(sources, "source").groupBy("sid", "size").agg(F.count("*").alias("n"))
+    with pytest.raises(ArithmeticError, match="settle"):
+        mixing.solve(cells, sources, steps=1)
+    assert mixing.solve(cells, sources).count() == 3
+
+
 def test_mix_of_hard_rows(hard):
     rows = [(r.doc_id, r.text, r.source) for r in hard.collect()]
     got = mixing.mix(hard).collect()

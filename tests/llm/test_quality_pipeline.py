@@ -149,6 +149,16 @@ def test_stages_keep_columns_of_any_name_and_rows_that_agree_once(spark, corpus)
             assert sorted(map(str, got)) == ["1", "3", "4", "4", "None", "None"]
 
 
+def test_near_dedup_judges_rows_that_share_an_id_by_their_texts(spark, corpus):
+    """A text that no other row is like stays, whatever else its id holds."""
+    say = lambda tag: " ".join(f"{tag}{i}" for i in range(30))
+    a, near, b, c = say("a"), say("a") + " more", say("b"), say("c")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, near), (7, c), (9, c), (3, near), (9, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, corpus[0])
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (5, b), (7, c)]
+
+
 def test_source_mix_stage_meets_its_targets(spark, corpus):
     from collections import Counter, defaultdict
 

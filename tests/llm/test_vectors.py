@@ -137,10 +137,22 @@ def test_blocks_of_any_size_of_values(top):
         for i in range(n):
             held = [(-max(topk.LEAST, min(topk.MOST, sum(int(a) * int(b) for a, b in zip(v[i], v[j], strict=True)))), j) for j in range(n) if j != i]
             right |= {(i, j, -s) for s, j in sorted(held)[:3]}
-        if top <= 1 << 31:
-            assert set(found) == right
-        else:  # beyond a long all that is held at its limit ties
-            assert {(i, s) for i, _, s in found} == {(i, s) for i, _, s in right}
+        assert set(found) == right  # beyond a long too, where all that is held at its limit ties
+
+
+@pytest.mark.parametrize("top", [1 << 30, 1 << 40])
+def test_ties_at_the_limits_across_blocks_and_shared_query_ids(spark, top):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-top, top, 4).tolist()) for i in range(120)] + [(0, [5, 5, 5, 5]), (0, [-7, 5, 5, 5]), (40, [top] * 4)]
+    vectors = spark.createDataFrame(rows, "id long, v array<long>").repartition(4)
+    asked = {i: min(v for j, v in rows if j == i) for i, _ in rows if i % 20 == 0}
+    want = set()
+    for i, q in asked.items():
+        held = sorted((-max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(q, v, strict=True)))), j) for j, v in rows if j != i)
+        want |= {(i, r, j, -s) for r, (s, j) in enumerate(held[:5], 1)}
+    for held_blocks in (1, 3, None):
+        got = topk.search(topk.build_index(vectors, 16), vectors.where("id % 20 = 0"), 5, 2, held_blocks).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_components_of_chains_stars_and_loops(spark):
