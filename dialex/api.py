@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ def asked_rating(param: str | None) -> str | None:
     return param if param in ("g", "pg", "pg13", "r") else None
 
 
+def is_per_film(params: dict[str, str]) -> bool:
+    return params.get("per") == "film"
+
+
+def trends_link(words: list[str], per_film: bool = False, rating: str | None = None) -> str:
+    """The address of a chart of some words; what is as usual isn't in it. `asked_words` and its like take it apart."""
+    link = "/trends?w=" + quote(",".join(words), safe="!'()*-._~")
+    return link + ("&per=film" if per_film else "") + (f"&rating={rating}" if rating else "")
+
+
 @dataclass
 class Engine:
     """The tables of a corpus, and the requests over them. Tables are DataFrames, so a request over a slice is the same
@@ -68,9 +79,19 @@ class Engine:
             return trends.per_film_series(self.word_year, corpus.year_films(self.films), words)
         return trends.series(self.word_year, corpus.year_totals(self.word_year), words, min_total)
 
+    @property
+    def dictionary(self) -> DataFrame:
+        """Words of the corpus by how often they are said; kept, as every film's page is held against it."""
+        if "dictionary" not in self._kept:
+            self._kept["dictionary"] = corpus.dictionary(self.words).persist()
+        return self._kept["dictionary"]
+
     def film(self, film_id) -> DataFrame:
         own = self.words.where(F.col("film_id") == film_id)
-        return pages.film_page(own, corpus.dictionary(self.words), self.meta, self.stopwords)
+        return pages.film_page(own, self.dictionary, self.meta, self.stopwords)
+
+    def films_since(self, year: int) -> DataFrame:
+        return trends.films_since(corpus.year_films(self.films), year)
 
     def search(self, query: str, top: int = 8) -> DataFrame:
         return pages.title_search(self.films, query, top)
@@ -79,20 +100,22 @@ class Engine:
         return pages.entity_films(self.films, key)
 
     def compare(self, keys: list[str], min_count: int = 30, min_ratio: float = 2.5) -> DataFrame:
-        """Up to three of film ids, d:1980 and g:Crime, head to head."""
-        lists, totals = None, None
-        top = signatures.top_words(self.words, self.films)
-        figures = signatures.signature_figures(self.words, self.films, self.profanity)
-        for key in keys[:MOST_ENTITIES]:
-            kind, _, value = key.partition(":")
-            if kind in ("d", "g"):
-                match = (F.col("kind") == {"d": "decades", "g": "genres"}[kind]) & (F.col("key") == value)
-                rows, n = top.where(match).select("word", "count"), figures.where(match).select("total_words")
-            else:
-                rows = self.words.where(F.col("film_id").cast("string") == key).select("word", "count")
-                n = self.films.where(F.col("film_id").cast("string") == key).select("total_words")
-            rows, n = rows.select(F.lit(key).alias("key"), "word", "count"), n.select(F.lit(key).alias("key"), "total_words")
-            lists, totals = (rows, n) if lists is None else (lists.unionByName(rows), totals.unionByName(n))
+        """Up to three of film ids, d:1980 and g:Crime, head to head. Only the films of what is compared are counted."""
+        asked = [(k, *k.partition(":")[::2]) for k in keys[:MOST_ENTITIES]]
+        kinds = {"d": "decades", "g": "genres"}
+        entities = [(k, kinds[kind], value) for k, kind, value in asked if kind in kinds]
+        ids = [k for k, kind, _ in asked if kind not in kinds]
+        name = F.lit(None).cast("string")
+        for k, kind, value in entities:
+            name = F.when((F.col("kind") == kind) & (F.col("key") == value), F.lit(k)).otherwise(name)
+        film = F.col("film_id").cast("string")
+        lists = self.words.where(film.isin(ids)).select(film.alias("key"), "word", "count")
+        totals = self.films.where(film.isin(ids)).select(film.alias("key"), "total_words")
+        if entities:
+            counts, sizes = signatures.entity_counts(self.words, self.films, name.isNotNull())
+            top = signatures.top_words_of(counts, sizes).select(name.alias("key"), "word", "count")
+            figures = signatures.figures_of(counts, sizes, self.profanity).select(name.alias("key"), "total_words")
+            lists, totals = lists.unionByName(top), totals.unionByName(figures)
         return signatures.head_to_head(lists, totals, min_count, min_ratio)
 
     def sql(self, statement: str, **parameters) -> DataFrame:

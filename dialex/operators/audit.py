@@ -81,15 +81,96 @@ def baseline_diff(now: DataFrame, before: DataFrame, key: str = "film_id") -> Da
     return a.join(b, key, "left_anti").withColumn("change", F.lit("new")).unionByName(b.join(a, key, "left_anti").withColumn("change", F.lit("gone")))
 
 
-def report(findings: dict[str, DataFrame], baseline: dict[str, DataFrame] | None = None, top: int = 200) -> str:
-    """The findings as text: how many of each kind, the changes against a baseline, and the first rows."""
+def audited_films(selection: DataFrame, curated: DataFrame, languages: DataFrame, stats: DataFrame) -> DataFrame:
+    """The films that have a chosen file, with its tier, flags and reason, what is known of the film, and its figures,
+    null where there are none. Selections from before there were tiers count as ok."""
+    chosen = selection
+    if "tier" not in selection.columns:
+        chosen = selection.withColumns({"tier": F.lit("ok"), "flags": F.array().cast("array<string>")})
+    out = chosen.select("film_id", F.coalesce("tier", F.lit("ok")).alias("quality"), F.col("flags").alias("quality_flags"), "reason", "name")
+    out = out.join(curated.select("film_id", "title", "year", "genres", "runtime_minutes"), "film_id")
+    out = out.join(languages.select("film_id", "lang"), "film_id", "left")
+    return out.join(stats.select("film_id", "total_words", "words_per_minute"), "film_id", "left")
+
+
+CANARIES = ("profanity", "anachronisms", "rates", "silent_rates", "grey_zone")
+
+
+def findings(
+    films: DataFrame, words: DataFrame, scores: DataFrame | None = None, verified: DataFrame | None = None, first_years: dict[str, int] | None = None,
+    prefilter: Iterable[str] = ("%fuck%", "%shit%", "cunt%"), pattern: str = STRONG_PROFANITY, before: int = PROFANITY_BEFORE, grey: tuple[float, float] = (0.4, 0.8),
+) -> DataFrame:
+    """(canary, film_id, title, year, figures) of all checks, from one pass over the films and one over the words; figures
+    is a map of what a check has to say.
+
+    films as `audited_films` gives them; scores(film_id, mt_score), verified(film_id), whose early swearing is known to
+    be genuine. Only films of tier ok are checked.
+    """
+    firsts = first_years or FIRST_YEARS
+    since = F.create_map(*[F.lit(x) for kv in firsts.items() for x in kv])
+    like = F.lit(False)
+    for p in prefilter:
+        like = like | F.col("word").like(p)
+    ok = films.where(F.col("quality") == "ok")
+    ages = ok.select("film_id", "lang", "year")
+    suspects = words.where(F.col("word").isin(*firsts) | (like & F.col("word").rlike(pattern))).join(ages, "film_id")
+    early = F.col("word").isin(*firsts) & (F.col("year") < F.try_element_at(since, F.col("word")))
+    rude = like & F.col("word").rlike(pattern) & (F.col("lang") == "en") & (F.col("year") < before)
+    entry = F.struct((-F.col("count")).alias("o"), F.col("word").alias("w"), F.concat("word", F.lit(" x"), F.col("count").cast("string")).alias("s"))
+    listed = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, entry))), lambda e: e["s"]), ", ")
+    said = suspects.where(early | rude).groupBy("film_id").agg(listed(early).alias("_early"), listed(rude).alias("_rude"), F.sum(F.when(rude, F.col("count"))).alias("_hits"))
+
+    out = ok.select("film_id", "title", "year", "genres", "lang", "words_per_minute", "total_words").join(said, "film_id", "left")
+    out = out.join(scores.select("film_id", "mt_score"), "film_id", "left") if scores is not None else out.withColumn("mt_score", F.lit(None).cast("double"))
+    known = verified.select("film_id").distinct().withColumn("_known", F.lit(True)) if verified is not None else None
+    out = out.join(known, "film_id", "left") if known is not None else out.withColumn("_known", F.lit(None).cast("boolean"))
+    wpm, year = F.col("words_per_minute"), F.col("year")
+    text = lambda **parts: F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("string"))])
+    speed = text(wpm=F.round(wpm, 1), total_words=F.col("total_words"))
+    checks = {
+        "profanity": (F.col("_hits") > 0, text(hits=F.col("_hits"), words=F.col("_rude"), verified=F.coalesce("_known", F.lit(False)))),
+        "anachronisms": (F.col("_early") != "", text(words=F.col("_early"))),
+        "rates": (implausible_rate(wpm, year, F.col("genres")), speed),
+        "silent_rates": ((year < SILENT_BEFORE) & (wpm > SILENT_RATE), speed),
+        "grey_zone": ((F.col("lang") == "en") & (F.col("mt_score") >= grey[0]) & (F.col("mt_score") < grey[1]), text(mt_score=F.round("mt_score", 3))),
+    }
+    raised = F.array(*[F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("canary"), figures.alias("figures"))) for name, (when, figures) in checks.items()])
+    found = out.select("film_id", "title", "year", F.inline(F.filter(raised, lambda x: x.isNotNull())))
+    return found.select("canary", "film_id", "title", "year", "figures")
+
+
+def against_baseline(found: DataFrame, baseline: DataFrame) -> DataFrame:
+    """found with change: new, same, or, as rows of the baseline's, gone. A baseline is an earlier run's findings."""
+    old = baseline.select("canary", "film_id", F.struct("title", "year", "figures").alias("_old")).dropDuplicates(["canary", "film_id"])
+    now = found.select("canary", "film_id", F.struct("title", "year", "figures").alias("_now"))
+    row = F.coalesce("_now", "_old")
+    change = F.when(F.col("_old").isNull(), "new").when(F.col("_now").isNull(), "gone").otherwise("same")
+    return now.join(old, ["canary", "film_id"], "full").select("canary", "film_id", row["title"].alias("title"), row["year"].alias("year"), row["figures"].alias("figures"), change.alias("change"))
+
+
+def tally(compared: DataFrame) -> DataFrame:
+    """(canary, findings, new, gone), a row for every check, also those that found nothing."""
+    n = lambda c: F.count(F.when(c, 1))
+    sums = compared.groupBy("canary").agg(n(F.col("change") != "gone").alias("findings"), n(F.col("change") == "new").alias("new"), n(F.col("change") == "gone").alias("gone"))
+    names = compared.sparkSession.createDataFrame([(c,) for c in CANARIES], "canary string")
+    zero = F.lit(0).cast("long")
+    return names.join(sums, "canary", "left").select("canary", *[F.coalesce(c, zero).alias(c) for c in ("findings", "new", "gone")])
+
+
+def report(compared: DataFrame, top: int = 200) -> str:
+    """Compared findings as text: how many of each check, the changes, and the first rows. Two jobs, of which the second
+    takes at most `top` rows of a check."""
+    order = Window.partitionBy("canary").orderBy("year", "film_id")
+    shown = compared.where("change <> 'gone'").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
+    rows: dict[str, list[str]] = {}
+    for r in shown.orderBy("canary", "_r").collect():
+        rows.setdefault(r.canary, []).append(f"- {r.year} {r.title} ({r.film_id}): " + ", ".join(f"{k}={v}" for k, v in sorted(r.figures.items())))
     lines = ["# Corpus audit"]
-    for name, df in findings.items():
-        lines += ["", f"## {name}: {df.count()}"]
-        if baseline and name in baseline:
-            change = {r.change: r.n for r in baseline_diff(df, baseline[name]).groupBy("change").agg(F.count("*").alias("n")).collect()}
-            lines.append(f"vs baseline: +{change.get('new', 0)} new, -{change.get('gone', 0)} gone")
-        lines += ["- " + ", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in df.limit(top).collect()]
+    for t in sorted(tally(compared).collect(), key=lambda t: CANARIES.index(t.canary)):
+        own = rows.get(t.canary, [])
+        lines += ["", f"## {t.canary}: {t.findings}", f"vs baseline: +{t.new} new, -{t.gone} gone", *own]
+        if t.findings > len(own):
+            lines.append(f"- and {t.findings - len(own)} more")
     return "\n".join(lines)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialex.functions import text
-from dialex.functions.predicates import decade
+from dialex.functions.predicates import decade, in_languages
 
 
 def curated(basics: DataFrame, ratings: DataFrame, min_votes: int = 300) -> DataFrame:
@@ -56,6 +58,11 @@ def films_index(films: DataFrame) -> DataFrame:
     return ok.unionByName(low)
 
 
+def filtered_index(index: DataFrame, langs: Iterable[str] = ()) -> DataFrame:
+    """The entries of the search index that belong to the corpus, those not marked low, of some languages or all."""
+    return index.where(F.coalesce(F.col("q"), F.lit("")) != "low").where(in_languages(F.col("lang"), langs)).drop("q")
+
+
 def words_of(words: DataFrame, films: DataFrame) -> DataFrame:
     """The words of these films only."""
     return words.join(films.select("film_id"), "film_id", "left_semi")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from dialex.functions import text
 from dialex.functions.predicates import decade
+from dialex.functions.stats import log_odds_z
 from dialex.operators.corpus import document_frequency
-from dialex.operators.signatures import log_odds
 
 NO_META = {"zipf": 0.0, "classes": "x", "pos": "x", "dist": 0.0}
 
@@ -20,14 +20,26 @@ def tagged(rows: DataFrame, meta: DataFrame) -> DataFrame:
     return rows.join(meta.select("word", *NO_META), "word", "left").fillna(NO_META)
 
 
-def film_page(words: DataFrame, corpus: DataFrame, meta: DataFrame, stopwords: Iterable[str], top: int = 200, top_all: int = 50, distinctive: int = 50) -> DataFrame:
+def film_page(words: DataFrame, corpus: DataFrame, meta: DataFrame, stopwords: Iterable[str], top: int = 200, top_all: int = 50, distinctive: int = 50, min_count: int = 3) -> DataFrame:
     """(film_id, list, rank, word, count, z, zipf, classes, pos): the lists of a film's page. All films are done in one
-    pass: the words most said without stopwords (top) and with them (top_all), and the most distinctive."""
-    order = Window.partitionBy("film_id").orderBy(F.desc("count"), "word")
-    ranked = lambda rows, name, k: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("film_id", F.lit(name).alias("list"), "rank", "word", "count", F.lit(None).cast("double").alias("z"))
-    odd = log_odds(words, corpus, top=distinctive).select("film_id", F.lit("distinctive").alias("list"), "rank", "word", "count", F.round("z", 2).alias("z"))
-    lists = ranked(words.where(~F.col("word").isin(*stopwords)), "top", top).unionByName(ranked(words, "top_all", top_all)).unionByName(odd)
-    return tagged(lists, meta).select("film_id", "list", "rank", "word", "count", "z", "zipf", "classes", "pos")
+    pass, dealt out by film once: the words most said without stopwords (top) and with them (top_all), and the most
+    distinctive of those said `min_count` times or more."""
+    film = Window.partitionBy("film_id")
+    n_all = F.broadcast(corpus.agg(F.sum("count").alias("_n_all")))
+    said = words.join(corpus.select("word", F.col("count").alias("_y_all")), "word", "left").crossJoin(n_all)
+    said = said.withColumns({"_stop": F.col("word").isin(*stopwords), "_n": F.sum("count").over(film)})
+    z = F.when(F.col("count") >= min_count, log_odds_z(F.col("count"), F.col("_n"), F.col("_y_all"), F.col("_n_all")))
+    said = said.withColumn("_z", z)
+    place = lambda *order: F.row_number().over(film.orderBy(*order))
+    ranked = said.withColumns({"_all": place(F.desc("count"), "word"), "_top": place("_stop", F.desc("count"), "word"), "_odd": place(F.desc_nulls_last("_z"), "word")})
+    entry = lambda name, rank, keep, score: F.when(keep, F.struct(F.lit(name).alias("list"), F.col(rank).alias("rank"), score.alias("z")))
+    none = F.lit(None).cast("double")
+    lists = F.array(
+        entry("top", "_top", ~F.col("_stop") & (F.col("_top") <= top), none), entry("top_all", "_all", F.col("_all") <= top_all, none),
+        entry("distinctive", "_odd", F.col("_z").isNotNull() & (F.col("_odd") <= distinctive), F.round("_z", 2)),
+    )
+    rows = ranked.select("film_id", "word", "count", F.inline(F.filter(lists, lambda x: x.isNotNull())))
+    return tagged(rows, meta).select("film_id", "list", "rank", "word", "count", "z", "zipf", "classes", "pos")
 
 
 def payloads(lists: DataFrame, films: DataFrame) -> DataFrame:

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialex.functions.predicates import decade
 from dialex.functions.stats import log_odds_z
 
 
-def log_odds(counts: DataFrame, corpus: DataFrame, key: str = "film_id", alpha: float = 100.0, min_count: int = 3, top: int | None = None) -> DataFrame:
+def log_odds(counts: DataFrame, corpus: DataFrame, key: str | tuple[str, ...] = "film_id", alpha: float = 100.0, min_count: int = 3, top: int | None = None) -> DataFrame:
     """(key, word, count, z) of counts(key, word, count) against corpus(word, count), for words said `min_count` times
-    or more; totals are taken before that floor. Words that the corpus lacks have no score."""
-    totals = counts.groupBy(key).agg(F.sum("count").alias("n"))
+    or more; totals are taken before that floor. Words that the corpus lacks have no score. A key may have several
+    columns, none of them null."""
+    keys = [key] if isinstance(key, str) else [*key]
+    totals = counts.groupBy(*keys).agg(F.sum("count").alias("n"))
     n_all = corpus.agg(F.sum("count").alias("n_all"))
-    rows = counts.where(F.col("count") >= min_count).join(corpus.select("word", F.col("count").alias("y_all")), "word").join(totals, key).crossJoin(F.broadcast(n_all))
-    out = rows.select(key, "word", "count", log_odds_z(F.col("count"), F.col("n"), F.col("y_all"), F.col("n_all"), alpha).alias("z")).where("z IS NOT NULL")
+    rows = counts.where(F.col("count") >= min_count).join(corpus.select("word", F.col("count").alias("y_all")), "word").join(totals, keys).crossJoin(F.broadcast(n_all))
+    out = rows.select(*keys, "word", "count", log_odds_z(F.col("count"), F.col("n"), F.col("y_all"), F.col("n_all"), alpha).alias("z")).where("z IS NOT NULL")
     if top is None:
         return out
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("z"), "word"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("z"), "word"))
     return out.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
@@ -31,32 +33,43 @@ def memberships(films: DataFrame) -> DataFrame:
     return decades.unionByName(genres)
 
 
-def entity_counts(words: DataFrame, films: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kind, key, word, count, films) of all entities in one pass, and (kind, key, movie_count)."""
-    members = memberships(films)
+def entity_counts(words: DataFrame, films: DataFrame, only: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kind, key, word, count, films) of all entities in one pass, and (kind, key, movie_count); of those that `only`, a
+    condition on kind and key, lets through, so that words of other films aren't aggregated."""
+    members = memberships(films) if only is None else memberships(films).where(only)
     sizes = members.groupBy("kind", "key").agg(F.count("*").alias("movie_count"))
     counts = words.join(members, "film_id").groupBy("kind", "key", "word").agg(F.sum("count").alias("count"), F.count("*").alias("films"))
     return counts, sizes
 
 
+def _solid(counts: DataFrame, sizes: DataFrame, min_films: int) -> DataFrame:
+    """counts of words that min_films films of an entity say, or all of a smaller one's, with movie_count."""
+    return counts.join(sizes, ["kind", "key"]).where(F.col("films") >= F.least(F.lit(min_films), F.col("movie_count")))
+
+
+def signatures_of(counts: DataFrame, sizes: DataFrame, corpus: DataFrame, stopwords: Iterable[str] = (), min_films: int = 3, min_count: int = 20, top: int = 100) -> DataFrame:
+    """(kind, key, list, rank, word, count, z) of what `entity_counts` gives, against corpus(word, count): each entity's
+    most said words (list top, without stopwords) and most distinctive ones (list signature), among the words of at
+    least min(min_films, its films) films."""
+    entity = ["kind", "key"]
+    kept = _solid(counts, sizes, min_films).select(*entity, "word", "count")
+    order = Window.partitionBy(*entity).orderBy(F.desc("count"), "word")
+    said = kept.where(~F.col("word").isin(*stopwords)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    said = said.select(*entity, F.lit("top").alias("list"), "rank", "word", "count", F.lit(None).cast("double").alias("z"))
+    odd = log_odds(kept, corpus, ("kind", "key"), min_count=min_count, top=top)
+    return said.unionByName(odd.select(*entity, F.lit("signature").alias("list"), "rank", "word", "count", F.round("z", 2).alias("z")))
+
+
 def signatures(words: DataFrame, films: DataFrame, stopwords: Iterable[str] = (), min_films: int = 3, min_count: int = 20, top: int = 100) -> DataFrame:
-    """(kind, key, list, rank, word, count, z): each entity's most said words (list top, without stopwords) and most
-    distinctive ones (list signature), among the words of at least min(min_films, its films) films."""
-    words = words.join(films.select("film_id"), "film_id", "left_semi")
-    counts, sizes = entity_counts(words, films)
-    kept = counts.join(sizes, ["kind", "key"]).where(F.col("films") >= F.least(F.lit(min_films), F.col("movie_count"))).withColumn("entity", F.concat_ws("\t", "kind", "key")).select("entity", "word", "count")
-    corpus = words.groupBy("word").agg(F.sum("count").alias("count"))
-    said = kept.where(~F.col("word").isin(*stopwords)).withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= top)
-    said = said.select("entity", F.lit("top").alias("list"), "rank", "word", "count", F.lit(None).cast("double").alias("z"))
-    odd = log_odds(kept, corpus, "entity", min_count=min_count, top=top).select("entity", F.lit("signature").alias("list"), "rank", "word", "count", F.round("z", 2).alias("z"))
-    parts = F.split("entity", "\t")
-    return said.unionByName(odd).select(parts[0].alias("kind"), parts[1].alias("key"), "list", "rank", "word", "count", "z")
+    """`signatures_of` all entities of films, against all words of these films."""
+    own = words.join(films.select("film_id"), "film_id", "left_semi")
+    corpus = own.groupBy("word").agg(F.sum("count").alias("count"))
+    return signatures_of(*entity_counts(own, films), corpus, stopwords, min_films, min_count, top)
 
 
-def signature_figures(words: DataFrame, films: DataFrame, profanity: Iterable[str], min_films: int = 3) -> DataFrame:
+def figures_of(counts: DataFrame, sizes: DataFrame, profanity: Iterable[str], min_films: int = 3) -> DataFrame:
     """(kind, key, movie_count, total_words, unique_words, swears_per_1k): total_words is of the words kept by the
     floor of films, the others of all words."""
-    counts, sizes = entity_counts(words, films)
     kept = F.col("films") >= F.least(F.lit(min_films), F.col("movie_count"))
     swears = F.sum(F.when(F.col("word").isin(*profanity), F.col("count")).otherwise(0))
     return counts.join(sizes, ["kind", "key"]).groupBy("kind", "key").agg(
@@ -65,12 +78,20 @@ def signature_figures(words: DataFrame, films: DataFrame, profanity: Iterable[st
     )
 
 
-def top_words(words: DataFrame, films: DataFrame, min_films: int = 3, top: int = 2000) -> DataFrame:
+def signature_figures(words: DataFrame, films: DataFrame, profanity: Iterable[str], min_films: int = 3) -> DataFrame:
+    """`figures_of` all entities of films."""
+    return figures_of(*entity_counts(words, films), profanity, min_films)
+
+
+def top_words_of(counts: DataFrame, sizes: DataFrame, min_films: int = 3, top: int = 2000) -> DataFrame:
     """(kind, key, rank, word, count): the entities' longer word lists, stopwords included."""
-    counts, sizes = entity_counts(words, films)
-    kept = counts.join(sizes, ["kind", "key"]).where(F.col("films") >= F.least(F.lit(min_films), F.col("movie_count")))
     rank = F.row_number().over(Window.partitionBy("kind", "key").orderBy(F.desc("count"), "word"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= top).select("kind", "key", "rank", "word", "count")
+    return _solid(counts, sizes, min_films).withColumn("rank", rank).where(F.col("rank") <= top).select("kind", "key", "rank", "word", "count")
+
+
+def top_words(words: DataFrame, films: DataFrame, min_films: int = 3, top: int = 2000) -> DataFrame:
+    """`top_words_of` all entities of films."""
+    return top_words_of(*entity_counts(words, films), min_films, top)
 
 
 def head_to_head(entities: DataFrame, totals: DataFrame, min_count: int = 30, min_ratio: float = 2.5, top: int = 10) -> DataFrame:

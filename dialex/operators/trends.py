@@ -100,3 +100,16 @@ def word_series(word_year: DataFrame, words: DataFrame, films: DataFrame, asked:
         return word_year.where(F.col("word").isin(*asked)).select("word", "year", "count")
     chosen = films.where(in_languages(F.col("lang"), langs)).select("film_id", "year")
     return words.where(F.col("word").isin(*asked)).join(chosen, "film_id").groupBy("word", "year").agg(F.sum("count").alias("count"))
+
+
+def films_since(films_by_year: DataFrame, year: int) -> DataFrame:
+    """(films): how many films are of a year or later; 0 where there are none."""
+    return films_by_year.where(F.col("year") >= year).agg(F.coalesce(F.sum("films"), F.lit(0)).alias("films"))
+
+
+def top_film_rows(years: DataFrame, best: DataFrame, words: Iterable[str]) -> DataFrame:
+    """(word, year, film_id, title, count): a row for each of years(year) and each word, null where the year has no film
+    that says it, so that no year is left out. best as `top_film_by_year` gives it."""
+    asked = years.sparkSession.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
+    grid = years.select("year").distinct().join(F.broadcast(asked), F.lit(True))  # the words of a request, a few
+    return grid.join(best.select("word", "year", "film_id", "title", "count"), ["word", "year"], "left")

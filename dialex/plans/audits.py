@@ -306,3 +306,61 @@ def quality_flags(c: Corpus) -> DataFrame:
 @query("implausible_rates", "SELECT film_id FROM films WHERE coalesce((words_per_minute < 10 AND year >= 1930) OR words_per_minute > 200, false)")
 def implausible_rates(c: Corpus) -> DataFrame:
     return c.films.where(implausible_rate(F.col("words_per_minute"), F.col("year"), F.col("genres"))).select("film_id")
+
+
+# --- all checks at once, of films as a table of choices gives them ---
+
+VERIFIED = (12, 28)
+_AUDITED = f""", {_MT}, au AS (SELECT d.doc_id AS film_id, 'Film ' || d.doc_id AS title, (1930 + d.doc_id % 96)::INT AS year, [d.source] AS genres, CASE WHEN d.doc_id % 4 <> 0 THEN lang END AS lang,
+  coalesce(low.tier, 'ok') AS quality, s.total_words, s.total_words / (CASE WHEN d.doc_id % 10 <> 0 THEN (20 + d.doc_id % 100) END)::DOUBLE AS wpm
+  FROM documents d LEFT JOIN low ON low.film_id = d.doc_id LEFT JOIN stats s ON s.film_id = d.doc_id)"""
+
+
+def _found_sql(name: str, cases: str, where: str) -> str:
+    said = "string_agg(word || ' x' || count, ', ' ORDER BY count DESC, word)"
+    speed = "'total_words=' || total_words || ';wpm=' || round(wpm, 1)"
+    return f""", {name} AS (SELECT * FROM (
+  SELECT 'profanity' AS canary, film_id, title, year, 'hits=' || sum(count) || ';verified=' || (film_id IN {VERIFIED}) || ';words=' || {said} AS figures FROM au JOIN counts USING (film_id)
+    WHERE quality = 'ok' AND lang = 'en' AND year < 1968 AND (word LIKE '%worth%' OR word LIKE 'idio%') AND regexp_matches(word, '^(worthless|idiot)s?$') GROUP BY film_id, title, year
+  UNION ALL SELECT 'anachronisms', film_id, title, year, 'words=' || {said} FROM au JOIN counts USING (film_id) WHERE quality = 'ok' AND ({cases}) GROUP BY film_id, title, year
+  UNION ALL SELECT 'rates', film_id, title, year, {speed} FROM au WHERE quality = 'ok' AND coalesce(wpm < 10 AND year >= 1930 AND NOT list_contains(genres, 'Documentary') OR wpm > 200, false)
+  UNION ALL SELECT 'silent_rates', film_id, title, year, {speed} FROM au WHERE quality = 'ok' AND year < 1928 AND wpm > 45
+  UNION ALL SELECT 'grey_zone', film_id, title, year, 'mt_score=' || round(score, 3) FROM au JOIN mt USING (film_id) WHERE quality = 'ok' AND lang = 'en' AND score >= 0.4 AND score < 0.8) WHERE {where})"""
+
+
+_BEFORE = "(word = 'there' AND year < 1980) OR " + " OR ".join(f"(word = '{w}' AND year < {y})" for w, y in FIRSTS.items() if w != "there")
+_COMPARED = (
+    _AUDITED + _found_sql("fn", _CASES, "true") + _found_sql("fb", _BEFORE, "film_id % 5 <> 0")
+    + """, cd AS (SELECT canary, film_id, coalesce(fn.title, fb.title) AS title, coalesce(fn.year, fb.year) AS year, coalesce(fn.figures, fb.figures) AS figures,
+  CASE WHEN fb.film_id IS NULL THEN 'new' WHEN fn.film_id IS NULL THEN 'gone' ELSE 'same' END AS change FROM fn FULL JOIN fb USING (canary, film_id))"""
+)
+
+
+def audited(c: Corpus) -> DataFrame:
+    docs = c.table("documents").select(F.col("doc_id").alias("film_id"), "lang")
+    low = c.table("labels").where("quality = 0").select(F.col("doc_id").alias("film_id"), F.lit("low").alias("tier"), F.array(F.lit("label")).alias("flags"))
+    chosen = docs.join(low, "film_id", "left").select("film_id", "tier", "flags", F.lit("single").alias("reason"), F.format_string("%06d.xml", F.col("film_id")).alias("name"))
+    return audit.audited_films(chosen, c.curated, docs.where("film_id % 4 <> 0"), ops.film_stats(c.counts, c.curated))
+
+
+def _findings(c: Corpus, firsts: dict[str, int]) -> DataFrame:
+    verified = c.spark.createDataFrame([(v,) for v in VERIFIED], "film_id long")
+    return audit.findings(audited(c), c.counts, quality.mt_scores(featured(c), MODEL), verified, firsts, ("%worth%", "idio%"), "^(worthless|idiot)s?$")
+
+
+def compared(c: Corpus) -> DataFrame:
+    """Findings against those of a run that lacked a fifth of the films and dated a word otherwise."""
+    before = _findings(c, FIRSTS | {"there": 1980}).where("film_id % 5 <> 0")
+    return audit.against_baseline(_findings(c, FIRSTS), before)
+
+
+@query("audit_compared", _COMPARED + " SELECT canary, film_id, title, year, figures, change FROM cd")
+def audit_compared(c: Corpus) -> DataFrame:
+    pairs = F.transform(F.array_sort(F.map_entries("figures")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return compared(c).withColumn("figures", F.array_join(pairs, ";"))
+
+
+@query("audit_tally", _COMPARED + """ SELECT canary, count(*) FILTER (change <> 'gone')::BIGINT AS findings, count(*) FILTER (change = 'new')::BIGINT AS new, count(*) FILTER (change = 'gone')::BIGINT AS gone
+FROM (SELECT unnest(['profanity', 'anachronisms', 'rates', 'silent_rates', 'grey_zone']) AS canary) LEFT JOIN cd USING (canary) GROUP BY canary""")
+def audit_tally(c: Corpus) -> DataFrame:
+    return audit.tally(compared(c))

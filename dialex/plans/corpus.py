@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dialex.functions.lexicon import PROFANITY, STOPWORDS
 from dialex.operators import corpus as ops
+from dialex.operators import signatures
 
 BASE_SQL = r"""
 tok AS (
@@ -74,7 +75,7 @@ class Corpus:
     def close(self) -> None:
         """Frees what is kept of this folder; the next use reads it again."""
         self._known.pop((self.spark.sparkContext.applicationId, self.sf_dir), None)
-        for name in ("counts", "all_films", "word_year"):
+        for name in ("counts", "all_films", "word_year", "entity_counts"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -85,7 +86,7 @@ class Corpus:
     def counts(self) -> DataFrame:
         docs = self.table("documents").select(F.col("doc_id").alias("film_id"), "text")
         cores = self.spark.sparkContext.defaultParallelism
-        if docs.rdd.getNumPartitions() < cores:  # a small file of one row group would be worked off by one core
+        if len(docs._jdf.inputFiles()) < cores:  # a file of one row group would be worked off by one core
             docs = docs.repartition(cores)
         return ops.word_counts(docs).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -124,6 +125,15 @@ class Corpus:
     def word_year(self) -> DataFrame:
         return ops.word_year(self.words, self.films).persist(StorageLevel.MEMORY_AND_DISK)
 
+    @cached_property
+    def entity_counts(self) -> DataFrame:
+        """Words of decades and genres, from which all signatures start."""
+        return signatures.entity_counts(self.words, self.films)[0].persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def entity_sizes(self) -> DataFrame:
+        return signatures.entity_counts(self.words, self.films)[1]
+
     @cached_property
     def lexicon(self) -> DataFrame:
         """A stand-in for a lexicon: frequency by the number of digits of the count, part of speech by ending."""

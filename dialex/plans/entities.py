@@ -42,12 +42,12 @@ SELECT string_split(entity, chr(9))[1] AS kind, string_split(entity, chr(9))[2]
 
 @query("signature_decades", _SIGNATURES + " WHERE entity LIKE 'decades%'")
 def signature_decades(c: Corpus) -> DataFrame:
-    return signatures.signatures(c.words, c.films, c.stopwords).where("kind = 'decades'")
+    return signatures.signatures_of(c.entity_counts, c.entity_sizes, c.dictionary, c.stopwords).where("kind = 'decades'")
 
 
 @query("signature_genres", _SIGNATURES + " WHERE entity LIKE 'genres%'")
 def signature_genres(c: Corpus) -> DataFrame:
-    return signatures.signatures(c.words, c.films, c.stopwords).where("kind = 'genres'")
+    return signatures.signatures_of(c.entity_counts, c.entity_sizes, c.dictionary, c.stopwords).where("kind = 'genres'")
 
 
 @query(
@@ -57,12 +57,12 @@ def signature_genres(c: Corpus) -> DataFrame:
 round(coalesce(sum(count) FILTER (word IN {SWEAR}), 0) / sum(count)::DOUBLE * 1000, 2) AS swears_per_1k FROM ec JOIN sz USING (kind, key) GROUP BY kind, key""",
 )
 def signatures_ext(c: Corpus) -> DataFrame:
-    return signatures.signature_figures(c.words, c.films, c.profanity)
+    return signatures.figures_of(c.entity_counts, c.entity_sizes, c.profanity)
 
 
 @query("signature_top_words", _MEMBERS + " SELECT kind, key, row_number() OVER (PARTITION BY kind, key ORDER BY count DESC, word)::INT AS rank, word, count FROM ec JOIN sz USING (kind, key) WHERE films >= least(3, movie_count) QUALIFY rank <= 2000")
 def signature_top_words(c: Corpus) -> DataFrame:
-    return signatures.top_words(c.words, c.films)
+    return signatures.top_words_of(c.entity_counts, c.entity_sizes)
 
 
 @query("entity_index", _MEMBERS + " SELECT kind, key, movie_count, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'decades' THEN key END, movie_count DESC, key)::INT AS place FROM sz")
@@ -87,7 +87,7 @@ w AS (SELECT a.key, a.word, min(a.rate / greatest(coalesce(b.rate, fl.floor), 0.
 
 @query("head_to_head", _H2H + " SELECT key, word, round(worst, 1) AS ratio FROM w WHERE worst >= 1.5 QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(worst, 1) DESC, word) <= 10")
 def head_to_head(c: Corpus) -> DataFrame:
-    lists = signatures.top_words(c.words, c.films).where(F.col("kind") == "decades").where(F.col("key").isin("1950", "1980", "2010"))
+    lists = signatures.top_words_of(c.entity_counts, c.entity_sizes).where(F.col("kind") == "decades").where(F.col("key").isin("1950", "1980", "2010"))
     totals = lists.groupBy("key").agg(F.sum("count").alias("total_words"))
     return signatures.head_to_head(lists.select("key", "word", "count"), totals, 5, 1.5)
 
@@ -99,7 +99,7 @@ def head_to_head(c: Corpus) -> DataFrame:
 SELECT rank, word FROM s WHERE key = '1950' AND word IN (SELECT word FROM s WHERE key = '1980') AND word IN (SELECT word FROM s WHERE key = '2010') ORDER BY rank LIMIT 15""",
 )
 def shared_signature(c: Corpus) -> DataFrame:
-    lists = signatures.signatures(c.words, c.films, c.stopwords).where("kind = 'decades' AND list = 'top'")
+    lists = signatures.signatures_of(c.entity_counts, c.entity_sizes, c.dictionary, c.stopwords).where("kind = 'decades' AND list = 'top'")
     return signatures.shared_words(lists, ["1950", "1980", "2010"])
 
 

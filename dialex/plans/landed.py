@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialex.operators import corpus as ops
 from dialex.plans.catalog import query
 from dialex.plans.corpus import Corpus
 from dialex.sources import readers, writers
@@ -151,3 +152,38 @@ def language_parts(c: Corpus) -> DataFrame:
     asked = {"all": [], "one": ["en"], "many": ["de", "fr"]}
     one, two, three = (readers.part(baked, langs).select(F.lit(name).alias("part"), "doc_id", "lang") for name, langs in asked.items())
     return one.unionAll(two).unionAll(three)
+
+
+@query("drifting_details", """SELECT doc_id, doc_id AS tmdb_id, source AS overview, CASE WHEN doc_id % 4 < 2 THEN 90 ELSE 0 END::INT AS runtime, CASE WHEN doc_id % 3 = 0 THEN 'Drama,War' ELSE '' END AS genres,
+CASE WHEN doc_id % 2 = 1 THEN 'C' || lang END AS collection_name FROM documents WHERE doc_id % 11 <> 0""", base=False)
+def drifting_details(c: Corpus) -> DataFrame:
+    """Landed details whose fields drift from kind to kind, twice for each film, of which the later counts; some films
+    have none."""
+    d = F.col("doc_id")
+    runtime = F.when(d % 4 == 0, '"90"').when(d % 4 == 1, "90").when(d % 4 == 2, "null").otherwise('{"minutes":90}')
+    genres = F.when(d % 3 == 0, '[{"name":"Drama"},{"name":""},{"name":"War"}]').when(d % 3 == 1, "null").otherwise('{"name":"Drama"}')
+    collection = F.when(d % 2 == 1, F.concat(F.lit('{"id":7,"name":"C'), "lang", F.lit('"}'))).otherwise(F.when(d % 4 == 0, "null").otherwise('"none"'))
+    number = F.when(d % 5 == 0, F.concat(F.lit('"'), d.cast("string"), F.lit('"'))).otherwise(d.cast("string"))
+
+    def line(at, overview, whole):
+        detail = F.concat(F.lit('{"id":'), number, F.lit(',"overview":"'), overview, F.lit('","runtime":'), runtime, F.lit(',"genres":'), genres, F.lit(',"belongs_to_collection":'), collection, F.lit("}"))
+        return F.concat(F.lit('{"film_id":"'), d.cast("string"), F.lit(f'","fetched_at":"{at}","detail":'), F.when(whole, detail).otherwise("null"), F.lit("}"))
+
+    docs = c.table("documents")
+    lines = [docs.select(line(at, text, d % 11 != 0).alias("line")) for at, text in (("2026-02-01", F.col("source")), ("2025-12-31", F.lit("older")))]
+    landed = readers.landed_details(c.spark, _landed(lines[0].unionAll(lines[1]), "details", F.col("line")))
+    r = readers.latest(landed, "film_id", "fetched_at").select(F.col("film_id").cast("long").alias("doc_id"), readers.drifting_record(F.col("detail")).alias("r"))
+    return r.select("doc_id", "r.tmdb_id", "r.overview", "r.runtime", F.array_join("r.tmdb_genres", ",").alias("genres"), "r.collection_name")
+
+
+@query("landed_certifications", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'r' WHEN doc_id % 3 = 1 AND doc_id % 5 <> 0 THEN 'pg' END AS rating FROM documents WHERE doc_id % 7 <> 0""", base=False)
+def landed_certifications(c: Corpus) -> DataFrame:
+    """Certifications picked from landed release entries: theatrical before others, then by date; marks without a code
+    and films without entries have none."""
+    d = F.col("doc_id")
+    entry = lambda kind, day, mark: F.struct(F.lit(kind).alias("type"), F.lit(day).alias("release_date"), F.lit(mark).alias("certification"))
+    us = F.when(d % 3 == 0, F.array(entry(4, "1990-01-01", "G"), entry(3, "1999-05-05", " r "), entry(3, "2001-01-01", "PG"))).when((d % 3 == 1) & (d % 5 != 0), F.array(entry(3, "1999-01-01", "NR"), entry(1, "2000-01-01", "PG")))
+    record = F.to_json(F.struct(d.cast("string").alias("film_id"), us.alias("us")))
+    path = _landed(c.table("documents"), "releases", F.when(d % 7 == 0, "null").otherwise(record))
+    entries = readers.release_entries(c.spark, path)
+    return entries.select(F.col("film_id").cast("long").alias("doc_id"), ops.pick_certification(F.col("entries")).alias("rating"))

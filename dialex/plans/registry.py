@@ -6,7 +6,7 @@ from importlib import import_module
 
 from dialex.plans.catalog import ORACLES, QUERIES
 
-for _name in ("boards", "entities", "series", "audits", "texts", "relational", "landed"):
+for _name in ("boards", "entities", "series", "audits", "texts", "relational", "landed", "kept", "requests"):
     import_module(f"dialex.plans.{_name}")
 
 

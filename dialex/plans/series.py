@@ -29,7 +29,7 @@ def word_year_lang(c: Corpus) -> DataFrame:
     return by_language(c)
 
 
-@query("charted_semi", "SELECT words.* FROM words JOIN (SELECT DISTINCT word FROM word_year) USING (word)")
+@query("charted_semi", "SELECT * FROM words WHERE word IN (SELECT word FROM words GROUP BY word HAVING sum(count) >= 20)")
 def charted_semi(c: Corpus) -> DataFrame:
     return trends.charted(c.words, c.word_year)
 

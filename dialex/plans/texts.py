@@ -23,7 +23,7 @@ def strip_noise_lines(c: Corpus) -> DataFrame:
 
 @query("conversation_words", r"WITH w AS (SELECT conv_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}_'']+')) AS word FROM conversations) SELECT conv_id, word, count(*)::BIGINT AS count FROM w WHERE regexp_full_match(word, '[a-z'']+') AND (length(word) > 1 OR word IN ('a', 'i')) GROUP BY conv_id, word", base=False)
 def conversation_words(c: Corpus) -> DataFrame:
-    words = c.table("conversations").select("conv_id", F.explode(text.tokens(F.col("text"))).alias("word"))
+    words = text.token_rows(c.table("conversations"), "conv_id", "text")
     return words.groupBy("conv_id", "word").agg(F.count("*").alias("count"))
 
 

@@ -1,13 +1,12 @@
-"""Sources: tab-separated dumps, one-object JSON files, word lists, block lists, line-structured dialogue, archives."""
+"""Sources: tab-separated dumps, one-object JSON files, word lists, block lists, line-structured dialogue."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from dialex.functions.text import film_id_from_path, title_case
+from dialex.functions.text import title_case
 
 
 def tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +90,40 @@ DETAIL = (
 
 def detail_record(raw: Column) -> Column:
     """A flat record of a detail document (JSON): defaults for what is missing, the cast by order, crew by job."""
-    d = F.from_json(raw, DETAIL)
+    return _flat_record(F.from_json(raw, DETAIL))
+
+
+def drifting_record(detail: Column) -> Column:
+    """`detail_record` of a VARIANT, taken field by field. A number that comes as a string is the number; a field of
+    another kind than it should be, an object for a number or a name for a list, is missing, and no other field with it."""
+    fields = [F.try_variant_get(detail, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in T._parse_datatype_string(DETAIL).fields]
+    return _flat_record(F.struct(*fields))
+
+
+def landed_details(spark: SparkSession, path: str) -> DataFrame:
+    """(film_id, fetched_at, detail) of lines {film_id, fetched_at, detail}, the detail as VARIANT, parsed once. Lines
+    that are no JSON or have no film are left out, and so are those without a detail, as of films that have none."""
+    lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
+    text = lambda field: F.try_variant_get("v", f"$.{field}", "string")
+    rows = lines.select(text("film_id").alias("film_id"), text("fetched_at").alias("fetched_at"), F.try_variant_get("v", "$.detail", "variant").alias("detail"))
+    return rows.where(F.col("film_id").isNotNull() & F.col("detail").isNotNull() & ~F.is_variant_null("detail"))
+
+
+def latest(rows: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
+    """The row of each key with the largest `at`, and of those the largest of `ties`; rows without `at` come last."""
+    newest = Window.partitionBy(key).orderBy(F.desc_nulls_last(at), *[F.desc_nulls_last(t) for t in ties])
+    return rows.withColumn("_newest", F.row_number().over(newest)).where("_newest = 1").drop("_newest")
+
+
+def release_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(film_id, entries) of landed release records {film_id, us}: the release entries (type, release_date,
+    certification) of a film's home market, an object a line or a file; one may be null, and a film may have none."""
+    entries = "array<struct<type:int,release_date:string,certification:string>>"
+    rows = ndjson(spark, path, f"film_id string, us {entries}").where("film_id IS NOT NULL")
+    return rows.select("film_id", F.coalesce("us", F.array().cast(entries)).alias("entries"))
+
+
+def _flat_record(d: Column) -> Column:
     text = lambda c: F.coalesce(c, F.lit(""))
     number = lambda c: F.coalesce(c, F.lit(0))
     some = lambda a: F.coalesce(a, F.array())
@@ -117,60 +149,6 @@ def blurb(record: Column) -> Column:
     return F.to_json(F.struct(F.nullif(record["overview"], F.lit("")).alias("overview"), F.nullif(record["tagline"], F.lit("")).alias("tagline"), F.nullif(record["runtime"], F.lit(0)).alias("runtime")))
 
 
-class ZipMembers(DataSource):
-    """Members of a zip archive as (name, bytes, content), a range of members a partition.
-
-    Options: path; partitions; prefix and suffix of the names wanted; contents=false for names and sizes only. The
-    archive must be on a file system that all executors mount; members are read one by one.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "zip_members"
-
-    def schema(self) -> T.StructType:
-        return T.StructType([T.StructField("name", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("content", T.BinaryType())])
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return ZipReader(dict(self.options))
-
-
-class ZipReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
-        self.parts = int(options.get("partitions", "8"))
-        self.prefix, self.suffix = options.get("prefix", ""), options.get("suffix", "")
-        self.contents = options.get("contents", "true").lower() == "true"
-
-    def _names(self) -> list[str]:
-        from zipfile import ZipFile
-
-        with ZipFile(self.path) as z:
-            return [i.filename for i in z.infolist() if not i.is_dir() and i.filename.startswith(self.prefix) and i.filename.endswith(self.suffix)]
-
-    def partitions(self) -> list[InputPartition]:
-        names = self._names()
-        step = max(1, -(-len(names) // self.parts))
-        return [InputPartition(names[a : a + step]) for a in range(0, len(names), step)]
-
-    def read(self, partition: InputPartition):
-        from zipfile import ZipFile
-
-        with ZipFile(self.path) as z:
-            for name in partition.value:
-                yield name, z.getinfo(name).file_size, z.read(name) if self.contents else None
-
-
-def zip_members(spark: SparkSession, path: str, **options) -> DataFrame:
-    spark.dataSource.register(ZipMembers)
-    return spark.read.format("zip_members").options(path=path, **{k: str(v) for k, v in options.items()}).load()
-
-
-def subtitle_files(members: DataFrame) -> DataFrame:
-    """(film_id, name, bytes, content) of the members that are subtitle files of a film."""
-    return members.withColumn("film_id", film_id_from_path(F.col("name"))).where("film_id IS NOT NULL")
-
-
 def part(df: DataFrame, langs: list[str], column: str = "lang") -> DataFrame:
     """All rows for no languages, else those of the languages; several are put together exactly."""
     return df if not langs else df.where(F.col(column).isin(*langs))

@@ -7,12 +7,20 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialex.sources.scratch import exists
 
-def sorted_table(df: DataFrame, path: str, *keys: str, partitions: int | None = None, mode: str = "overwrite") -> None:
-    """Parquet in ranges of the first key, sorted by all keys within a file, so that reads for a key skip most files and
-    row groups. Write the words once by film and once by word."""
+
+#: Rows of a Parquet page, which is what a read for one key touches at least.
+PAGE_ROWS = 1000
+
+
+def sorted_table(df: DataFrame, path: str, *keys: str, partitions: int | None = None, mode: str = "overwrite", page_rows: int = PAGE_ROWS, group_bytes: int = 32 << 20) -> None:
+    """Parquet in ranges of the first two keys, sorted by all keys within a file, in small pages and row groups whose
+    least and largest values let a read for a key skip nearly all others. Ranges of two keys also split a key that has a
+    large share of the rows. Write the words once by film and once by word."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, keys[0]).sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+    laid = df.repartitionByRange(n, *keys[:2]).sortWithinPartitions(*keys).write.mode(mode)
+    laid.option("parquet.page.row.count.limit", page_rows).option("parquet.block.size", group_bytes).parquet(path)
 
 
 def words_tables(words: DataFrame, path: str) -> None:
@@ -50,12 +58,7 @@ class CountCache:
         self.spark, self.path, self.version = spark, path, version
 
     def _rows(self) -> DataFrame:
-        try:
-            rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except Exception as e:  # no cache yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = self.spark.createDataFrame([], self.SCHEMA)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], self.SCHEMA)
         return rows.where(F.col("version") == self.version)
 
     def read(self) -> DataFrame:

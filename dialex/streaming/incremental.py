@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dialex.functions import text
+from dialex.sources.scratch import delete, exists, listed
 from dialex.sources.writers import CountCache
 
 DOCS = "film_id string, text string"
@@ -18,9 +19,10 @@ DOCS = "film_id string, text string"
 def count_new(cache: CountCache, docs: DataFrame) -> None:
     """Counts the documents that the cache lacks, and marks each with a null word, in one write."""
     keyed = docs.where("film_id IS NOT NULL").withColumn("inputs", cache.inputs("text"))
-    marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(text.tokens(F.col("text")), F.array().cast("array<string>")))
-    words = cache.missing(keyed).dropDuplicates(["film_id", "inputs"]).select("film_id", "inputs", F.explode(marked).alias("word"))
-    cache.add(words.groupBy("film_id", "inputs", "word").agg(F.count("*").alias("count")))
+    new = cache.missing(keyed).dropDuplicates(["film_id", "inputs"])
+    words = text.token_rows(new.withColumn("_film", F.struct("film_id", "inputs")), "_film", "text").select("_film.film_id", "_film.inputs", "word")
+    marks = new.select("film_id", "inputs", F.lit(None).cast("string").alias("word"))
+    cache.add(words.unionByName(marks).groupBy("film_id", "inputs", "word").agg(F.count("*").alias("count")))
 
 
 def count_stream(spark: SparkSession, folder: str, cache: CountCache, checkpoint: str, files_per_batch: int = 64) -> StreamingQuery:
@@ -30,7 +32,26 @@ def count_stream(spark: SparkSession, folder: str, cache: CountCache, checkpoint
 
 
 def running_totals(spark: SparkSession, folder: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Word totals over all documents so far, as Parquet that each batch writes anew; nothing gathers on the driver."""
+    """Word totals over all documents so far, as Parquet. Each batch writes a version of its own, in path/version=<batch>,
+    and then deletes those before the last: a write that fails leaves the versions that were there. `totals` reads the
+    newest whole one. Films that change and are taken out need `RunningAggregates`."""
     docs = spark.readStream.schema(DOCS).parquet(folder)
-    words = docs.select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
-    return words.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    words = text.token_rows(docs, "film_id", "text").groupBy("word").agg(F.count("*").alias("count"))
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/version={batch}")
+        for name in _versions(spark, path)[:-2]:
+            delete(spark, f"{path}/{name}")
+
+    return words.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Whole versions, the newest last."""
+    names = [n for n in listed(spark, path) if n.startswith("version=") and exists(spark, f"{path}/{n}/_SUCCESS")]
+    return sorted(names, key=lambda n: int(n.partition("=")[2]))
+
+
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """(word, count) as the last whole batch left them."""
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")

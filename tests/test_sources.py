@@ -2,11 +2,10 @@
 
 import gzip
 import json
-import zipfile
 
 from pyspark.sql import functions as F
 
-from dialex.operators.corpus import curated, word_counts
+from dialex.operators.corpus import curated, pick_certification, word_counts
 from dialex.sources import readers, writers
 from dialex.streaming import incremental
 
@@ -37,16 +36,6 @@ def test_lists(spark, tmp_path):
     assert [r.word for r in readers.ordered_words(spark, ["b", "a", "b"]).orderBy("place").collect()] == ["b", "a"]
 
 
-def test_zip_members(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "c.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        for i in range(5):
-            z.writestr(f"OpenSubtitles/raw/en/1999/{i}/1.xml", f"<document><s>line {i}</s></document>")
-        z.writestr("README", "no")
-    got = readers.subtitle_files(readers.zip_members(spark, str(tmp_path / "c.zip"), partitions=3))
-    assert sorted(r.film_id for r in got.collect()) == [f"tt000000{i}" for i in range(5)]
-    assert got.where(F.col("content").cast("string").contains("line 3")).count() == 1
-
-
 def test_dialogue(spark, tmp_path):
     sep = " +++$+++ "
     (tmp_path / "l.txt").write_bytes(sep.join(["L1", "u0", "m0", "BIANCA", "Caf\xe9 now."]).encode("latin-1") + b"\n")
@@ -96,4 +85,37 @@ def test_stream_counts_each_document_once(spark, tmp_path):
 def test_running_totals(spark, tmp_path):
     spark.createDataFrame([("a", "the cat the")], incremental.DOCS).write.parquet(str(tmp_path / "in"))
     incremental.running_totals(spark, str(tmp_path / "in"), str(tmp_path / "totals"), str(tmp_path / "cp")).awaitTermination(120)
-    assert {r.word: r["count"] for r in spark.read.parquet(str(tmp_path / "totals")).collect()} == {"the": 2, "cat": 1}
+    assert {r.word: r["count"] for r in incremental.totals(spark, str(tmp_path / "totals")).collect()} == {"the": 2, "cat": 1}
+    for i in range(3):
+        spark.createDataFrame([("b", "the dog")], incremental.DOCS).write.mode("append").parquet(str(tmp_path / "in"))
+        incremental.running_totals(spark, str(tmp_path / "in"), str(tmp_path / "totals"), str(tmp_path / "cp")).awaitTermination(120)
+        assert {r.word: r["count"] for r in incremental.totals(spark, str(tmp_path / "totals")).collect()} == {"the": 3 + i, "cat": 1, "dog": 1 + i}
+    (tmp_path / "totals" / "version=9").mkdir()  # a write that failed
+    assert incremental.totals(spark, str(tmp_path / "totals")).count() == 3
+
+
+def test_details_that_drift(spark, tmp_path):
+    lines = [
+        {"film_id": "a", "fetched_at": "2025", "detail": {"id": "5", "runtime": "90", "genres": {"name": "Drama"}, "overview": "old"}},
+        {"film_id": "a", "fetched_at": "2026", "detail": {"id": 5, "runtime": {"m": 90}, "genres": [{"name": "Drama"}, {"name": 7}], "overview": "new", "belongs_to_collection": "none", "credits": {"cast": "nobody"}}},
+        {"film_id": "b", "fetched_at": None, "detail": None}, {"film_id": None, "detail": {"id": 1}}, {"film_id": 9, "detail": {"runtime": "long", "adult": "true", "popularity": "1.5"}},
+    ]
+    (tmp_path / "d.json").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
+    landed = readers.landed_details(spark, str(tmp_path / "d.json"))
+    assert sorted((r.film_id, r.fetched_at) for r in landed.select("film_id", "fetched_at").collect() if r.fetched_at) == [("a", "2025"), ("a", "2026")]
+    got = {r.film_id: r.r for r in readers.latest(landed, "film_id", "fetched_at").select("film_id", readers.drifting_record(F.col("detail")).alias("r")).collect()}
+    assert set(got) == {"a", "9"}
+    assert (got["a"].tmdb_id, got["a"].runtime, got["a"].overview, got["a"].tmdb_genres, got["a"].collection_name, got["a"].cast) == (5, 0, "new", ["Drama", "7"], None, [])
+    assert (got["9"].runtime, got["9"].adult, got["9"].tmdb_popularity, got["9"].tmdb_genres) == (0, True, 1.5, [])
+
+
+def test_the_latest_row_of_a_key(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 1), ("a", 2, 3), ("b", None, 1), (None, 1, 1)], "k string, at int, n int")
+    assert sorted(map(tuple, readers.latest(df, "k", "at", "n").collect()), key=str) == sorted([("a", 2, 3), ("b", None, 1), (None, 1, 1)], key=str)
+
+
+def test_release_entries(spark, tmp_path):
+    lines = [{"film_id": "a", "us": [{"type": 1, "certification": "PG"}, {"type": 3, "release_date": "1999", "certification": "R"}]}, None, {"film_id": "b", "us": []}, {"film_id": "c"}]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, lines)))
+    got = readers.release_entries(spark, str(tmp_path / "r.json")).select("film_id", pick_certification(F.col("entries")).alias("c"))
+    assert sorted(map(tuple, got.collect())) == [("a", "r"), ("b", None), ("c", None)]
