@@ -75,7 +75,7 @@ class Corpus:
     def close(self) -> None:
         """Frees what is kept of this folder; the next use reads it again."""
         self._known.pop((self.spark.sparkContext.applicationId, self.sf_dir), None)
-        for name in ("counts", "all_films", "word_year", "entity_counts"):
+        for name in ("counts", "all_films", "dictionary", "word_year", "entity_counts"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -119,7 +119,7 @@ class Corpus:
 
     @cached_property
     def dictionary(self) -> DataFrame:
-        return ops.dictionary(self.words)
+        return ops.dictionary(self.words).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def word_year(self) -> DataFrame:

@@ -34,7 +34,7 @@ def rows(df):
 
 def test_compare_equals_a_comparison_of_all_entities(c, engine):
     film = str(c.films.orderBy(F.desc("total_words")).first().film_id)
-    for keys in (["d:1980", "g:src4"], ["d:1950", film], [film, "d:2010", "d:1980", "d:1990"], ["d:1700", film]):
+    for keys in ([film, "d:2010", "g:src4", "d:1990"], ["d:1700", film]):
         top, figures = signatures.top_words(c.words, c.films), signatures.signature_figures(c.words, c.films, c.profanity)
         name = F.concat(F.substring("kind", 1, 1), F.lit(":"), "key")
         asked = keys[:3]
