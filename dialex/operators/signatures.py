@@ -101,12 +101,16 @@ def head_to_head(entities: DataFrame, totals: DataFrame, min_count: int = 30, mi
     that list's smallest entry.
     """
     rated = entities.join(totals, "key").withColumn("rate", F.col("count") / F.greatest("total_words", F.lit(1)) * 1e6)
-    floors = totals.join(rated.groupBy("key").agg(F.min("rate").alias("floor")), "key", "left").select(F.col("key").alias("other"), F.coalesce("floor", F.lit(0.0)).alias("floor"))
-    mine = rated.where(F.col("count") >= min_count).select("key", "word", "rate")
-    # compared entities are a handful that a request names
-    against = mine.join(floors, F.col("key") != F.col("other")).join(rated.select(F.col("key").alias("other"), "word", F.col("rate").alias("theirs")), ["other", "word"], "left")
-    ratio = F.min(F.col("rate") / F.greatest(F.coalesce("theirs", "floor"), F.lit(0.01)))
-    worst = against.groupBy("key", "word").agg(ratio.alias("worst")).where(F.col("worst") >= min_ratio).select("key", "word", F.round("worst", 1).alias("ratio"))
+    lowest = totals.select("key").join(rated.groupBy("key").agg(F.min("rate").alias("floor")), "key", "left")
+    # a map of the few entities that a request names, to all rows
+    floors = lowest.agg(F.map_from_entries(F.collect_list(F.struct("key", F.coalesce("floor", F.lit(0.0))))).alias("_floors"))
+    said = rated.groupBy("word").agg(F.collect_list(F.struct("key", "rate", "count")).alias("_said")).crossJoin(F.broadcast(floors))
+    theirs = lambda k: F.get(F.filter("_said", lambda s: s["key"] == k), F.lit(0))["rate"]
+    ratio = lambda x, k: x["rate"] / F.greatest(F.coalesce(theirs(k), F.element_at("_floors", k)), F.lit(0.01))
+    least = lambda x: F.array_min(F.transform(F.filter(F.map_keys("_floors"), lambda k: k != x["key"]), lambda k: ratio(x, k)))
+    often = F.filter("_said", lambda s: s["count"] >= min_count)
+    worst = said.select("word", F.inline(F.transform(often, lambda x: F.struct(x["key"].alias("key"), least(x).alias("worst")))))
+    worst = worst.where(F.col("worst") >= min_ratio).select("key", "word", F.round("worst", 1).alias("ratio"))
     return worst.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ratio"), "word"))).where(F.col("_r") <= top).drop("_r")
 
 
