@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialex.sources.scratch import scratch
+
 # Parts of speech in order, and the endings that each may have lost or changed.
 POS = ("n", "v", "a", "r")
 ENDINGS: dict[str, tuple[tuple[str, str], ...]] = {
@@ -73,7 +75,9 @@ def dominant_pos(words: DataFrame, senses: DataFrame, exceptions: DataFrame, dis
     lexicon has, but for common words, which are x; so are words that the lexicon lacks, and those of `discourse`,
     which lexicons take for something else.
     """
-    forms = base_forms(words, senses, exceptions, rounds)
+    path = scratch(words.sparkSession, "forms")  # they are needed twice, and took several joins
+    base_forms(words, senses, exceptions, rounds).write.parquet(path)
+    forms = words.sparkSession.read.parquet(path)
     place = Window.partitionBy("word", "pos").orderBy("place", "form")
     base = forms.withColumn("_r", F.row_number().over(place)).where("_r = 1").select("word", "pos", F.col("form").alias("base"))
     index = senses.select(F.lower("lemma").alias("form"), _folded("pos").alias("pos"), "synset").distinct()

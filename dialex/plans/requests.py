@@ -226,7 +226,12 @@ def dominant_pos(c: Corpus) -> DataFrame:
     senses = senses.withColumn("synset", F.concat("pos", F.lit(":"), F.substring("lemma", 1, 4)))
     odd = known.where("films % 5 = 0").select(F.concat(w, F.lit("er")).alias("form"), F.lit("s").alias("pos"), w.alias("lemma"))
     odd = odd.unionByName(known.where("films % 3 = 0").select(F.concat(w, F.lit("ed")).alias("form"), F.lit("v").alias("pos"), F.substr(w, F.lit(1), n - 1).alias("lemma")))
-    return lexicon.dominant_pos(asked, senses, odd, _DISCOURSE, rounds=2)
+    landed = []
+    for name, table in (("asked", asked), ("senses", senses), ("exceptions", odd)):
+        path = scratch(c.spark, name)
+        table.write.parquet(path)
+        landed.append(c.spark.read.parquet(path))
+    return lexicon.dominant_pos(*landed, _DISCOURSE, rounds=2)
 
 
 def _split_sql(word: str, endings: tuple[str, ...] = ("n't", "'s", "'re", "'ll", "'m", "'ve", "'d")) -> str:
