@@ -9,8 +9,9 @@ Which pairs meet at all: fingerprints that agree in two of a few more blocks tha
 can be lost. Groups that meet are sorted by their distance to the first pivot, so that a fingerprint is compared within
 a band. Of each group's links only a spanning forest is passed on.
 
-The pipeline's near-dedup links texts by the Jaccard similarity of their shingle sets instead. Its candidates share
-blocks of the sets themselves, again so that no link can be lost, whatever the number of texts.
+The pipeline's near-dedup links texts by the Jaccard similarity of their shingle sets. Its candidates are what the pivots
+leave of the fingerprints and, as sets that are similar may have fingerprints further apart, sets that share blocks of
+the sets themselves, again so that no link can be lost, whatever the number of texts.
 """
 
 from __future__ import annotations
@@ -85,14 +86,14 @@ def remix(h: np.ndarray) -> np.ndarray:
 def _fingerprints(batches: Iterator[pa.RecordBatch], n: int, lanes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for t in batch.column(1).to_pylist():
+        for t in batch.column(batch.num_columns - 1).to_pylist():
             h = shingle_hashes(words_of(t), n)
             row = []
             for _ in range(lanes):
                 row.append(majority(h) - (1 << 63) ^ -(1 << 63))
                 h = remix(h)
             out.append(row)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,18 +402,24 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, t
     the text, component_id the smallest id of the group.
 
     Texts link if the sets of their `words`-word shingles have a Jaccard similarity of `least` or more. Candidates are
-    sets that share enough of their `set_keys`, as every pair that links does. Candidates' components are then compared
-    exactly, tile by tile. Equal texts are one node, which has a number of its own: rows that share an id but not the
+    texts whose fingerprints the pivots leave within BLOCKS - 2 bits, and sets that share enough of their `set_keys`, as
+    every pair that links does, however far apart its fingerprints. Candidates' components are then compared exactly,
+    tile by tile. Equal texts are one node, which has a number of its own: rows that share an id but not the
     text are told apart. Of a group the text that the smallest id holds is kept, where that id holds it (of several, the
     one with the smallest MD5); rows that agree in id and text are kept or not alike. Rows without an id are left out.
     """
     bound_arrow(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("same"))
-    copies = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("same"), "text")
+    prints = rows.mapInArrow(partial(_fingerprints, n=words, lanes=1), "doc_id long, same string, fp array<long>")
+    copies = prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"))
     copies = materialise(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
+    nodes = materialise(copies.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp"), "nodes")
+    equal = copies.select("fp", F.col("node").alias("a")).join(nodes.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
     firsts = rows.join(copies.select(F.col("first").alias("doc_id"), "same", "node"), ["doc_id", "same"]).select("node", "text")
-    comps = connected_components(materialise(candidates(firsts, words, least), "pairs"))
-    members = firsts.join(comps, "node").select("component", "node", "text")
+    met = near_pairs(nodes, BLOCKS - 2, 1).unionAll(equal).unionAll(candidates(firsts, words, least))
+    comps = connected_components(materialise(met, "pairs"))
+    inside = materialise(copies.join(comps, "node").select(F.col("first").alias("doc_id"), "same", "component", "node"), "inside")
+    members = rows.join(inside, ["doc_id", "same"]).select("component", "node", "text")
     sets = members.mapInArrow(partial(_shingle_sets, n=words), "component long, node long, shingles binary")
     dealt = tiles(materialise(sets, "sets"), "component", tile_rows).select("component", "tile_i", "tile_j", "node", "shingles")
     met = dealt.repartition("component", "tile_i", "tile_j").sortWithinPartitions("component", "tile_i", "tile_j")

@@ -1,11 +1,14 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
 from dialex.llm import simhash as S
+from dialex.llm.common import materialise
 from dialex.llm.components import Forest
 
 
@@ -121,3 +124,24 @@ def test_short_near_duplicates(spark):
         needs = [min(x, y) for k, x in a for q, y in b if k == q]
         found += any(needs.count(x) >= x for x in needs)
     assert found == 3000
+
+
+def test_near_dedup_meets_by_pivots_too_and_drops_its_shuffles(spark, monkeypatch):
+    """Texts whose fingerprints are within the radius are candidates by the pivots alone; what is written is left without
+    shuffle files, and the session's settings are as before."""
+    say = " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(1, say), (2, say + " x"), (3, "quite another text of a few words only")], "doc_id long, text string")
+    monkeypatch.setattr(S, "candidates", lambda texts, words, least: texts.selectExpr("node AS a", "node AS b").limit(0))
+    assert {r.doc_id: r.component_id for r in S.near_duplicate_groups(df).collect()} == {1: 1, 2: 1}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    left = lambda: {f.name for d in dirs for f in Path(d).glob("*/shuffle_*")}
+    had = left()
+    materialise(spark.range(10_000).repartition(3).groupBy("id").count().repartition(2, "count"), "shuffled")
+    for _ in range(50):
+        if left() <= had:
+            break
+        time.sleep(0.1)
+    assert left() <= had and spark.conf.get(key, None) == before
