@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialex.llm.arrow_groups import runs
-from dialex.llm.common import bound_arrow, new_path, partitions, table
+from dialex.llm.common import bound_arrow, materialise, new_path, partitions, shuffles_dropped, table
 
 LENGTH, GRAM = 50, 20
 BATCH_BYTES = 4 << 20
@@ -368,16 +368,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = rows.mapInArrow(partial(_pack, most=BATCH_BYTES), "batch long, ids binary, known binary, sizes binary, text binary")
     name = f"dialex_packed_{uuid.uuid4().hex}"
-    packed.write.bucketBy(buckets, "batch").option("path", new_path(spark, "packed")).option("compression", "zstd").saveAsTable(name)
+    with shuffles_dropped(spark):
+        packed.write.bucketBy(buckets, "batch").option("path", new_path(spark, "packed")).option("compression", "zstd").saveAsTable(name)
     packed = spark.table(name)
     anchors = packed.mapInArrow(partial(_anchors, length=length, buckets=buckets), "bucket int, batch long, anchors binary")
     met = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
     shared = met.mapInArrow(_shared, "batch long, shared binary").groupBy("batch").agg(F.collect_list("shared").alias("shared"))
+    shared = materialise(shared, "shared")
     schema = "bucket int, batch long, anchors binary, docs binary, starts binary, which binary, counts binary, texts binary, n_text long"
     spread = packed.join(shared, "batch").mapInArrow(partial(_runs_of, length=length, buckets=buckets), schema)
     met = spread.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
     cover = met.mapInArrow(partial(_cover, length=length), "batch long, starts binary, lengths binary")
     cover = cover.groupBy("batch").agg(F.collect_list("starts").alias("starts"), F.collect_list("lengths").alias("lengths"))
+    cover = materialise(cover, "cover")  # runs are the most that is shuffled: they go before the texts are cut
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return packed.join(cover, "batch", "left").mapInArrow(partial(_apply, keep_text=keep_text), out)
 
