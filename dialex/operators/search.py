@@ -75,9 +75,12 @@ class TrigramIndex:
         asked = patterns.where("pattern IS NOT NULL").select("pattern", normalised(F.col("pattern")).alias("q")).distinct()
         long, few = asked.where(F.length("q") >= GRAM), asked.where(F.length("q") < GRAM)
         parts = long.select("q", F.explode(grams(F.col("q"))).alias("gram")).distinct()
-        sizes = parts.groupBy("q").agg(F.count("*").alias("size"))
-        held = parts.join(self.spark.read.parquet(f"{self.path}/postings"), "gram").groupBy("q", "id").agg(F.count("*").alias("n"))
-        near = held.join(sizes, "q").where(F.col("n") == F.col("size")).select("q", "id")
+        postings = self.spark.read.parquet(f"{self.path}/postings")
+        sizes = postings.groupBy("gram").agg(F.count("*").alias("size"))
+        # a pattern's rarest gram alone decides which texts are looked at; a pattern with a gram that no text has is in none
+        rated = parts.join(sizes, "gram", "left")
+        rarest = rated.groupBy("q").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "gram")).alias("r")).where("r.size > 0")
+        near = rarest.select("q", F.col("r.gram").alias("gram")).join(postings, "gram").select("q", "id")
         found = near.join(self._texts(), "id").where(F.col("norm").contains(F.col("q")))
         rest = self._texts().join(F.broadcast(few.select("q").distinct()), F.col("norm").contains(F.col("q")))
         every = found.select("q", "id", "text").unionByName(rest.select("q", "id", "text"))

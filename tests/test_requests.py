@@ -100,3 +100,14 @@ def test_functions_push_their_arguments_into_the_scans(spark, c, tmp_path):
     assert "EqualTo(film_id,9)" in plan
     assert spark.sql("SELECT count(*) AS n FROM leaderboard()").first().n == c.dictionary.count()
     assert spark.sql("SELECT count(*) AS n FROM film(-1)").first().n == 0 and spark.sql("SELECT sum(count) AS n FROM trend('nothing')").first().n == 0
+
+
+def test_many_patterns_meet_texts_by_their_rarest_trigram(spark, tmp_path):
+    """Texts aren't counted for each pattern and text; a pattern with a trigram that no text has is in none."""
+    import re
+
+    index = TrigramIndex(spark, str(tmp_path / "rarest"))
+    index.build(spark.createDataFrame([(i, f"common{i:03d}") for i in range(50)] + [(50, "commoner")], "id long, text string"))
+    found = index.find_all(spark.createDataFrame([("moner",), ("mon04",), ("monzz",), ("erc",)], "pattern string"))
+    assert not re.search(r"hashpartitioning\(q#\d+, id#", found._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.pattern, r.id) for r in found.collect()) == [("mon04", i) for i in range(40, 50)] + [("moner", 50)]
