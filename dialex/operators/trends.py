@@ -33,10 +33,9 @@ def top_film_by_year(words: DataFrame, films: DataFrame) -> DataFrame:
 def trend_files(word_year: DataFrame, words: DataFrame, films: DataFrame, top: int = 15) -> DataFrame:
     """A row a word: its line, its top films and the top film of each year, as sorted arrays of structs."""
     rows = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
-    kept = charted(words, word_year)
     line = word_year.groupBy("word").agg(rows("year", "count").alias("line"))
-    best = top_films(kept, films, top).groupBy("word").agg(rows("rank", "film_id", "title", "year", "count", "total_words").alias("top"))
-    yearly = top_film_by_year(kept, films).groupBy("word").agg(rows("year", "film_id", "title", "count").alias("by_year"))
+    best = top_films(words, films, top).groupBy("word").agg(rows("rank", "film_id", "title", "year", "count", "total_words").alias("top"))
+    yearly = top_film_by_year(words, films).groupBy("word").agg(rows("year", "film_id", "title", "count").alias("by_year"))
     return line.join(best, "word", "left").join(yearly, "word", "left")
 
 
