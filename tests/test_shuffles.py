@@ -35,7 +35,9 @@ def test_texts_are_dealt_by_film_and_counts_are_not(spark, sf_dir, tmp_path, shu
     c = corpus(spark, sf_dir, tmp_path)
     assert {keys.split(",")[0] for keys in exchanges(c.counts)} == {"film_id"}
     assert not any("word" in keys for keys in exchanges(c.counts))
-    outside = c.words._jdf.queryExecution().executedPlan().toString()
+    words = c.words
+    assert words.collect()
+    outside = words._jdf.queryExecution().executedPlan().toString()  # the final one, which knows how the counts lie
     assert "Join" in outside and "Exchange" not in outside.split("InMemoryRelation")[0]
     c.all_films.unpersist()
     c.counts.unpersist()
