@@ -46,12 +46,12 @@ def trend_line_languages(c: Corpus) -> DataFrame:
 
 @query("trend_top15", "SELECT word, row_number() OVER (PARTITION BY word ORDER BY count DESC, title, film_id)::INT AS rank, film_id, title, year, count, total_words FROM words JOIN films USING (film_id) WHERE word IN (SELECT word FROM word_year) QUALIFY rank <= 15")
 def trend_top15(c: Corpus) -> DataFrame:
-    return trends.top_films(trends.charted(c.words, c.word_year), c.films)
+    return trends.charted(trends.top_films(c.words, c.films), c.word_year)  # ranked first: few rows are left to be joined
 
 
 @query("trend_by_year", "SELECT word, year, film_id, title, count FROM words JOIN films USING (film_id) WHERE word IN (SELECT word FROM word_year) QUALIFY row_number() OVER (PARTITION BY word, year ORDER BY count DESC, title, film_id) = 1")
 def trend_by_year(c: Corpus) -> DataFrame:
-    return trends.top_film_by_year(trends.charted(c.words, c.word_year), c.films)
+    return trends.charted(trends.top_film_by_year(c.words, c.films), c.word_year)
 
 
 @query("trend_files", "SELECT word, count(*)::INT AS years, sum(count)::BIGINT AS said FROM word_year GROUP BY word")

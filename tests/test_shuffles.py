@@ -1,12 +1,14 @@
 """What is shuffled: texts once by film, and no counts again where films are joined or words ranked."""
 
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from dialex.functions import text
 from dialex.operators import trends
+from dialex.plans import series
 from dialex.plans.corpus import Corpus
 
 
@@ -57,3 +59,14 @@ def test_texts_are_split_once(spark):
     rows = text.token_rows(df, "film_id", "text")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert sorted(map(tuple, rows.groupBy("film_id").agg(F.sort_array(F.collect_list("word"))).collect())) == [(1, ["ab", "c'd"]), (2, ["ce", "i"])]
+
+
+@pytest.mark.parametrize("query", [series.trend_by_year, series.trend_top15])
+def test_lists_are_ranked_before_they_meet_the_charted_words(spark, query):
+    films = spark.createDataFrame([(1, "A", 1990, 30), (2, "B", 1990, 30)], "film_id long, title string, year int, total_words long")
+    words = spark.createDataFrame([(1, "w", 25), (2, "w", 24), (2, "rare", 5)], "film_id long, word string, count long")
+    lines = spark.createDataFrame([("w", 1990, 49)], "word string, year int, count long")
+    rows = query(SimpleNamespace(words=words, films=films, word_year=lines))
+    assert {r.word for r in rows.collect()} == {"w"}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Window ")  # the join lies above the ranking
