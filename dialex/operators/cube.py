@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialex.functions.predicates import in_languages
+from dialex.functions.predicates import decade, in_languages
 from dialex.operators import signatures
 from dialex.operators.slices import RATED_SINCE
 
@@ -21,35 +21,42 @@ ALL = "all"
 
 
 def members(films: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
-    """(kind, key, lang, rating, film_id): the entities of every film, with its language, and its rating where it has one
-    and is of a year with ratings. nc17 counts as r."""
+    """(film_id, lang, rating, entities): of every film its language, its rating where it has one and is of a year with
+    ratings, and an array of the (kind, key) it belongs to. nc17 counts as r; a genre listed twice counts once."""
     rating = F.lit(None).cast("string")
     rated = films
     if ratings is not None:
         rated = films.join(ratings.select("film_id", F.col("rating").alias("_rating")), "film_id", "left")
         rating = F.when(F.col("year") >= RATED_SINCE, F.when(F.col("_rating") == "nc17", "r").otherwise(F.col("_rating")))
-    own = rated.select("film_id", "lang", rating.alias("rating"))
-    years = films.where("year IS NOT NULL").select(F.lit("years").alias("kind"), F.col("year").cast("string").alias("key"), "film_id")
-    whole = films.select(F.lit(ALL).alias("kind"), F.lit("").alias("key"), "film_id")
-    return signatures.memberships(films).unionByName(years).unionByName(whole).join(own, "film_id")
+    entity = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    genres = F.transform(F.coalesce(F.array_distinct("genres"), F.array().cast("array<string>")), lambda g: entity("genres", g))
+    own = F.concat(F.array(entity("decades", decade(F.col("year"))), entity("years", F.col("year")), entity(ALL, F.lit(""))), genres)
+    return rated.select("film_id", "lang", rating.alias("rating"), F.filter(own, lambda e: e["key"].isNotNull()).alias("entities"))
 
 
 def cube(words: DataFrame, films: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
     """(kind, key, lang, rating, word, count, films), for every word and, where word is null, for the entity as a whole:
-    all words of its films, and how many films it has, those that say nothing included."""
+    all words of its films, and how many films it has, those that say nothing included.
+
+    Words are dealt by word before they are repeated for their film's entities, and summed where they lie: what is
+    shuffled is a row a film and word, whatever the number of entities, and no word has more rows than there are films.
+    The number of partitions is stated, as rows become several times as many after it."""
     entity = ["kind", "key", "lang", "rating"]
     belongs = members(films, ratings)
     totals = words.groupBy("film_id").agg(F.sum("count").alias("count"))
-    said = belongs.join(words, "film_id").select(*entity, "word", "count")
-    whole = belongs.join(totals, "film_id", "left").select(*entity, F.lit(None).cast("string").alias("word"), F.coalesce("count", F.lit(0)).alias("count"))
-    return said.unionByName(whole).groupBy(*entity, "word").agg(F.sum("count").alias("count"), F.count("*").alias("films"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    said = words.join(belongs, "film_id").select("word", "count", "lang", "rating", "entities").repartition(n, "word")
+    whole = belongs.join(totals, "film_id", "left").select(F.lit(None).cast("string").alias("word"), F.coalesce("count", F.lit(0)).alias("count"), "lang", "rating", "entities")
+    summed = lambda rows: rows.select("lang", "rating", "word", "count", F.inline("entities")).groupBy(*entity, "word").agg(F.sum("count").alias("count"), F.count("*").alias("films"))
+    return summed(said).unionByName(summed(whole))
 
 
 def write(table: DataFrame, path: str) -> None:
-    """The cube in ranges of entity and word, so that a request for a kind or an entity reads a part of it."""
-    from dialex.sources.writers import sorted_table
+    """The cube in files sorted by entity and word, so that a request for a kind or an entity reads a part of each. It
+    is not dealt anew: the rows of a word lie in one file."""
+    from dialex.sources.writers import sorted_files
 
-    sorted_table(table, path, "kind", "key", "word")
+    sorted_files(table, path, "kind", "key", "word")
 
 
 def scope(langs: Iterable[str] = (), rating: str | None = None) -> Column:

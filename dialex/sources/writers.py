@@ -19,7 +19,12 @@ def sorted_table(df: DataFrame, path: str, *keys: str, partitions: int | None =
     least and largest values let a read for a key skip nearly all others. Ranges of two keys also split a key that has a
     large share of the rows. Write the words once by film and once by word."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(n, *keys[:2]).sortWithinPartitions(*keys).write.mode(mode)
+    sorted_files(df.repartitionByRange(n, *keys[:2]), path, *keys, mode=mode, page_rows=page_rows, group_bytes=group_bytes)
+
+
+def sorted_files(df: DataFrame, path: str, *keys: str, mode: str = "overwrite", page_rows: int = PAGE_ROWS, group_bytes: int = 32 << 20) -> None:
+    """`sorted_table` of rows that stay in the partitions they lie in: each file is sorted by all keys."""
+    laid = df.sortWithinPartitions(*keys).write.mode(mode)
     laid.option("parquet.page.row.count.limit", page_rows).option("parquet.block.size", group_bytes).parquet(path)
 
 

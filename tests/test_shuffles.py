@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialex.functions import text
-from dialex.operators import trends
+from dialex.operators import cube, trends
 from dialex.plans import series
 from dialex.plans.corpus import Corpus
 
@@ -70,3 +70,15 @@ def test_lists_are_ranked_before_they_meet_the_charted_words(spark, query):
     assert {r.word for r in rows.collect()} == {"w"}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") < plan.index("Window ")  # the join lies above the ranking
+
+
+def test_cube_deals_words_before_they_are_repeated(spark, shuffled_joins):
+    films = spark.createDataFrame([(1, 1999, "en", ["x", "y", "x"]), (2, 1990, "en", ["y"]), (3, None, "fr", None)], "film_id long, year int, lang string, genres array<string>")
+    words = spark.createDataFrame([(1, "w", 3), (2, "w", 4), (2, "v", 1), (3, "w", 5)], "film_id long, word string, count long")
+    table = cube.cube(words, films)
+    got = {(r.kind, r.key, r.lang, r.word): (r["count"], r.films) for r in table.collect()}
+    assert {k[:3]: v for k, v in got.items() if k[3] == "w"} == {
+        ("all", "", "en"): (7, 2), ("all", "", "fr"): (5, 1), ("decades", "1990", "en"): (7, 2), ("years", "1999", "en"): (3, 1), ("years", "1990", "en"): (4, 1), ("genres", "x", "en"): (3, 1), ("genres", "y", "en"): (7, 2),
+    }
+    assert got["genres", "y", "en", None] == (8, 2) and got["all", "", "fr", None] == (5, 1)
+    assert [keys for keys in exchanges(table) if re.search(r"\bword\b", keys)][0].split(",")[0] == "word"
