@@ -28,10 +28,13 @@ def sorted_files(df: DataFrame, path: str, *keys: str, mode: str = "overwrite",
     laid.option("parquet.page.row.count.limit", page_rows).option("parquet.block.size", group_bytes).parquet(path)
 
 
-def words_tables(words: DataFrame, path: str) -> None:
-    """The words in both orders: by film, most said first, and by word."""
-    sorted_table(words.withColumn("_o", -F.col("count")), f"{path}/words_by_movie", "film_id", "_o", "word")
-    sorted_table(words, f"{path}/words_by_word", "word", "film_id")
+def words_tables(words: DataFrame, path: str, beside: DataFrame | None = None) -> None:
+    """The words in both orders: by film, most said first, and by word. The words of a film lie in one file; words that
+    are dealt by film already, as those of a corpus, aren't shuffled for that. `beside` holds (film_id, ...), a row a
+    film, and goes with the words in the second order."""
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_files(words.withColumn("_o", -F.col("count")).repartition(n, "film_id"), f"{path}/words_by_movie", "film_id", "_o", "word")
+    sorted_table(words if beside is None else words.join(beside, "film_id", "left"), f"{path}/words_by_word", "word", "film_id")
 
 
 def documents(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -53,13 +53,16 @@ SELECT said.word, said.count, said.films, coalesce(m.pos, 'x') FROM said LEFT JO
 
 
 def write(films: DataFrame, words: DataFrame, meta: DataFrame, path: str, floor: int = 20) -> None:
-    """Writes the tables that `publish` reads: the words in two orders, the others sorted by their keys."""
+    """Writes the tables that `publish` reads: the words in two orders, the others sorted by their keys. Words in their
+    own order have their film's years beside them, and what is summed by word starts from there: few rows of a word are
+    left in each file, and only those are shuffled."""
     writers.sorted_table(films, f"{path}/movies", "film_id")
-    writers.words_tables(words, path)
-    lines = corpus.word_year(words, films, floor)
+    writers.words_tables(words, path, films.groupBy("film_id").agg(F.collect_list(F.struct("year")).alias("_years")))
+    lain = words.sparkSession.read.parquet(f"{path}/words_by_word")
+    lines = corpus.year_lines(lain.select("word", "count", F.inline("_years")), floor)
     writers.sorted_table(lines, f"{path}/word_year", "word", "year")
     writers.sorted_table(meta, f"{path}/word_meta", "word")
-    writers.sorted_table(words.groupBy("word").agg(F.sum("count").alias("count"), F.count("*").alias("films")), f"{path}/dictionary", "word")
+    writers.sorted_table(lain.groupBy("word").agg(F.sum("count").alias("count"), F.count("*").alias("films")), f"{path}/dictionary", "word")
     said = words.join(films.select("film_id", "year"), "film_id").where("year IS NOT NULL")
     said.groupBy("year").agg(F.sum("count").alias("total"), F.count_distinct("film_id").alias("films")).coalesce(1).write.mode("overwrite").parquet(f"{path}/year_totals")
 
@@ -68,7 +71,7 @@ def publish(spark: SparkSession, path: str) -> None:
     """Makes the tables of a folder views of the session, and the requests functions of it. A later call with another
     folder takes their place."""
     for name in VIEWS:
-        spark.read.parquet(f"{path}/{name}").createOrReplaceTempView(name)
+        spark.read.parquet(f"{path}/{name}").drop("_years").createOrReplaceTempView(name)
     kind = spark.table("movies").schema["film_id"].dataType.simpleString()
     for body in FUNCTIONS.values():
         spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION " + body.format(id=kind, prior=PRIOR))

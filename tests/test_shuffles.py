@@ -10,6 +10,7 @@ from dialex.functions import text
 from dialex.operators import cube, trends
 from dialex.plans import series
 from dialex.plans.corpus import Corpus
+from dialex.sources import writers
 
 
 @pytest.fixture
@@ -82,3 +83,14 @@ def test_cube_deals_words_before_they_are_repeated(spark, shuffled_joins):
     }
     assert got["genres", "y", "en", None] == (8, 2) and got["all", "", "fr", None] == (5, 1)
     assert [keys for keys in exchanges(table) if re.search(r"\bword\b", keys)][0].split(",")[0] == "word"
+
+
+def test_words_by_film_stay_where_they_are_counted(spark, sf_dir, tmp_path, shuffled_joins, monkeypatch):
+    c, laid = corpus(spark, sf_dir, tmp_path), []
+    monkeypatch.setattr(writers, "sorted_files", lambda df, path, *keys, **options: laid.append(df))
+    writers.words_tables(c.words, str(tmp_path / "words"))
+    assert laid[0].count() == laid[1].count() > 0
+    laid[0].collect()
+    assert "Exchange" not in laid[0]._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    c.all_films.unpersist()
+    c.counts.unpersist()
