@@ -20,13 +20,15 @@ def tagged(rows: DataFrame, meta: DataFrame) -> DataFrame:
     return rows.join(meta.select("word", *NO_META), "word", "left").fillna(NO_META)
 
 
-def film_page(words: DataFrame, corpus: DataFrame, meta: DataFrame, stopwords: Iterable[str], top: int = 200, top_all: int = 50, distinctive: int = 50, min_count: int = 3) -> DataFrame:
-    """(film_id, list, rank, word, count, z, zipf, classes, pos): the lists of a film's page. All films are done in one
-    pass, dealt out by film once: the words most said without stopwords (top) and with them (top_all), and the most
-    distinctive of those said `min_count` times or more."""
+def film_lists(words: DataFrame, corpus: DataFrame, stopwords: Iterable[str], top: int = 200, top_all: int = 50, distinctive: int = 50, min_count: int = 3) -> DataFrame:
+    """(film_id, list, rank, word, count, z): the lists of a film's page. All films are done in one pass, dealt out by
+    film once: the words most said without stopwords (top) and with them (top_all), and the most distinctive of those
+    said `min_count` times or more. Only these meet the corpus; rarer ones have no score and aren't shuffled by word."""
     film = Window.partitionBy("film_id")
     n_all = F.broadcast(corpus.agg(F.sum("count").alias("_n_all")))
-    said = words.join(corpus.select("word", F.col("count").alias("_y_all")), "word", "left").crossJoin(n_all)
+    met = words.where(F.col("count") >= min_count).join(corpus.select("word", F.col("count").alias("_y_all")), "word", "left")
+    rare = words.where(~F.coalesce(F.col("count") >= min_count, F.lit(False))).withColumn("_y_all", F.lit(None).cast("long"))
+    said = met.select("film_id", "word", "count", "_y_all").unionByName(rare.select("film_id", "word", "count", "_y_all")).crossJoin(n_all)
     said = said.withColumns({"_stop": F.col("word").isin(*stopwords), "_n": F.sum("count").over(film)})
     z = F.when(F.col("count") >= min_count, log_odds_z(F.col("count"), F.col("_n"), F.col("_y_all"), F.col("_n_all")))
     said = said.withColumn("_z", z)
@@ -39,7 +41,12 @@ def film_page(words: DataFrame, corpus: DataFrame, meta: DataFrame, stopwords: I
         entry("distinctive", "_odd", F.col("_z").isNotNull() & (F.col("_odd") <= distinctive), F.round("_z", 2)),
     )
     rows = ranked.select("film_id", "word", "count", F.inline(F.filter(lists, lambda x: x.isNotNull())))
-    return tagged(rows, meta).select("film_id", "list", "rank", "word", "count", "z", "zipf", "classes", "pos")
+    return rows.select("film_id", "list", "rank", "word", "count", "z")
+
+
+def film_page(words: DataFrame, corpus: DataFrame, meta: DataFrame, stopwords: Iterable[str], **sizes) -> DataFrame:
+    """(film_id, list, rank, word, count, z, zipf, classes, pos): `film_lists` with word metadata."""
+    return tagged(film_lists(words, corpus, stopwords, **sizes), meta).select("film_id", "list", "rank", "word", "count", "z", "zipf", "classes", "pos")
 
 
 def payloads(lists: DataFrame, films: DataFrame) -> DataFrame:

@@ -236,4 +236,4 @@ SELECT film_id::VARCHAR AS key, '{{"film_id":' || film_id || ',"title":"' || tit
 FROM films JOIN lists USING (film_id)""",
 )
 def film_payloads(c: Corpus) -> DataFrame:
-    return pages.payloads(pages.film_page(c.words, c.dictionary, c.meta, c.stopwords), c.films)
+    return pages.payloads(pages.film_lists(c.words, c.dictionary, c.stopwords), c.films)

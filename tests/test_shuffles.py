@@ -1,5 +1,6 @@
 """What is shuffled: texts once by film, and no counts again where films are joined or words ranked."""
 
+import json
 import re
 from types import SimpleNamespace
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dialex.functions import text
 from dialex.operators import cube, trends
-from dialex.plans import series
+from dialex.plans import entities, series
 from dialex.plans.corpus import Corpus
 from dialex.sources import writers
 
@@ -94,3 +95,15 @@ def test_words_by_film_stay_where_they_are_counted(spark, sf_dir, tmp_path, shuf
     assert "Exchange" not in laid[0]._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
     c.all_films.unpersist()
     c.counts.unpersist()
+
+
+def test_only_words_with_a_score_meet_the_corpus(spark):
+    films = spark.createDataFrame([(1, "A")], "film_id long, title string")
+    words = spark.createDataFrame([(1, "w", 25), (1, "v", 24), (1, "rare", 2)], "film_id long, word string, count long")
+    meta = spark.createDataFrame([("w", 1.0, "n", "n", 0.0)], "word string, zipf double, classes string, pos string, dist double")
+    made = entities.film_payloads(SimpleNamespace(words=words, dictionary=words.select("word", "count"), meta=meta, stopwords=("v",), films=films))
+    page = json.loads(made.first().payload)
+    assert [[(x["rank"], x["word"]) for x in page[k]] for k in ("top", "top_all")] == [[(1, "w"), (2, "rare")], [(1, "w"), (2, "v"), (3, "rare")]]
+    assert {x["word"] for x in page["distinctive"]} == {"w", "v"} and all("z" not in x for x in page["top"])
+    plan = re.sub(r"#\d+L?", "", made._jdf.queryExecution().optimizedPlan().toString())
+    assert plan.count("Join LeftOuter") == 1 and "(count >= 3)" in plan.split("Join LeftOuter")[1]
