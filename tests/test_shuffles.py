@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dialex.functions import text
 from dialex.operators import cube, trends
+from dialex.plans import corpus as plans
 from dialex.plans import entities, series
 from dialex.plans.corpus import Corpus
 from dialex.sources import writers
@@ -107,3 +108,19 @@ def test_only_words_with_a_score_meet_the_corpus(spark):
     assert {x["word"] for x in page["distinctive"]} == {"w", "v"} and all("z" not in x for x in page["top"])
     plan = re.sub(r"#\d+L?", "", made._jdf.queryExecution().optimizedPlan().toString())
     assert plan.count("Join LeftOuter") == 1 and "(count >= 3)" in plan.split("Join LeftOuter")[1]
+
+
+def test_partitions_grow_with_the_documents(spark, sf_dir, tmp_path, monkeypatch):
+    corpus(spark, sf_dir, tmp_path)
+    monkeypatch.setattr(plans, "SHARE", 16 << 10, raising=False)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(n, None) for n in names]
+    size = sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
+    try:
+        c = Corpus.of(spark, str(tmp_path))
+        assert c.counts.rdd.getNumPartitions() == int(spark.conf.get(names[0])) == -(-size // (16 << 10)) > 4
+        c.counts.unpersist()
+        c.close()
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
