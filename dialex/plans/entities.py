@@ -10,6 +10,7 @@ from dialex.operators import boards, corpus, pages, signatures, slices
 from dialex.plans.boards import STOP, SWEAR
 from dialex.plans.catalog import query
 from dialex.plans.corpus import Corpus
+from dialex.sources.scratch import written
 
 
 def z_sql(counts: str, key: str, corpus_sql: str, min_count: int, extra: str = "") -> str:
@@ -115,7 +116,7 @@ SELECT key, word, count, coalesce(nullif(round(z, 2), 0), 0)::DOUBLE AS z, row_n
 def merge_signatures(c: Corpus) -> DataFrame:
     def part(lang: str) -> DataFrame:
         counts, _ = signatures.entity_counts(c.words, c.films.where(F.col("lang") == lang))
-        return boards_top(counts.where("kind = 'decades'"))
+        return written(boards_top(counts.where("kind = 'decades'")), "top-lists")  # the merge reads each list four times
 
     return slices.merge_signatures([part("en"), part("fr")])
 

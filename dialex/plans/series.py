@@ -16,7 +16,7 @@ YL = ", yl AS (SELECT word, year, lang, sum(count)::BIGINT AS count, count(*)::B
 
 
 def by_language(c: Corpus) -> DataFrame:
-    return corpus.word_year(c.words, c.films, by=("lang",))
+    return c.word_year_lang
 
 
 @query("word_year", "SELECT * FROM word_year")

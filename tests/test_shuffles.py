@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialex.functions import text
-from dialex.operators import cube, trends
+from dialex.operators import audit, cube, trends
 from dialex.plans import corpus as plans
 from dialex.plans import entities, series
 from dialex.plans.corpus import Corpus
@@ -124,3 +124,18 @@ def test_partitions_grow_with_the_documents(spark, sf_dir, tmp_path, monkeypatch
     finally:
         for n, value in zip(names, before, strict=True):
             spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
+def test_pairs_come_from_one_ranking_of_words(spark):
+    words = spark.createDataFrame([(f, f"rare{i}", 9) for f in (1, 2, 3) for i in range(6)] + [(4, "own", 9)], "film_id long, word string, count long")
+    pairs = audit.suspect_pairs(words, 5, min_count=2)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2, 6), (1, 3, 6), (2, 3, 6)]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number") == 1
+
+
+def test_lists_that_are_merged_are_made_once(spark, sf_dir, tmp_path):
+    c = corpus(spark, sf_dir, tmp_path)
+    merged = entities.merge_signatures(c)
+    assert merged.count() and "InMemoryRelation" not in merged._jdf.queryExecution().optimizedPlan().toString()  # only the lists
+    assert series.merge_shifts(c).collect() and series.by_language(c).storageLevel.useMemory
+    c.close()
