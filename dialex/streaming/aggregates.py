@@ -50,10 +50,19 @@ class RunningAggregates:
         frames = [self.spark.read.schema(schema).parquet(p) for p in parts if exists(self.spark, p)]
         return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema)
 
-    def _said(self, docs: DataFrame) -> DataFrame:
-        """(film_id, year, word, count, films) of a batch's texts."""
-        words = text.token_rows(docs.withColumn("_key", F.struct("film_id", "year")), "_key", "text")
-        return words.groupBy(F.col("_key.film_id").alias("film_id"), F.col("_key.year").alias("year"), "word").agg(F.count("*").alias("count"), F.lit(1).cast("long").alias("films"))
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows dealt by bucket and film: what is grouped by both then stays where it is, and a task writes to few
+        folders. The number of partitions is stated, as texts become several times as many words after it."""
+        return rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "film_id")
+
+    def _change(self, texts: DataFrame, old: DataFrame) -> DataFrame:
+        """(bucket, film_id, year, word, count, films): what texts(film_id, year, text) say now, less what the same films
+        said. Texts are dealt, not their words; an old word goes with them, beside a text of one word."""
+        now = texts.select("film_id", "year", self._bucket().alias("bucket"), "text", F.lit(None).cast("string").alias("_old"), *[F.lit(n).cast("long").alias(c) for c, n in (("_new", 1), ("_count", 1), ("_films", 0))])
+        less = old.select("film_id", "year", "bucket", F.lit("old").alias("text"), F.col("word").alias("_old"), F.lit(0).cast("long").alias("_new"), (-F.col("count")).alias("_count"), (-F.col("films")).alias("_films"))
+        words = text.token_rows(self._dealt(now.unionByName(less)), ("film_id", "year", "bucket", "_old", "_new", "_count", "_films"), "text").withColumn("word", F.coalesce("_old", "word"))
+        change = words.groupBy("bucket", "film_id", "year", "word").agg(F.sum("_count").alias("count"), (F.max("_new") + F.sum("_films")).alias("films"))
+        return change.where("count <> 0 OR films <> 0")
 
     def films(self) -> DataFrame:
         """(film_id, year, word, count) as they stand."""
@@ -74,10 +83,8 @@ class RunningAggregates:
         ids = latest.select("film_id", self._bucket().alias("bucket"))
         touched = [r.bucket for r in ids.select("bucket").distinct().collect()]  # `buckets` numbers at most
         old = self._log("films", SAID + ", bucket int").where(F.col("bucket").isin(touched)).join(ids, ["film_id", "bucket"], "left_semi")
-        minus = old.select("film_id", "year", "word", (-F.col("count")).alias("count"), (-F.col("films")).alias("films"))
-        change = self._said(latest.where("text IS NOT NULL")).unionByName(minus).groupBy("film_id", "year", "word").agg(F.sum("count").alias("count"), F.sum("films").alias("films"))
-        change = change.where("count <> 0 OR films <> 0").withColumn("bucket", self._bucket())
-        change.repartitionByRange("bucket", "film_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/films/{folder}")
+        change = self._change(latest.where("text IS NOT NULL"), old)
+        change.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/films/{folder}")
         written = self.spark.read.schema(SAID + ", bucket int").parquet(f"{self.path}/films/{folder}")
         self._sum(written).write.mode("overwrite").parquet(f"{self.path}/sums/{folder}")
         self._list([*done["folders"], folder], [*done["batches"], batch])
@@ -101,9 +108,10 @@ class RunningAggregates:
         if len(done["folders"]) < 2:
             return
         folder = f"base-{max(done['batches'])}"
-        films = self.films().withColumns({"films": F.lit(1).cast("long"), "bucket": self._bucket()})
-        films.repartitionByRange("bucket", "film_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/films/{folder}")
-        self._sum(self._log("sums", SUMS)).repartitionByRange("word").sortWithinPartitions("word", "year").write.mode("overwrite").parquet(f"{self.path}/sums/{folder}")
+        rows = self._dealt(self._log("films", SAID + ", bucket int")).groupBy("bucket", "film_id", "year", "word").agg(F.sum("count").alias("count"), F.sum("films").alias("films"))
+        films = rows.where("films > 0").withColumn("films", F.lit(1).cast("long"))
+        films.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/films/{folder}")
+        self._sum(self._log("sums", SUMS).repartitionByRange("word")).sortWithinPartitions("word", "year").write.mode("overwrite").parquet(f"{self.path}/sums/{folder}")
         self._list([folder], done["batches"])
         for old in done["folders"]:
             for name in ("films", "sums"):
@@ -111,7 +119,7 @@ class RunningAggregates:
 
     def word_year(self, floor: int = 20) -> DataFrame:
         """(word, year, count, movie_count) of words said `floor` times or more in films with a year."""
-        rows = self._sum(self._log("sums", SUMS)).where("films > 0")
+        rows = self._sum(self._log("sums", SUMS).repartition("word")).where("films > 0")  # totals need no further shuffle
         total = F.sum("count").over(Window.partitionBy("word"))
         return rows.withColumn("_t", total).where(F.col("_t") >= floor).select("word", "year", "count", F.col("films").alias("movie_count"))
 

@@ -13,6 +13,7 @@ from dialex.plans import corpus as plans
 from dialex.plans import entities, series
 from dialex.plans.corpus import Corpus
 from dialex.sources import writers
+from dialex.streaming import aggregates
 
 
 @pytest.fixture
@@ -139,3 +140,12 @@ def test_lists_that_are_merged_are_made_once(spark, sf_dir, tmp_path):
     assert merged.count() and "InMemoryRelation" not in merged._jdf.queryExecution().optimizedPlan().toString()  # only the lists
     assert series.merge_shifts(c).collect() and series.by_language(c).storageLevel.useMemory
     c.close()
+
+
+def test_batches_deal_texts_and_not_their_words(spark, tmp_path, monkeypatch):
+    sums = aggregates.RunningAggregates(spark, str(tmp_path / "s"), 3)
+    texts = spark.createDataFrame([("a", 1990, "it's 'a' test, a Té'"), ("b", 1991, "a")], "film_id string, year int, text string")
+    old = spark.createDataFrame([("a", 1990, "test", 2, 1, 0), ("a", 1990, "''to", 3, 1, 0), ("b", 1991, "a", 1, 1, 1)], aggregates.SAID + ", bucket int").withColumn("bucket", sums._bucket())
+    change = sums._change(texts, old)
+    assert sorted((r.film_id, r.word, r["count"], r.films) for r in change.collect()) == [("a", "''to", -3, -1), ("a", "a", 2, 1), ("a", "it's", 1, 1), ("a", "te'", 1, 1), ("a", "test", -1, 0)]
+    assert "hashpartitioning" not in change._jdf.queryExecution().executedPlan().toString()
