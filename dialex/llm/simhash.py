@@ -16,6 +16,7 @@ the sets themselves, again so that no link can be lost, whatever the number of t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialex.llm.arrow_groups import runs
-from dialex.llm.common import bound_arrow, materialise, table
+from dialex.llm.common import bound_arrow, materialise, new_path, partitions, shuffles_dropped, table
 from dialex.llm.components import Forest, connected_components, tiles
 
 PIVOTS, SEED = 8, 7
@@ -397,7 +398,18 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile_rows: int = 256) -> DataFrame:
+def laid_by_text(docs: DataFrame, same: str = "same") -> DataFrame:
+    """docs with the MD5 of the text as column `same`, in a table bucketed by id and text: texts are shuffled once, and
+    joins on both columns leave them where they are."""
+    spark = docs.sparkSession
+    buckets, name = partitions(spark), f"dialex_laid_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(same, F.md5(F.coalesce("text", F.lit("")))).repartition(buckets, "doc_id", same)
+    with shuffles_dropped(spark):
+        keyed.write.bucketBy(buckets, "doc_id", same).option("path", new_path(spark, "laid")).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile_rows: int = 256, same: str | None = None) -> DataFrame:
     """(doc_id, same, component_id, kept) for rows of docs(doc_id, text) that have a near duplicate: same is the MD5 of
     the text, component_id the smallest id of the group.
 
@@ -407,9 +419,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, t
     tile by tile. Equal texts are one node, which has a number of its own: rows that share an id but not the
     text are told apart. Of a group the text that the smallest id holds is kept, where that id holds it (of several, the
     one with the smallest MD5); rows that agree in id and text are kept or not alike. Rows without an id are left out.
+    `same` is the MD5's column where docs come from `laid_by_text`; others are laid so first.
     """
     bound_arrow(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("same"), "text")
+    docs = docs if same else laid_by_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(same or "same").alias("same"), "text")
     prints = rows.mapInArrow(partial(_fingerprints, n=words, lanes=1), "doc_id long, same string, fp array<long>")
     copies = prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"))
     copies = materialise(copies.withColumn("node", F.monotonically_increasing_id()), "copies")

@@ -149,3 +149,12 @@ def test_batches_deal_texts_and_not_their_words(spark, tmp_path, monkeypatch):
     change = sums._change(texts, old)
     assert sorted((r.film_id, r.word, r["count"], r.films) for r in change.collect()) == [("a", "''to", -3, -1), ("a", "a", 2, 1), ("a", "it's", 1, 1), ("a", "te'", 1, 1), ("a", "test", -1, 0)]
     assert "hashpartitioning" not in change._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_dedup_leaves_texts_where_they_lie(spark, sf_dir, shuffled_joins):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert 0 < out.count() <= 60
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.split("(doc_id")[0].count("Exchange") <= 1
