@@ -49,6 +49,8 @@ TOGETHER = 16
 SHARED = 4
 #: Bits of a key below its sample's number.
 KEY_BITS = 40
+#: Rows of a block of a large component whose sketches are compared in a task, and words of sketches compared at once.
+SKETCHED, WORDS = 2048, 1 << 21
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -398,6 +400,86 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of a set of hashes, two to four bits an element: a bit says whether an odd number of elements falls on
+    it. Sketches of one length differ in no more bits than their sets in elements, and the halves of a sketch, one on
+    the other, are the sketch of half the length."""
+    width = max(64, 1 << (2 * len(h) - 1).bit_length())
+    odd = np.bincount((remix(h) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _nearest_forest(rows: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows the least that tie what they tie, the nearest ones."""
+    forest, found, nodes = Forest(rows), [], len(np.unique(np.concatenate([a, b])))
+    for k in np.argsort(far, kind="stable").tolist():
+        if forest.join(int(a[k]), int(b[k])):
+            found.append(k)
+            if len(found) == nodes - 1:
+                break
+    return a[found], b[found], far[found]
+
+
+def sketched_pairs(sizes: np.ndarray, sketches: list[np.ndarray], least: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, of the nearest pairs, of all pairs of sets whose sizes and sketches don't rule out a Jaccard
+    similarity of `least`; with `side`, of those from different sides only. No pair that links is ruled out."""
+    apart = (1 - least) / (1 + least)
+    order = np.argsort(sizes, kind="stable")
+    n, words = sizes[order], np.array([len(sketches[i]) for i in order])
+    met, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    for width in np.unique(words):
+        lo, hi = np.searchsorted(words, [width, width + 1])
+        upto = int(np.searchsorted(n, n[hi - 1] / least + 1e-6, "right"))  # of these widths or twice as wide
+        z = np.stack([np.bitwise_xor.reduce(sketches[i].reshape(-1, width), axis=0) for i in order[lo:upto]])
+        at = 0
+        while at < hi - lo:
+            z_end = int(np.searchsorted(n, n[lo + at] / least + 1e-6, "right")) - lo
+            step = max(1, min(hi - lo - at, WORDS // (int(width) * (z_end - at))))
+            z_end = int(np.searchsorted(n, n[lo + at + step - 1] / least + 1e-6, "right")) - lo
+            far = np.bitwise_count(z[at : at + step, None] ^ z[None, at:z_end]).sum(axis=2, dtype=np.int64)
+            total = n[lo + at : lo + at + step, None] + n[None, lo + at : lo + z_end]
+            ok = (far <= apart * total + 1e-6) & (np.arange(z_end - at)[None] > np.arange(step)[:, None])
+            if side is not None:
+                ok &= side[order[lo + at : lo + at + step], None] != side[order[lo + at : lo + z_end]][None]
+            i, j = np.nonzero(ok)
+            met.append((order[lo + at + i], order[lo + at + j], far[i, j] / np.maximum(total[i, j], 1)))
+            held, at = held + len(i), at + step
+            if held > PAIRS:
+                met = [_nearest_forest(len(n), *(np.concatenate(x) for x in zip(*met, strict=True)))]
+                held = len(met[0][0])
+    return _nearest_forest(len(n), *(np.concatenate(x) for x in zip(*met, strict=True)))[:2]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s, np.uint64) for s in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["component", "node", "n", "sketch"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for (_, i, j), t in runs(batches, 3):
+        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+        a, b = sketched_pairs(t.column("n").to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column("sketch").to_pylist()], least, side if i != j else None)
+        yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
+
+
+def split_large(sets: DataFrame, least: float, tile_rows: int) -> DataFrame:
+    """sets(component, node, shingles) with components of over `tile_rows` rows split into those of the pairs that their
+    sketches leave; rows without such a pair go. Candidates tie what shares a common passage into components that grow
+    faster than the texts, and each of their sets would be copied for every block of rows: sketches are a sixteenth as
+    large or less, and meet in far larger blocks."""
+    large = materialise(sets.groupBy("component").count().where(F.col("count") > tile_rows).select("component"), "large")
+    if large.isEmpty():
+        return sets
+    many = sets.join(F.broadcast(large), "component", "left_semi")
+    sketches = materialise(many.select("component", "node", "shingles").mapInArrow(_sketches, "component long, node long, n long, sketch binary"), "sketches")
+    dealt = tiles(sketches, "component", SKETCHED).select("component", "tile_i", "tile_j", "node", "side", "n", "sketch")
+    met = dealt.repartition("component", "tile_i", "tile_j").sortWithinPartitions("component", "tile_i", "tile_j")
+    finer = connected_components(materialise(met.mapInArrow(partial(_alike, least=least), "a long, b long"), "alike"))
+    left = materialise(many.select("node", "shingles").join(finer, "node").select("component", "node", "shingles"), "sets")
+    return sets.join(F.broadcast(large), "component", "left_anti").select("component", "node", "shingles").unionAll(left)
+
+
 def laid_by_text(docs: DataFrame, same: str = "same") -> DataFrame:
     """docs with the MD5 of the text as column `same`, in a table bucketed by id and text: texts are shuffled once, and
     joins on both columns leave them where they are."""
@@ -415,8 +497,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, t
 
     Texts link if the sets of their `words`-word shingles have a Jaccard similarity of `least` or more. Candidates are
     texts whose fingerprints the pivots leave within BLOCKS - 2 bits, and sets that share enough of their `set_keys`, as
-    every pair that links does, however far apart its fingerprints. Candidates' components are then compared exactly,
-    tile by tile. Equal texts are one node, which has a number of its own: rows that share an id but not the
+    every pair that links does, however far apart its fingerprints. Large components of candidates are split by sketches of
+    the sets, which lose no link, and components are then compared exactly, tile by tile. Equal texts are one node, which has a number of its own: rows that share an id but not the
     text are told apart. Of a group the text that the smallest id holds is kept, where that id holds it (of several, the
     one with the smallest MD5); rows that agree in id and text are kept or not alike. Rows without an id are left out.
     `same` is the MD5's column where docs come from `laid_by_text`; others are laid so first.
@@ -435,7 +517,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, least: float = 0.8, t
     inside = materialise(copies.join(comps, "node").select(F.col("first").alias("doc_id"), "same", "component", "node"), "inside")
     members = rows.join(inside, ["doc_id", "same"]).select("component", "node", "text")
     sets = members.mapInArrow(partial(_shingle_sets, n=words), "component long, node long, shingles binary")
-    dealt = tiles(materialise(sets, "sets"), "component", tile_rows).select("component", "tile_i", "tile_j", "node", "shingles")
+    sets = split_large(materialise(sets, "sets"), least, tile_rows)
+    dealt = tiles(sets, "component", tile_rows).select("component", "tile_i", "tile_j", "node", "shingles")
     met = dealt.repartition("component", "tile_i", "tile_j").sortWithinPartitions("component", "tile_i", "tile_j")
     linked = connected_components(materialise(met.mapInArrow(partial(_verify, least=least), "a long, b long"), "links"))
     known = copies.join(linked, "node", "left").where("component IS NOT NULL OR n > 1")

@@ -145,3 +145,39 @@ def test_near_dedup_meets_by_pivots_too_and_drops_its_shuffles(spark, monkeypatc
             break
         time.sleep(0.1)
     assert left() <= had and spark.conf.get(key, None) == before
+
+
+def test_large_components_of_candidates_are_split_before_sets_are_copied(spark, monkeypatch):
+    """Candidates that tie everything give one component; only sets whose sketches are alike are copied for its blocks,
+    and the groups are those of brute force."""
+    rng = random.Random(8)
+    say = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    texts = [say(rng.randint(3, 400)) for _ in range(60)]
+    for b in range(0, 40, 4):
+        for edits in (1, 3, 8):
+            w = list(texts[b])
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = "new"
+            texts.append(w)
+    docs = [*map(" ".join, texts), "", " "]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    sets = [np.unique(S.shingle_hashes(S.words_of(t), 5)) for t in docs]
+    roots = components([set(x.tolist()) for x in sets], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    for a, b in zip(sets, sets[1:], strict=False):
+        wide, narrow = sorted((S.sketch(a), S.sketch(b)), key=len, reverse=True)
+        wide = np.bitwise_xor.reduce(wide.reshape(-1, len(narrow)), axis=0)
+        assert np.bitwise_count(wide ^ narrow).sum() <= len(np.setxor1d(a, b))
+
+    monkeypatch.setattr(S, "candidates", lambda texts, words, least: texts.selectExpr("node AS a", "min(node) OVER () AS b"))
+    monkeypatch.setattr(S, "SKETCHED", 16, raising=False)
+    dealt, tiles = [], S.tiles
+
+    def counted(members, component, rows):
+        out = tiles(members, component, rows)
+        dealt.append((rows, out.count()))
+        return out
+
+    monkeypatch.setattr(S, "tiles", counted)
+    got = {r.doc_id: r.component_id for r in S.near_duplicate_groups(df, tile_rows=8).collect()}
+    assert [got.get(i, i) for i in range(len(docs))] == roots
+    assert sum(n for rows, n in dealt if rows == 8) <= len(docs)
