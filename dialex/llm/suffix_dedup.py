@@ -36,6 +36,11 @@ BATCH_BYTES = 4 << 20
 RUN = 64
 #: Runs whose strings are settled at once.
 AT_ONCE = 1 << 16
+#: Starts of a batch that are hashed at once; bytes of runs that are ranked at once, if they have several anchors; and
+#: strings of one anchor that are.
+PIECE, RANKED, STRINGS = 1 << 18, 2 << 20, 1 << 17
+#: Bytes of files to a range of anchors.
+SHARE = 10 << 20
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -70,19 +75,31 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - r], h[r:]) if r else h
 
 
-def _spots(sizes: np.ndarray, known: np.ndarray, text: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: each start's document (-1 where no whole string starts, or the id is null), whether its anchor
-    differs from that of the start before, and its anchor as bucket << 32 | 32 bits."""
-    if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
-    m = window_minima(gram_hashes(text, GRAM), length - GRAM + 1)
-    doc = np.repeat(np.arange(len(sizes)), sizes)[: len(m)]
-    ends = np.cumsum(sizes)
-    doc[(np.arange(len(m)) + length > ends[doc]) | ~known[doc]] = -1
-    fresh = np.ones(len(m), bool)
-    fresh[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
+def _spots(sizes: np.ndarray, known: np.ndarray, text: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch, its runs of starts in one document that have one anchor: first start, number of starts, document, and
+    anchor as bucket << 32 | 32 bits. Starts where no whole string starts, or whose id is null, are in no run. Only the
+    runs are kept of `PIECE` starts at a time, as a hash of every byte is many times the text."""
+    found, ends = [], np.cumsum(sizes)
+    upto = len(text) - length + 1
+    before = (-1, np.uint64(0))
+    for lo in range(0, max(upto, 0), PIECE):
+        hi = min(upto, lo + PIECE)
+        m = window_minima(gram_hashes(text[lo : hi + length - 1], GRAM), length - GRAM + 1)
+        at = np.arange(lo, hi)
+        some = np.arange(np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi - 1, "right") + 1)
+        doc = np.repeat(some, np.diff(np.minimum(ends[some], hi), prepend=lo))
+        doc[(at + length > ends[doc]) | ~known[doc]] = -1
+        fresh = np.r_[(doc[0], m[0]) != before, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])]
+        before = (doc[-1], m[-1])
+        found.append((at[fresh], doc[fresh], m[fresh]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    first, doc, m = (np.concatenate(x) for x in zip(*found, strict=True))
+    counts = np.diff(np.append(first, upto))
+    ok = doc >= 0
+    m = m[ok]
     anchor = ((m >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) << 32 | (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return doc, fresh, anchor
+    return first[ok], counts[ok], doc[ok], anchor
 
 
 def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -129,9 +146,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
     """(bucket, batch, anchors): a batch's anchors, those met in several of its documents twice."""
     for r in _rows(batches):
         _, known, sizes, text = _unpack(r)
-        doc, fresh, anchor = _spots(sizes, known, text, length, buckets)
-        at = np.flatnonzero(fresh & (doc >= 0))
-        k, d = anchor[at], doc[at]
+        _, _, d, k = _spots(sizes, known, text, length, buckets)
         order = np.lexsort((d, k))
         k, d = k[order], d[order]
         new = np.ones(len(k), bool)
@@ -191,20 +206,18 @@ def _runs_of(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
     names = ["bucket", "batch", "anchors", "docs", "starts", "which", "counts", "texts", "n_text"]
     for r in _rows(batches):
         ids, known, sizes, text = _unpack(r)
-        doc, fresh, anchor = _spots(sizes, known, text, length, buckets)
+        first, counts, doc, anchor = _spots(sizes, known, text, length, buckets)
         shared = np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in r["shared"]]))
-        first = np.flatnonzero(fresh)
-        here = np.searchsorted(shared, anchor[first])
-        ok = (shared[np.minimum(here, len(shared) - 1)] == anchor[first]) & (doc[first] >= 0)
-        ends = np.append(first[1:], len(doc))
-        starts, counts = first[ok], (ends - first)[ok]
+        here = np.searchsorted(shared, anchor)
+        ok = shared[np.minimum(here, len(shared) - 1)] == anchor
+        starts, counts, doc, anchor = first[ok], counts[ok], doc[ok], anchor[ok]
         pieces = -(-counts // RUN)  # long runs are cut
         owner = np.repeat(np.arange(len(starts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts, counts = starts[owner] + nth * RUN, np.minimum(RUN, counts[owner] - nth * RUN)
-        order = np.argsort(anchor[starts], kind="stable")
-        starts, counts = starts[order], counts[order]
-        keys, docs = anchor[starts], ids[doc[starts]]
+        order = np.argsort(anchor[owner], kind="stable")
+        starts, counts, owner = starts[order], counts[order], owner[order]
+        keys, docs = anchor[owner], ids[doc[owner]]
         span = counts + length - 1
         found = []
         for b, s in _split(keys):
@@ -267,65 +280,111 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     return out
 
 
+def _earliest(text: np.ndarray, first: np.ndarray, counts: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
+    """For all strings of the runs that start at `first` in text, one run after the other: the smallest of `low`, a number
+    of each run, among the runs that hold the string. Strings are ranked by prefix doubling, of a long text about STRINGS
+    at once: equal ones have one hash, which deals them."""
+    base = np.cumsum(counts) - counts
+    total = int(counts.sum())
+    hashed = np.zeros(total, np.uint32)
+    cuts = [0, *(np.flatnonzero(np.diff(base // STRINGS)) + 1).tolist(), len(counts)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if j > i:
+            lo, hi = int(first[i]), int(first[j - 1] + counts[j - 1] + length - 1)
+            at = np.arange(int(counts[i:j].sum())) + np.repeat(first[i:j] - lo - (base[i:j] - base[i]), counts[i:j])
+            hashed[base[i] : base[i] + len(at)] = gram_hashes(text[lo:hi], length)[at] >> np.uint64(32)
+    out = np.repeat(low, counts)
+    parts = -(-total // STRINGS) if len(text) > 2 * RANKED else 1
+    for p in range(parts):
+        some = np.arange(total) if parts == 1 else np.flatnonzero(hashed % np.uint32(parts) == p)
+        some = some[repeated(hashed[some])]  # a hash that no other string has says that the string is unique
+        run = np.searchsorted(base, some, "right") - 1
+        window = first[run] + some - base[run]
+        strings = np.lib.stride_tricks.sliding_window_view(text, length)[window].ravel() if parts > 1 else text
+        rank = equal_windows(strings, np.arange(len(some)) * length if parts > 1 else window, length)
+        some = some[rank >= 0]
+        rank = rank[rank >= 0]
+        if len(some):
+            best = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(best, rank, out[some])
+            out[some] = best[rank]
+    return out
+
+
+def _covered(keys: np.ndarray, text: np.ndarray, counts: np.ndarray, which: np.ndarray, docs: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(member, start, length) of the covered stretches, of runs in `text` with their anchors and counts, and of the
+    members' runs, documents and starts."""
+    span = counts + length - 1
+    first = np.cumsum(span) - span
+    # classes: runs equal in length and bytes, over all batches
+    rep, cls = _classes(text, counts, length)
+    of = cls[which]
+    low = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(low, of, docs)
+    _, per_anchor, n_classes = np.unique(keys[rep], return_inverse=True, return_counts=True)
+    alone = n_classes[per_anchor] == 1
+    whole = np.flatnonzero(alone[of] & (docs > low[of]))
+    yield whole, starts[whole], span[which[whole]]
+    # the others: strings of their classes; every member of a class takes the class's strings
+    open_cls = np.flatnonzero(~alone)
+    if not len(open_cls):
+        return
+    open_cls = open_cls[np.argsort(rep[open_cls], kind="stable")]
+    r = rep[open_cls]
+    earliest = _earliest(text, first[r], counts[r], low[open_cls], length)
+    slot = np.full(len(rep), -1, np.int64)
+    slot[open_cls] = np.cumsum(counts[r]) - counts[r]
+    still = np.flatnonzero(~alone[of])
+    for lo in range(0, len(still), AT_ONCE):
+        some = still[lo : lo + AT_ONCE]
+        m = counts[which[some]]
+        inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        gone = earliest[np.repeat(slot[of[some]], m) + inner] < np.repeat(docs[some], m)
+        begin = gone & ((inner == 0) | ~np.r_[False, gone[:-1]])
+        final = gone & ((inner == np.repeat(m, m) - 1) | ~np.r_[gone[1:], False])
+        who = np.repeat(some, m)
+        a, z = np.flatnonzero(begin), np.flatnonzero(final)
+        yield who[a], starts[who[a]] + inner[a], z - a + length
+
+
 def _cover(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(batch, starts, lengths): the stretches of each batch covered by strings that an earlier document has."""
+    """(batch, starts, lengths): the stretches of each batch covered by strings that an earlier document has. The anchors
+    of a range are worked off in parts whose runs have some RANKED bytes; only a single anchor may have more."""
     for _, t in runs(batches, 1):
         cat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])  # noqa: B023, E731
-        keys, docs, starts, counts = cat("anchors", np.uint32), cat("docs", np.int64), cat("starts", np.int32).astype(np.int64), cat("counts", np.uint8).astype(np.int64)
+        keys, docs, starts, counts = cat("anchors", np.uint32), cat("docs", np.int64), cat("starts", np.int32), cat("counts", np.uint8)
         sizes, members = (np.array([len(x) // 4 for x in t.column(c).to_pylist()]) for c in ("anchors", "which"))
         which = cat("which", np.int32) + np.repeat(np.cumsum(sizes) - sizes, members)
-        owner = np.repeat(t.column("batch").to_numpy(), members)
-        text = np.frombuffer(b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(t.column("texts").to_pylist(), t.column("n_text").to_pylist(), strict=True)), np.uint8)
-        span = counts + length - 1
-        first = np.cumsum(span) - span
-        # classes: runs equal in length and bytes, over all batches
-        rep, cls = _classes(text, counts, length)
-        of = cls[which]
-        low = np.full(len(rep), np.iinfo(np.int64).max)
-        np.minimum.at(low, of, docs)
-        _, per_anchor, n_classes = np.unique(keys[rep], return_inverse=True, return_counts=True)
-        alone = n_classes[per_anchor] == 1
-        whole = alone[of] & (docs > low[of])
-        batch_of, at, size = [owner[whole]], [starts[whole]], [span[which[whole]]]
-        # the others: strings of their classes, by prefix doubling
-        open_cls = np.flatnonzero(~alone)
-        if len(open_cls):
-            r, n = rep[open_cls], counts[rep[open_cls]]
-            total = int(n.sum())
-            base = np.cumsum(n) - n
-            window = np.arange(total) + np.repeat(first[r] - base, n)
-            rank = np.full(total, -1, np.int64)
-            hashed = gram_hashes(text, length)[window] >> np.uint64(32)
-            some = np.flatnonzero(repeated(hashed))  # a hash that no other string has says that the string is unique
-            rank[some] = equal_windows(text, window[some], length)
-            by = np.repeat(low[open_cls], n)
-            earliest = by.copy()
-            some = rank >= 0
-            if some.any():
-                best = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(best, rank[some], by[some])
-                earliest[some] = best[rank[some]]
-            # every member of a class takes the class's windows
-            slot = np.full(len(rep), -1, np.int64)
-            slot[open_cls] = base
-            still = np.flatnonzero(~alone[of])
-            for lo in range(0, len(still), AT_ONCE):
-                some = still[lo : lo + AT_ONCE]
-                m = counts[which[some]]
-                inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                gone = earliest[np.repeat(slot[of[some]], m) + inner] < np.repeat(docs[some], m)
-                begin = gone & ((inner == 0) | ~np.r_[False, gone[:-1]])
-                final = gone & ((inner == np.repeat(m, m) - 1) | ~np.r_[gone[1:], False])
-                who = np.repeat(some, m)
-                a, z = np.flatnonzero(begin), np.flatnonzero(final)
-                batch_of.append(owner[who[a]])
-                at.append(starts[who[a]] + inner[a])
-                size.append(z - a + length)
-        batch_of, at, size = np.concatenate(batch_of), np.concatenate(at), np.concatenate(size)
-        order = np.argsort(batch_of, kind="stable")
-        batch_of, at, size = batch_of[order], at[order], size[order]
-        edges = np.flatnonzero(np.r_[True, batch_of[1:] != batch_of[:-1]]) if len(order) else np.zeros(0, int)
-        found = [(int(batch_of[i]), at[i:j].astype(np.int32).tobytes(), size[i:j].astype(np.int32).tobytes()) for i, j in zip(edges, [*edges[1:], len(order)], strict=True)]
+        batch, owner = t.column("batch").to_numpy(), np.repeat(np.arange(len(members), dtype=np.int32), members)
+        span = counts.astype(np.int64) + length - 1
+        text, at = np.empty(int(span.sum()), np.uint8), 0
+        for x, n in zip(t.column("texts"), t.column("n_text").to_pylist(), strict=True):
+            text[at : at + n] = np.frombuffer(pa.decompress(x.as_py(), n, codec="zstd", asbytes=True), np.uint8)
+            at += n
+        place = np.cumsum(span) - span
+        order = np.argsort(keys, kind="stable")
+        held = np.cumsum(span[order])
+        new = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+        cuts = new[np.r_[True, np.diff((held[new] - span[order][new]) // RANKED) > 0]]
+        part = np.empty(len(keys), np.int32)
+        part[order] = np.repeat(np.arange(len(cuts), dtype=np.int32), np.diff(np.append(cuts, len(keys))))
+        by_member = np.argsort(part[which], kind="stable")
+        bounds = np.searchsorted(part[which][by_member], np.arange(len(cuts) + 1))
+        new_place = np.empty(len(keys), np.int64)
+        found_owner, found_at, found_size = [], [], []
+        for p, (i, j) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True)):
+            mine, who = np.sort(order[i:j]), by_member[bounds[p] : bounds[p + 1]]
+            new_place[mine] = np.arange(len(mine))
+            held_text = _stretches(text, place[mine], span[mine])
+            for m, a, n in _covered(keys[mine], held_text, counts[mine].astype(np.int64), new_place[which[who]], docs[who], starts[who].astype(np.int64), length):
+                found_owner.append(owner[who[m]])
+                found_at.append(a.astype(np.int32))
+                found_size.append(n.astype(np.int32))
+        owner, at, size = (np.concatenate(x) for x in (found_owner, found_at, found_size))
+        order = np.argsort(owner, kind="stable")
+        owner, at, size = owner[order], at[order], size[order]
+        edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(order) else np.zeros(0, int)
+        found = [(int(batch[owner[i]]), at[i:j].tobytes(), size[i:j].tobytes()) for i, j in zip(edges, [*edges[1:], len(order)], strict=True)]
         cols = list(zip(*found, strict=True)) or [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["batch", "starts", "lengths"])
 
@@ -352,6 +411,13 @@ def _apply(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _ranges(docs: DataFrame) -> int:
+    """Ranges of anchors: one for SHARE bytes of files where their size is known, but no fewer than the session's
+    partitions, so that a task holds no more of a larger table."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(partitions(docs.sparkSession), min(-(-size // SHARE), 1 << 16) if size < 1 << 50 else 0)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row: what is left of each text once every
     byte is removed that a `length`-byte string covers which also starts in a document with a smaller id.
@@ -364,7 +430,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
     bound_arrow(spark)
-    buckets = partitions(spark)
+    buckets = _ranges(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = rows.mapInArrow(partial(_pack, most=BATCH_BYTES), "batch long, ids binary, known binary, sizes binary, text binary")
     name = f"dialex_packed_{uuid.uuid4().hex}"

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -95,3 +96,27 @@ def test_runs_that_many_documents_of_a_batch_hold(monkeypatch, at_once):
     assert sorted((tuple(r.values())[:5] for r in got), key=str) == brute(rows, length)
     kept = sum(len(x) // 4 for t in runs for x in t.column("anchors").to_pylist())
     assert kept < sum(len(x) // 4 for t in runs for x in t.column("which").to_pylist()) / 2
+
+
+@pytest.mark.parametrize(("piece", "ranked", "strings"), [(64, 1, 5), (1, 200, 1), (97, 1 << 20, 1 << 17)])
+def test_pieces_and_parts_of_any_size(monkeypatch, piece, ranked, strings):
+    for name, value in (("PIECE", piece), ("RANKED", ranked), ("STRINGS", strings)):
+        monkeypatch.setattr(suffix_dedup, name, value, raising=False)
+    test_runs_that_many_documents_of_a_batch_hold(monkeypatch, 7)
+
+
+def test_memory_of_a_batch_and_ranges_by_size(spark, monkeypatch):
+    """A batch of 4 MB is hashed piece by piece, and ranges of anchors grow with the files, not with the session's settings."""
+    sizes = np.full(4000, 1000)
+    text = np.random.default_rng(2).integers(97, 123, int(sizes.sum())).astype(np.uint8)
+    row = {"batch": 0, "ids": np.arange(4000).tobytes(), "known": np.ones(4000, bool).tobytes(), "sizes": sizes.tobytes(), "text": text.tobytes()}
+    batch = pa.RecordBatch.from_pylist([row])
+    tracemalloc.start()
+    list(suffix_dedup._anchors(iter([batch]), 50, 3))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert suffix_dedup._ranges(docs) == 4
+    monkeypatch.setattr(suffix_dedup, "SHARE", 1000)
+    assert suffix_dedup._ranges(docs) > 4
